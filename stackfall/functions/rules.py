@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,13 +94,16 @@ def _compile(rule: FilterRule, as_of_ms: int | Column | None) -> Column:
 
 def _pattern(rule: FilterRule) -> str:
     """Unanchored and Unicode-aware; case-insensitive unless asked otherwise."""
-    if re.search(r"\(\?<?[=!]|\\[1-9]", rule.value):
+    if re.search(r"\(\?<?[=!]|(?<!\\)(?:\\\\)*\\[1-9]", rule.value):
         raise ValueError(f"rule {rule.id}: look-around and back-references are not supported")
-    try:
-        re.compile(rule.value)
-    except re.error as err:
-        raise ValueError(f"rule {rule.id}: invalid pattern: {err}") from err
-    return ("(?U)" if rule.case_sensitive else "(?iuU)") + rule.value
+    pattern = ("(?U)" if rule.case_sensitive else "(?iuU)") + rule.value
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except Py4JJavaError as err:
+            raise ValueError(f"rule {rule.id}: invalid pattern {rule.value}") from err
+    return pattern
 
 
 def _within_last(rule: FilterRule, as_of_ms: int | Column | None) -> Column:

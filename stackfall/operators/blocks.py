@@ -180,19 +180,9 @@ def crash_events(
     ).select(*CRASH_EVENT_COLUMNS)
 
 
-def events_of_arrays(df: DataFrame, lines: str, *, origin: str) -> DataFrame:
-    """Crash fields of bounded blocks that already are arrays of lines."""
-    return (
-        df.withColumn("_f", K.crash_fields(F.col(lines)))
-        .select(*df.columns, "_f.*")
-        .withColumns(
-            {
-                "origin": F.lit(origin),
-                "raw": F.col(lines),
-                "n_lines": F.size(lines).cast("bigint"),
-            }
-        )
-    )
+def fields_of_arrays(df: DataFrame, lines: str) -> DataFrame:
+    """Crash fields of bounded blocks that already are arrays of lines: no shuffle."""
+    return df.withColumn("_f", K.crash_fields(F.col(lines))).select(*df.columns, "_f.*")
 
 
 # --- live rule ------------------------------------------------------------------------
