@@ -12,9 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from .steps import Steps
+from .steps import Steps, let
 from .text import (
-    WS_CLASS, first_token, literal_map, lstrip, non_empty, strip, to_double, to_int,
+    first_token, literal_map, lstrip, non_empty, strip, to_double, to_int,
 )
 
 RECORD_TYPE = (
@@ -23,26 +23,27 @@ RECORD_TYPE = (
 )
 
 _SEP = "\uf8fe"
-_NS = "[^:" + WS_CLASS[1:]
 _THREADTIME = (
-    r"(?s)^([0-9-]{5}(?:[0-9-]{5})?) " + WS_CLASS + r"*"
+    r"(?s)^([0-9-]{5}(?:[0-9-]{5})?) \s*"
     r"(\+?([0-9]+):\+?([0-9]+):\+?([0-9]+)(?:\.[^ :]*)?) "
-    + WS_CLASS + r"*(?:(" + _NS + r"+)" + WS_CLASS + r"+)?"
-    r"([+-]?[0-9]+)" + WS_CLASS + r"+([+-]?[0-9]+)" + WS_CLASS + r"+([VDIWEFSA])" + WS_CLASS
-    + r"+(" + _NS + r"+)" + WS_CLASS + r"*:(.*)$"
+    r"\s*(?:([^:\s]++)\s++)?([+-]?[0-9]+)\s++([+-]?[0-9]+)\s++([VDIWEFSA])\s++([^:\s]++)\s*+:(.*)$"
 )
 _BRIEF = r"(?s)^([VDIWEFSA])/([^:(]*)(?:\(([^:]*))?:(.*)$"
 _UPTIME = r"(?s)^\[([^\]]*)\](.*)$"
-_SUBSYSTEM = (
-    r"(?s)^" + WS_CLASS + r"*([A-Za-z0-9_./-]+(?: [A-Za-z0-9_./-]+)?)" + WS_CLASS + r"*:(.*)$"
-)
+_SUBSYSTEM = r"(?s)^\s*+([A-Za-z0-9_./-]++(?: [A-Za-z0-9_./-]++)?)\s*+:(.*)$"
+
 
+def _marked(text: Column, pattern: str, n: int) -> Column:
+    """``text`` rewritten to the ``n`` groups of ``pattern``, each behind a mark; a text that does
+    not match stays as it is. The pattern runs once per line."""
+    return F.regexp_replace(text, pattern, "".join(f"{_SEP}${i}" for i in range(1, n + 1)))
 
-def _groups(text: Column, pattern: str, n: int) -> Column:
-    """All ``n`` groups of ``pattern`` as an array, NULL when the text does not match."""
-    written = _SEP.join(f"${i}" for i in range(1, n + 1))
+
+def _groups(marked: Column, text: Column, n: int) -> Column:
+    """The groups of :func:`_marked` as an array, NULL when there was no match."""
     return F.when(
-        text.rlike(pattern), F.split(F.regexp_replace(text, pattern, written), _SEP, n)
+        marked.startswith(_SEP) & ~text.startswith(_SEP),
+        F.slice(F.split(marked, _SEP, n + 1), 2, n),
     )
 
 
@@ -129,35 +130,38 @@ def _strip_one_space(text: Column) -> Column:
     return F.regexp_replace(text, "^ ", "")
 
 
-def _threadtime_record(v) -> Column:
-    def field(i: int) -> Column:
-        return F.get(v.parts, F.lit(i))
+def _field(parts: Column, i: int) -> Column:
+    return F.get(parts, F.lit(i))
 
+
+def _threadtime_record(v) -> Column:
     def clock(i: int) -> Column:
-        return field(i).try_cast("bigint")
+        return _field(v.parts, i).try_cast("bigint")
 
-    pid, tid = to_int(field(6)), to_int(field(7))
     valid = (
-        v.parts.isNotNull() & (clock(2) < 24) & (clock(3) < 60) & (clock(4) < 61)
-        & pid.isNotNull() & tid.isNotNull()
+        (clock(2) < 24) & (clock(3) < 60) & (clock(4) < 61)
+        & v.pid.isNotNull() & v.tid.isNotNull()
     )
     return F.when(
         valid,
         _record(
-            level=level_of_letter(field(8)),
-            timestamp=F.concat_ws(" ", field(0), field(1)),
-            pid=pid,
-            tid=tid,
+            level=level_of_letter(_field(v.parts, 8)),
+            timestamp=F.concat_ws(" ", _field(v.parts, 0), _field(v.parts, 1)),
+            pid=v.pid,
+            tid=v.tid,
             uid=v.uid,
-            tag=field(9),
-            message=_strip_one_space(field(10)),
+            tag=_field(v.parts, 9),
+            message=_strip_one_space(_field(v.parts, 10)),
         ),
     )
 
 
 THREADTIME = Steps(
-    parts=lambda v: _groups(v.line, _THREADTIME, 11),
-    uid=lambda v: uid_token(non_empty(F.get(v.parts, F.lit(5)))),
+    marked=lambda v: _marked(v.line, _THREADTIME, 11),
+    parts=lambda v: _groups(v.marked, v.line, 11),
+    pid=lambda v: _field(v.parts, 6).try_cast("int"),
+    tid=lambda v: _field(v.parts, 7).try_cast("int"),
+    uid=lambda v: F.when(_field(v.parts, 5) != "", let(_field(v.parts, 5), uid_token)),
     record=_threadtime_record,
 )
 
@@ -177,7 +181,8 @@ def _brief_record(v) -> Column:
 
 
 BRIEF = Steps(
-    parts=lambda v: _groups(v.line, _BRIEF, 4),
+    marked=lambda v: _marked(v.line, _BRIEF, 4),
+    parts=lambda v: _groups(v.marked, v.line, 4),
     tag=lambda v: strip(F.get(v.parts, F.lit(1))),
     record=_brief_record,
 )
@@ -209,7 +214,11 @@ def _split_subsystem(v) -> Column:
     )
 
 
-SUBSYSTEM = Steps(head=lambda v: _groups(v.line, _SUBSYSTEM, 2), out=_split_subsystem)
+SUBSYSTEM = Steps(
+    marked=lambda v: _marked(v.line, _SUBSYSTEM, 2),
+    head=lambda v: _groups(v.marked, v.line, 2),
+    out=_split_subsystem,
+)
 
 
 def split_subsystem(message: Column) -> Column:
@@ -238,12 +247,14 @@ DMESG = Steps(
     rest=lambda v: lstrip(
         F.when(v.digit.isNotNull(), F.regexp_replace(v.line, r"^<[^>]*>", "")).otherwise(v.line)
     ),
-    bracket=lambda v: _groups(v.rest, _UPTIME, 2),
+    boxed=lambda v: _marked(v.rest, _UPTIME, 2),
+    bracket=lambda v: _groups(v.boxed, v.rest, 2),
     uptime=lambda v: to_double(strip(F.get(v.bracket, F.lit(0)))),
     body=lambda v: F.when(
         v.uptime.isNotNull(), lstrip(F.get(v.bracket, F.lit(1)))
     ).otherwise(v.rest),
-    head=lambda v: _groups(v.body, _SUBSYSTEM, 2),
+    marked=lambda v: _marked(v.body, _SUBSYSTEM, 2),
+    head=lambda v: _groups(v.marked, v.body, 2),
     record=lambda v: F.when(
         (strip(v.line) != "") & (v.uptime.isNotNull() | v.digit.isNotNull()),
         _kernel_record(
@@ -260,7 +271,8 @@ KMSG = Steps(
     digit=lambda v: _u8(strip(F.get(v.header, F.lit(0)))),
     usec=lambda v: to_double(strip(F.get(v.header, F.lit(2)))),
     body=lambda v: lstrip(F.substr(v.text, F.locate(";", v.text) + 1)),
-    head=lambda v: _groups(v.body, _SUBSYSTEM, 2),
+    marked=lambda v: _marked(v.body, _SUBSYSTEM, 2),
+    head=lambda v: _groups(v.marked, v.body, 2),
     record=lambda v: F.when(
         (F.size(v.header) == 4) & v.digit.isNotNull(),
         _kernel_record(level_of_digit(v.digit), v.usec / F.lit(1_000_000.0), v),

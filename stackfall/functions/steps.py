@@ -50,7 +50,11 @@ class Steps:
         return let(line, lambda bound: go(0, {"line": bound}))
 
     def on(self, df: DataFrame, line: Column, name: str) -> DataFrame:
-        """``df`` plus the last step as column ``name``."""
+        """``df`` plus the last step as column ``name``.
+
+        The one-element ``explode`` keeps the optimizer from copying the whole chain into
+        filters on the result; it neither adds nor drops a row.
+        """
         kept = df.columns
         prefix = f"_{name}_"
         out = df.withColumn(f"{prefix}line", line)
@@ -58,4 +62,4 @@ class Steps:
         for step, build in self._steps:
             out = out.withColumn(prefix + step, build(Values(values)))
             values[step] = F.col(prefix + step)
-        return out.select(*kept, values[self._steps[-1][0]].alias(name))
+        return out.select(*kept, F.explode(F.array(values[self._steps[-1][0]])).alias(name))
