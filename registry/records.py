@@ -172,7 +172,7 @@ def _(spark, sf):
 # --- filters --------------------------------------------------------------------------
 
 _FILTERS = {
-    "filter_contains": ([FR.FilterRule("a", "message", "contains", "CHAT")], "contains(lower(message), 'chat')"),
+    "filter_contains": ([FR.FilterRule("a", "message", "contains", "SLOW op")], "contains(lower(message), 'slow op')"),
     "filter_not_contains": ([FR.FilterRule("a", "tag", "notContains", "chat")], "tag IS NULL OR NOT contains(lower(tag), 'chat')"),
     "filter_equals": ([FR.FilterRule("a", "pid", "equals", "1000")], "pid = 1000"),
     "filter_not_equals": ([FR.FilterRule("a", "pid", "notEquals", "1000")], "pid IS NULL OR pid <> 1000"),

@@ -7,6 +7,9 @@ engine's microsecond function, integer division and string type.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stackfall.functions.steps import pinned
 
 YEAR = 2024
 
@@ -236,4 +239,9 @@ def scene(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql = sql.replace(f"FROM {table}", "FROM {" + table + "}")
     # literal braces of the log text are not format fields
     sql = sql.replace("{ab ", "{{ab ").replace("u0a12}", "u0a12}}")
-    return spark.sql(sql, **used)
+    out = spark.sql(sql, **used)
+    # the generated text is computed once, as if it were a stored column
+    for column in ("line", "text"):
+        if column in out.columns:
+            out = pinned(out, column, F.col(column))
+    return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +32,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` plus a column the optimizer computes exactly once.
+
+    The one-element ``explode`` keeps it from copying the expression into filters and later
+    projections; it neither adds nor drops a row and stays in generated code.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
+
+
+def _session_key() -> int:
+    """Column objects belong to one JVM gateway."""
+    return id(SparkContext._gateway)
+
+
 class Steps:
-    """``Steps(a=lambda v: …, b=lambda v: … v.a …)``; the input is ``v.line``."""
+    """``Steps(a=lambda v: …, b=lambda v: … v.a …)``; the input is ``v.line``.
+
+    Expressions over a frame are built once per column name and kept: they are hundreds of
+    driver calls, and the same for every query.
+    """
 
     def __init__(self, **steps: Callable[[Values], Column]):
         self._steps = list(steps.items())
+        self._built: dict[tuple, object] = {}
 
     def column(self, line: Column) -> Column:
         """The last step as one Column."""
@@ -50,16 +71,28 @@ class Steps:
         return let(line, lambda bound: go(0, {"line": bound}))
 
     def on(self, df: DataFrame, line: Column, name: str) -> DataFrame:
-        """``df`` plus the last step as column ``name``.
-
-        The one-element ``explode`` keeps the optimizer from copying the whole chain into
-        filters on the result; it neither adds nor drops a row.
-        """
+        """``df`` plus the last step as (pinned) column ``name``: for rows behind a gate."""
+        source = f"_{name}_line"
+        key = (_session_key(), "on", name)
+        if key not in self._built:
+            self._built[key] = self.column(F.col(source))
+        out = pinned(df.withColumn(source, line), name, self._built[key])
+        return out.drop(source)
+
+    def staged(self, df: DataFrame, line: Column, name: str) -> DataFrame:
+        """:meth:`on` as a chain of projections, all in generated code: for every row of a log."""
         kept = df.columns
         prefix = f"_{name}_"
+        key = (_session_key(), "staged", name)
+        if key not in self._built:
+            values = {"line": F.col(f"{prefix}line")}
+            chain = []
+            for step, build in self._steps:
+                chain.append((prefix + step, build(Values(values))))
+                values[step] = F.col(prefix + step)
+            self._built[key] = chain
         out = df.withColumn(f"{prefix}line", line)
-        values = {"line": F.col(f"{prefix}line")}
-        for step, build in self._steps:
-            out = out.withColumn(prefix + step, build(Values(values)))
-            values[step] = F.col(prefix + step)
-        return out.select(*kept, F.explode(F.array(values[self._steps[-1][0]])).alias(name))
+        chain = self._built[key]
+        for column, value in chain:
+            out = out.withColumn(column, value)
+        return pinned(out.select(*kept, F.col(chain[-1][0]).alias(name)), name, F.col(name))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions.steps import pinned
 from ..schema import (
     CRASH_EVENT_COLUMNS, MAX_SNAPSHOT_EVENTS, RING_CAPACITY, SESSION, TAIL_MEMORY,
 )
@@ -17,9 +18,9 @@ from .chunks import CHUNK_ROWS
 def with_crash_kind(records: DataFrame) -> DataFrame:
     """Adds ``kind``: the crash family of every row worth scanning, else NULL."""
     text = C.record_text(F.col("tag"), F.col("message"), F.col("raw"), F.col("parsed"))
-    scanned = records.withColumn("_text", F.when(C.is_scannable(F.col("level")), text))
-    masked = scanned.withColumn("_mask", C.family_mask(F.col("_text")))
-    return masked.withColumn("kind", C.family_of_mask(F.col("_mask"))).drop("_text", "_mask")
+    lower = F.when(C.is_scannable(F.col("level")), F.lower(text))
+    masked = pinned(pinned(records, "_text", lower), "_mask", C.family_mask_lower(F.col("_text")))
+    return pinned(masked, "kind", C.family_of_mask(F.col("_mask"))).drop("_text", "_mask")
 
 
 def crash_rows(records: DataFrame) -> DataFrame:
