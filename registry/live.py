@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stackfall.functions import rules as FR
 from stackfall.operators import views as V
-from stackfall.session import scratch_path
+from stackfall.session import cut, scratch_path
 from stackfall.sinks import exports as X
 from stackfall.sources import lines as LN
 from stackfall.streaming import live as S
@@ -31,12 +31,19 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def replay(df, *order: str):
-    """``df`` as a stream: written in order as a few files and read back three at a time."""
+def replay(df, order: str):
+    """``df`` as a stream that arrives in order: stored in slices of ``order``, one after the
+    other, so that file times follow it, and read back three files at a time."""
     spark = df.sparkSession
     S.use_state_store(spark)
-    path = scratch_path(spark, "replay")
-    df.repartitionByRange(FILES, *order).sortWithinPartitions(*order).write.parquet(path)
+    stored = cut(df, "replay")
+    low, high = stored.agg(F.min(order), F.max(order)).first()
+    step = (high - low) // FILES + 1
+    path = scratch_path(spark, "slices")
+    for i in range(FILES):
+        lo = low + i * step
+        part = stored.where((F.col(order) >= lo) & (F.col(order) < lo + step))
+        part.coalesce(1).write.mode("append").parquet(path)
     return (
         spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3)
         .option("latestFirst", False).parquet(path)
@@ -73,12 +80,12 @@ def _(spark, sf):
 
 @query("live_polls", scene_sql("polls", "SELECT p.device_serial, p.poll_no, p.line_no, p.line FROM polls p WHERE NOT EXISTS (SELECT 1 FROM polls q WHERE q.device_serial = p.device_serial AND q.poll_no = p.poll_no - 1 AND q.line = p.line)"))
 def _(spark, sf):
-    return S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no", "line_no")), "polls").drop("batch_id")
+    return S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no")), "polls").drop("batch_id")
 
 
 @query("live_launches", scene_sql("states", "SELECT 1").replace("\nSELECT 1", ",\n" + _STATE + "\nSELECT device_serial, package, polled_at_ms, CASE WHEN was = '' THEN 'start' WHEN now = '' THEN 'stop' ELSE 'restart' END AS edge FROM sl WHERE now <> was"))
 def _(spark, sf):
-    stream = replay(states(spark, sf), "polled_at_ms", "device_serial", "package")
+    stream = replay(states(spark, sf), "polled_at_ms")
     return S.drain(S.live_launches(stream), "launches").select("device_serial", "package", "polled_at_ms", "edge")
 
 
@@ -92,14 +99,10 @@ def _(spark, sf):
 @query("activity_sessions", sql("rec", """SELECT device_serial, min(received_at_ms) AS from_ms, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_serial ORDER BY received_at_ms, seq ROWS UNBOUNDED PRECEDING) AS burst FROM (
   SELECT *, CASE WHEN received_at_ms - lag(received_at_ms) OVER (PARTITION BY device_serial ORDER BY received_at_ms, seq) < 30000 THEN 0 ELSE 1 END AS fresh FROM rec)) GROUP BY device_serial, burst"""))
 def _(spark, sf):
-    updates = S.drain(S.activity_sessions(lines_stream(spark, sf)), "bursts", mode="append")
-    return updates.select("device_serial", F.unix_millis("from_ts").alias("from_ms"), "n")
-
-
-def lines_stream(spark, sf):
-    """The lines followed by one late line per device that closes every burst behind it."""
-    base = lines(spark, sf)
-    return replay(base, "seq")
+    states_ = S.drain(S.activity_sessions(replay(lines(spark, sf), "seq")), "bursts", mode="complete")
+    last = states_.agg(F.max("batch_id").alias("batch_id"))
+    final = states_.join(F.broadcast(last), "batch_id")
+    return final.select("device_serial", F.unix_millis("from_ts").alias("from_ms"), "n")
 
 
 @query("stored_stream", sql("rec", "SELECT device_serial, session_id, seq FROM rec"))

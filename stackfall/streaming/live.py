@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import classify as C
@@ -20,6 +21,7 @@ from ..functions import rules as FR
 from ..functions.signals import parse_ams, parse_anomaly
 from ..operators.views import with_crash_kind
 from ..schema import MAX_BLOCK_LINES, SESSION, TAIL_MEMORY
+from ..session import scratch_path
 from ..sources.lines import parse_records
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -335,8 +337,6 @@ def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
 
     Rows land in the shared folder, in one directory per batch, with ``batch_id``.
     """
-    from ..session import scratch_path
-
     spark = stream.sparkSession
     base = scratch_path(spark, name)
 
@@ -353,5 +353,5 @@ def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
