@@ -142,7 +142,8 @@ def _(spark, sf):
     r = cut(records(spark, sf), "records")
     found = L.link_deaths(G.signals_of(cut(G.evidence(r), "evidence")))
     out = L.evidence_rows(found, r)
-    return out.select(*KEYS, "source", "victim", "evidence_no", "message")
+    ends = (F.col("link_source").alias("source"), F.col("link_victim").alias("victim"))
+    return out.select(*KEYS, *ends, "evidence_no", "message")
 
 
 # --- blocks and events --------------------------------------------------------------------
@@ -316,10 +317,11 @@ def _(spark, sf):
     return Q.stackless_crashes(_events(spark, sf))
 
 
-@query("missing_buffers", sql("checks", "SELECT device_serial, session_id, array_to_string(r, ',') AS requested, CASE WHEN missing IS NOT NULL THEN array_to_string(missing, ',') END AS missing FROM buf"))
+@query("missing_buffers", sql("checks", "SELECT device_serial, session_id, array_to_string(list_sort(r), ',') AS requested, CASE WHEN missing IS NOT NULL THEN array_to_string(list_sort(missing), ',') END AS missing FROM buf"))
 def _(spark, sf):
     out = Q.missing_buffers(_sessions(spark, sf), _profiles(spark, sf))
-    return out.select(*KEYS, joined("requested", ","), joined("missing", ","))
+    names = {n: F.array_sort(n) for n in ("requested", "missing")}
+    return out.withColumns(names).select(*KEYS, joined("requested", ","), joined("missing", ","))
 
 
 def _checks(spark, sf):

@@ -71,19 +71,11 @@ class Steps:
         return let(line, lambda bound: go(0, {"line": bound}))
 
     def on(self, df: DataFrame, line: Column, name: str) -> DataFrame:
-        """``df`` plus the last step as (pinned) column ``name``: for rows behind a gate."""
-        source = f"_{name}_line"
-        key = (_session_key(), "on", name)
-        if key not in self._built:
-            self._built[key] = self.column(F.col(source))
-        out = pinned(df.withColumn(source, line), name, self._built[key])
-        return out.drop(source)
-
-    def staged(self, df: DataFrame, line: Column, name: str) -> DataFrame:
-        """:meth:`on` as a chain of projections, all in generated code: for every row of a log."""
+        """``df`` plus the last step as (pinned) column ``name``: a chain of projections, all in
+        generated code."""
         kept = df.columns
         prefix = f"_{name}_"
-        key = (_session_key(), "staged", name)
+        key = (_session_key(), name)
         if key not in self._built:
             values = {"line": F.col(f"{prefix}line")}
             chain = []

@@ -269,7 +269,7 @@ def link_deaths(signals: DataFrame, **options) -> DataFrame:
 def evidence_rows(links: DataFrame, records: DataFrame) -> DataFrame:
     """The log rows a link points at, in the order of its evidence."""
     wanted = links.select(
-        *SESSION, "source", "victim",
+        *SESSION, F.col("source").alias("link_source"), F.col("victim").alias("link_victim"),
         F.posexplode(F.array("source_seq", "victim_seq")).alias("evidence_no", "seq"),
     )
     return wanted.join(records, [*SESSION, "seq"])

@@ -133,15 +133,15 @@ def parse_records(lines: DataFrame, year: int | None = None) -> DataFrame:
     orders = {k: v for k, v in R.BUILT_IN.items() if k not in custom}
     kernel = [k for k, v in orders.items() if v[0] in (R.DMESG, R.KMSG)]
     text_like = open_ & source.isin(*[k for k in orders if k not in kernel])
-    out = R.THREADTIME.staged(lines, F.when(text_like, line), "_tt")
-    out = R.BRIEF.staged(out, F.when(text_like & F.col("_tt").isNull(), line), "_br")
+    out = R.THREADTIME.on(lines, F.when(text_like, line), "_tt")
+    out = R.BRIEF.on(out, F.when(text_like & F.col("_tt").isNull(), line), "_br")
     first_kmsg = source == "kmsg"
-    out = R.KMSG.staged(out, F.when(open_ & first_kmsg, line), "_k1")
+    out = R.KMSG.on(out, F.when(open_ & first_kmsg, line), "_k1")
     missed = F.coalesce("_tt", "_br", "_k1").isNull()
-    out = R.DMESG.staged(
+    out = R.DMESG.on(
         out, F.when(open_ & missed & (source != "logcat") & source.isin(*orders), line), "_dm"
     )
-    out = R.KMSG.staged(
+    out = R.KMSG.on(
         out, F.when(open_ & (source == "dmesg") & F.col("_dm").isNull(), line), "_k2"
     )
     own = F.lit(None).cast(R.RECORD_TYPE)
