@@ -9,6 +9,7 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def _pattern(rule: FilterRule) -> str:
     if context is not None:
         try:
             context._jvm.java.util.regex.Pattern.compile(pattern)
-        except Py4JJavaError as err:
+        except (Py4JJavaError, PySparkException) as err:
             raise ValueError(f"rule {rule.id}: invalid pattern {rule.value}") from err
     return pattern
 
