@@ -100,8 +100,8 @@ def _(spark, sf):
   SELECT *, CASE WHEN received_at_ms - lag(received_at_ms) OVER (PARTITION BY device_serial ORDER BY received_at_ms, seq) < 30000 THEN 0 ELSE 1 END AS fresh FROM rec)) GROUP BY device_serial, burst"""))
 def _(spark, sf):
     states_ = S.drain(S.activity_sessions(replay(lines(spark, sf), "seq")), "bursts", mode="complete")
-    last = states_.agg(F.max("batch_id").alias("batch_id"))
-    final = states_.join(F.broadcast(last), "batch_id")
+    last = states_.agg(F.max("batch_id")).first()[0]
+    final = states_.where(F.col("batch_id") == last)
     return final.select("device_serial", F.unix_millis("from_ts").alias("from_ms"), "n")
 
 

@@ -208,10 +208,9 @@ for _name, (_rules, _condition) in _FILTERS.items():
 @query("filter_within_last", sql("rec", "SELECT device_serial, session_id, seq FROM rec WHERE received_at_ms + 600000 >= (SELECT max(received_at_ms) FROM rec)"))
 def _(spark, sf):
     r = records(spark, sf)
-    now = r.agg(F.max("received_at_ms").alias("now"))
+    now = r.agg(F.max("received_at_ms")).first()[0]
     rule = FR.FilterRule("w", "received", "withinLast", "600")
-    kept = r.crossJoin(F.broadcast(now)).where(FR.compile_rules([rule], as_of_ms=F.col("now")))
-    return kept.select(*KEYS, "seq")
+    return r.where(FR.compile_rules([rule], as_of_ms=now)).select(*KEYS, "seq")
 
 
 @query("scan_hints", sql("rec", "SELECT device_serial, session_id, seq FROM rec WHERE pid IN (1000, 2001) AND tag IN ('lmkd', 'ActivityManager', 'libc')"))

@@ -116,9 +116,8 @@ def save_snapshot(events: DataFrame, path: str, saved_at_ms: int) -> None:
 
 def clear_snapshot(spark, path: str) -> None:
     """Forget a stored snapshot: it is replaced by one without events."""
-    spark.read.parquet(path).limit(0).write.mode("overwrite").parquet(path.rstrip("/") + ".none")
-    none = spark.read.parquet(path.rstrip("/") + ".none")
-    none.write.mode("overwrite").parquet(path)
+    schema = spark.read.parquet(path).schema
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:
