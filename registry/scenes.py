@@ -232,9 +232,15 @@ def duck_sql(name: str) -> str:
     return _fill(SCENES[name], "epoch_us(ts)", "//", "VARCHAR")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of one small file is dealt to all cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scene(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _fill(SCENES[name], "unix_micros(CAST(ts AS TIMESTAMP))", "DIV", "STRING")
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if t in sql}
+    used = {t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in _TABLES if t in sql}
     for table in used:
         sql = sql.replace(f"FROM {table}", "FROM {" + table + "}")
     # literal braces of the log text are not format fields
