@@ -165,19 +165,19 @@ def _(spark, sf):
 
 @query("live_blocks", sql("live", "SELECT device_serial, session_id, seq, start_seq, CASE WHEN start_seq IS NOT NULL THEN row_number() OVER (PARTITION BY device_serial, session_id, start_seq ORDER BY seq) - 1 END AS line_no FROM lrow"))
 def _(spark, sf):
-    return B.live_blocks(records(spark, sf)).select(*KEYS, "seq", "start_seq", "line_no")
+    return B.live_blocks(cut(records(spark, sf), "records")).select(*KEYS, "seq", "start_seq", "line_no")
 
 
 @query("live_events", sql("live_events", f"SELECT {_EVT}, true AS complete FROM evt"))
 def _(spark, sf):
-    out = B.live_crash_events(B.live_blocks(records(spark, sf)))
+    out = B.live_crash_events(B.live_blocks(cut(records(spark, sf), "records")))
     return out.withColumns({n: joined(n) for n in ("frames", "caused_by")}).select(*_EVT_COLS, "complete")
 
 
 @query("live_signals", sql(("live", "sig", "anomaly"), """SELECT r.device_serial, r.session_id, r.seq, s.kind AS ams_kind, a.kind AS anomaly_kind FROM lrow r LEFT JOIN sig s ON s.seq = r.seq LEFT JOIN anomaly a ON a.seq = r.seq
   WHERE r.start_seq IS NULL AND (s.kind IS NOT NULL OR a.kind IS NOT NULL)"""))
 def _(spark, sf):
-    out = B.live_signals(B.live_blocks(records(spark, sf)))
+    out = B.live_signals(B.live_blocks(cut(records(spark, sf), "records")))
     return out.select(*KEYS, "seq", F.col("ams.kind").alias("ams_kind"), F.col("anomaly.kind").alias("anomaly_kind"))
 
 
@@ -216,7 +216,7 @@ def _(spark, sf):
 @query("settle", sql("live_events", "SELECT device_serial, session_id, event_id, n_lines FROM evt"))
 def _(spark, sf):
     """Every growth state of a block as an update; only the last one stays."""
-    rows = B.live_blocks(records(spark, sf)).where(F.col("start_seq").isNotNull())
+    rows = B.live_blocks(cut(records(spark, sf), "records")).where(F.col("start_seq").isNotNull())
     updates = rows.select(
         *KEYS, F.concat(F.lit("crashBuffer#"), F.col("start_seq")).alias("event_id"),
         F.col("seq").alias("version"), (F.col("line_no") + 1).alias("n_lines"),

@@ -147,10 +147,15 @@ def crash_blocks(
 
 
 def crash_events(
-    block_lines: DataFrame, *, origin: str = "crashBuffer", inline_lines: int = INLINE_LINES
+    block_lines: DataFrame,
+    *,
+    origin: str = "crashBuffer",
+    inline_lines: int = INLINE_LINES,
+    opening: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per block. Scalars are mergeable aggregates over any number of lines; arrays are
-    collected from at most ``inline_lines`` lines and left out for longer blocks."""
+    collected from at most ``inline_lines`` lines and left out for longer blocks. ``opening``
+    names further columns to take from the row that opened the block."""
     parts = K.with_line_parts(block_lines, F.col("line"))
     one, two = K.frame_hashes(F.col("frame"), F.col("frame_no"))
     held = F.col("frame").isNotNull()
@@ -167,6 +172,7 @@ def crash_events(
         *[c.alias(n) for n, c in fields.items()],
         raw.alias("raw"),
         F.count(F.lit(1)).alias("n_lines"),
+        *[F.max(F.when(F.col("line_no") == 0, F.col(n))).alias(n) for n in opening],
     )
     whole = F.col("n_lines") <= inline_lines
     return events.withColumns(
@@ -177,7 +183,7 @@ def crash_events(
             "caused_by": F.when(whole, F.col("caused_by")),
             "raw": F.when(whole, F.col("raw")),
         }
-    ).select(*CRASH_EVENT_COLUMNS)
+    ).select(*CRASH_EVENT_COLUMNS, *opening)
 
 
 def fields_of_arrays(df: DataFrame, lines: str) -> DataFrame:
@@ -219,15 +225,11 @@ def live_crash_events(rows: DataFrame, *, finish: bool = True) -> DataFrame:
     for a block still open at the end unless ``finish`` ends the capture.
     """
     members = rows.where(F.col("start_seq").isNotNull())
-    events = crash_events(
-        members.select(
-            *SESSION, "seq", F.col("message").alias("line"), "start_seq", "line_no", "frame_no"
-        )
-    )
-    opening = members.where(F.col("seq") == F.col("start_seq")).select(
-        *SESSION, "start_seq", F.col("package").alias("_package"), F.col("pid").alias("_pid")
+    named = members.select(
+        *SESSION, "seq", F.col("message").alias("line"), "start_seq", "line_no", "frame_no",
+        F.col("package").alias("_package"), F.col("pid").alias("_pid"),
     )
-    filled = fill_identity(events, opening)
+    filled = _filled(crash_events(named, opening=("_package", "_pid")))
     if finish:
         return filled.withColumn("complete", F.lit(True))
     ends = rows.groupBy(*SESSION).agg(
@@ -244,10 +246,14 @@ def live_crash_events(rows: DataFrame, *, finish: bool = True) -> DataFrame:
 
 
 def fill_identity(events: DataFrame, opening: DataFrame) -> DataFrame:
-    """Missing process and pid of an event from its opening row."""
+    """Missing process and pid of an event from its opening row, given as ``_package``/``_pid``
+    per ``start_seq``."""
+    return _filled(events.join(opening, [*SESSION, "start_seq"], "left"))
+
+
+def _filled(events: DataFrame) -> DataFrame:
     return (
-        events.join(opening, [*SESSION, "start_seq"], "left")
-        .withColumn("process", F.coalesce("process", "_package"))
+        events.withColumn("process", F.coalesce("process", "_package"))
         .withColumn("pid", F.coalesce("pid", "_pid"))
         .drop("_package", "_pid")
     )
