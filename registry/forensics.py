@@ -181,6 +181,15 @@ def _(spark, sf):
     return out.select(*KEYS, "seq", F.col("ams.kind").alias("ams_kind"), F.col("anomaly.kind").alias("anomaly_kind"))
 
 
+@query("fill_identity", sql("live_events", "SELECT e.device_serial, e.session_id, e.event_id, r.pid FROM evt e JOIN rec r ON r.seq = e.start_seq"))
+def _(spark, sf):
+    """Events that name no process take the pid of the stored row that opened them."""
+    r = cut(records(spark, sf), "records")
+    nameless = B.live_crash_events(B.live_blocks(r)).withColumn("pid", F.lit(None).cast("int"))
+    opening = r.select(*KEYS, F.col("seq").alias("start_seq"), F.col("package").alias("_package"), F.col("pid").alias("_pid"))
+    return B.fill_identity(nameless, opening).select(*KEYS, "event_id", "pid")
+
+
 @query("group_crashes", sql("live_events", "SELECT device_serial, session_id, coalesce(exception, '') AS exception, n_frames, count(*) AS n, min(start_seq) AS first_seq FROM evt GROUP BY device_serial, session_id, coalesce(exception, ''), n_frames, frames"))
 def _(spark, sf):
     return V.group_crashes(_events(spark, sf)).drop("stack_hash", "first_event")
