@@ -3,8 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import bpe, mixing, ngram_join, quality_classifier, quality_rules
+from pyspark.sql import functions as F
+
+from . import (
+    bpe,
+    language_id,
+    mixing,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+    url_filter,
+    vp_tree,
+    warc,
+)
+from ..session import scratch_path
 from .common import table
 
 
@@ -14,6 +27,11 @@ def _tokenizer() -> tuple[str, str]:
     return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
 
 
+def op1_vp_tree(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return vp_tree.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -26,6 +44,18 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(table(spark, sf, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), *_tokenizer())
 
@@ -34,27 +64,32 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents").select("doc_id", "source"))
 
 
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_vp_tree,
         op2_quality_classifier,
         op3_ngram_join,
         op4_quality_rules,
+        op5_toxicity,
+        op6_language_id,
+        op7_url_filter,
         op8_byte_bpe,
         op9_mixing,
+        op10_warc,
     )
 }
 
-_SHINGLES_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id,
-  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
-e AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m
-  FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (n + m - c)),
-r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
-SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(y) FROM r WHERE r.x = s.doc_id) AS component_id FROM s"""
-
-ORACLE = {"op3_ngram_join": _SHINGLES_SQL, "op4_quality_rules": quality_rules.oracle_sql()}
+_WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+s AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 100
+  THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM s)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to FROM m"""
+
+ORACLE = {"op4_quality_rules": quality_rules.oracle_sql(), "op10_warc": _WARC_SQL}
