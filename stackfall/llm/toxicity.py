@@ -20,8 +20,10 @@ from .quality_classifier import training_rows
 
 #: Labelled rows of each label the model is fitted on, at most: the smallest hashes of the id.
 SAMPLE_ROWS = 6_000
-#: Words that may carry weight: those seen in at least this many sampled documents.
-MIN_DOCS = 3
+#: Words and word beginnings that may carry weight: those that tell the labels apart best, by the
+#: likelihood ratio of their presence.
+FEATURES = 400
+BEGINNINGS = (4, 5, 6)
 RIDGE = 3e-3
 COUNTERFACTUAL = 2.0
 STEPS = 300
@@ -41,7 +43,25 @@ _WORD = re.compile(r"\w+")
 
 
 def tokens(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """Distinct lower-case words and, marked by a star, their beginnings."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in BEGINNINGS))
+
+
+def telling(rows: list[tuple[set[str], int]], count: int = FEATURES) -> list[str]:
+    """The ``count`` tokens whose presence has the largest likelihood ratio against the label."""
+    n = np.array([sum(y == v for _, y in rows) for v in (0, 1)], dtype=float)
+    seen: dict[str, list[int]] = {}
+    for words, y in rows:
+        for w in words:
+            seen.setdefault(w, [0, 0])[y] += 1
+    names = sorted(seen)
+    have = np.array([seen[w] for w in names], dtype=float).reshape(-1, 2)
+    ratio = np.zeros(len(names))
+    for part in (have, n - have):
+        expected = part.sum(axis=1, keepdims=True) * n / n.sum()
+        ratio += (part * np.log(np.maximum(part, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=1)
+    return [names[i] for i in np.argsort(-ratio, kind="stable")[:count]]
 
 
 class Model(NamedTuple):
@@ -66,12 +86,8 @@ def train(
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         return Model({}, 0.0 if not len(rows) else (30.0 if labels[0] else -30.0))
-    seen: dict[str, int] = {}
-    for words, _ in rows:
-        for w in words:
-            seen[w] = seen.get(w, 0) + 1
     groups = {t for kind in IDENTITY_TERMS for t in kind}
-    names = sorted(w for w, n in seen.items() if n >= MIN_DOCS or w in groups)
+    names = sorted(groups.union(telling(rows)))
     at = {w: i for i, w in enumerate(names)}
     cols = [np.array([at[w] for w in words if w in at], dtype=np.int64) for words, _ in rows]
     col = np.concatenate(cols)
