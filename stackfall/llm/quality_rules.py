@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .text_stats import with_stats
 
 
@@ -76,18 +77,22 @@ def keep(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps, all columns unchanged.
 
     The verdict is computed beside the row, so nothing is joined or shuffled and repeated rows
-    or null ids need no care.
+    or null ids need no care; rows and verdict are written to the shared folder once.
     """
     names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("text"))
-    stats = with_stats(packed)
+    at = [f"_c{i}" for i in range(len(names))]  # clear of the names of the statistics
+    rows = docs.toDF(*at)
+    stats = with_stats(rows.withColumn("_text", F.col(at[names.index("text")])), "_text")
     verdict = F.lit(True)
     for rule in rules:
         verdict = verdict & passes(rule)
     base = (F.col("n_words") >= MIN_WORDS) & (
         F.col("n_repeat_words") * 100 <= F.col("n_words") * MAX_REPEAT
     )
-    return stats.where(base & verdict).select("_row.*")
+    # a filter right above the statistics makes the optimizer repeat them without end, so the
+    # verdict is written beside the rows once and the filter reads it
+    judged = cut(stats.select(*at, (base & verdict).alias("_kept")), "rules")
+    return judged.where("_kept").select(*(F.col(c).alias(n) for c, n in zip(at, names)))
 
 
 # --- DuckDB equivalent --------------------------------------------------------------------
