@@ -146,7 +146,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Round trip through splittable text files: the line numbers come back."""
     path = scratch_path(spark, "text")
-    src = lines(spark, sf).repartition("session_id").sortWithinPartitions("session_id", "seq")
+    src = lines(spark, sf).repartition(*KEYS).sortWithinPartitions(*KEYS, "seq")
     src.select(*KEYS, F.col("line").alias("value")).write.partitionBy(*KEYS).text(path)
     parts = F.regexp_extract("file_path", "device_serial=([^/]+)", 1)
     session = F.regexp_extract("file_path", "session_id=([^/]+)", 1)
@@ -262,10 +262,9 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.classify(F.col("text")).alias("kind"))
 
 
-@query("crash_family_counts", sql("rec", f"SELECT device_serial, session_id, kind, count(*) AS n FROM ({_KINDS}) WHERE level_rank >= 3 GROUP BY ALL"))
+@query("crash_family_counts", sql("rec", f"SELECT device_serial, session_id, kind, count(*) AS n FROM ({_KINDS}) GROUP BY ALL"))
 def _(spark, sf):
-    r = records(spark, sf).where(FR.compile_rules([FR.min_level("warn")]))
-    return V.count_by_kind(V.with_crash_kind(r))
+    return V.count_by_kind(V.with_crash_kind(records(spark, sf)))
 
 
 @query("crash_kind_labels", sql("rec", f"""SELECT kind, CASE kind WHEN 'kernelPanic' THEN 'P' WHEN 'lowMemory' THEN 'M' WHEN 'anr' THEN 'A' WHEN 'nativeCrash' THEN 'N' END AS badge,

@@ -88,7 +88,6 @@ INTERESTING_TAGS = (
 # --- fixed values: limits ---------------------------------------------------------------
 RING_CAPACITY = 100_000
 MAX_BLOCK_LINES = 400
-MAX_SESSION_EVENTS = 512
 MAX_SNAPSHOT_EVENTS = 1_000
 SNAPSHOT_VERSION = 1
 MAX_PROBE_LINES = 4_000
@@ -98,8 +97,6 @@ MAX_FOLLOW_UP_FILES = 3
 INVENTORY_TTL_MS = 300_000
 BOOT_WINDOW_MS = 120_000
 MAX_BOOT_WINDOW_MS = 900_000
-MIN_POLL_MS = 500
-DEFAULT_POLL_MS = 2_000
 DAY_MS = 86_400_000
 
 _KEYS = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,10 +27,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for cut lineage and stream state: the cluster's checkpoint folder.
 
-    Only a session without one (a local test) gets a folder of its own.
+    Only a local session without one (a test) gets a folder of its own; the executors of a
+    cluster would each write to their own disk there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="stackfall-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
