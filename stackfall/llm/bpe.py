@@ -11,9 +11,11 @@ at most. Transitions are built when first taken and forgotten together when ther
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -267,14 +269,29 @@ def decode(ids: Column, path: str) -> Column:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, texts encoded and decoded.
 
-    One row per row: repeated rows and null ids stay, null texts count as empty, no shuffle.
+    One row per row: repeated rows and null ids stay, null texts count as empty, no shuffle. The
+    ids of one text at a time are held, and only the digests leave the worker.
     """
-    coded = docs.select("doc_id", encode(F.col("text"), path, pattern).alias("ids"))
-    back = coded.select("doc_id", "ids", decode(F.col("ids"), path).alias("decoded"))
-    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, table = _encoder(path, pattern).encode, _vocabulary(path)
+        for batch in batches:
+            counts, listed, decoded = [], [], []
+            for text in batch.column("text"):
+                ids = code(text.as_py())
+                counts.append(len(ids))
+                listed.append(digest(" ".join(map(str, ids))))
+                decoded.append(digest(decode_ids(ids, table)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array(counts, pa.int64()),
+                    pa.array(listed, pa.string()), pa.array(decoded, pa.string()),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
