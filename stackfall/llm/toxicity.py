@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import held_out, label_of
 from .quality_classifier import training_rows
 
@@ -64,6 +65,26 @@ def telling(rows: list[tuple[set[str], int]], count: int = FEATURES) -> list[str
     return [names[i] for i in np.argsort(-ratio, kind="stable")[:count]]
 
 
+def telling_of(rows: DataFrame, count: int = FEATURES) -> list[str]:
+    """:func:`telling` over a table ``label, words``: tokens are counted by Spark."""
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = (sizes.get(0, 0), sizes.get(1, 0))
+    counted = (
+        rows.select("label", F.explode("words").alias("w"))
+        .groupBy("w")
+        .agg(F.sum(1 - F.col("label")).alias("c0"), F.sum("label").alias("c1"))
+    )
+    ratio = F.lit(0.0)
+    for part in ((F.col("c0"), F.col("c1")), (n[0] - F.col("c0"), n[1] - F.col("c1"))):
+        whole = part[0] + part[1]
+        for have, of_label in zip(part, n):
+            expected = whole * (of_label / max(sum(n), 1))
+            few = F.lit(1e-9)
+            ratio = ratio + have * F.log(F.greatest(have, few) / F.greatest(expected, few))
+    top = counted.select("w", ratio.alias("r")).orderBy(F.desc("r"), "w").limit(count)
+    return [r["w"] for r in top.collect()]
+
+
 class Model(NamedTuple):
     weights: dict[str, float]
     bias: float
@@ -82,20 +103,37 @@ def swaps(words: set[str], terms=IDENTITY_TERMS) -> list[tuple[str, str]]:
 def train(
     rows: list[tuple[set[str], int]], *, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE
 ) -> Model:
-    """Full-batch training on word presence; both labels weigh the same."""
+    """Training on word sets held in memory; see :func:`descend`."""
+    names = features(telling(rows))
+    at = {w: i for i, w in enumerate(names)}
+    found = [([at[w] for w in words if w in at], y) for words, y in rows]
+    return descend(names, found, counterfactual=counterfactual, ridge=ridge)
+
+
+def features(chosen: list[str]) -> list[str]:
+    """The chosen tokens and all group terms, in the order of the weights."""
+    return sorted({t for kind in IDENTITY_TERMS for t in kind}.union(chosen))
+
+
+def descend(
+    names: list[str],
+    rows: list[tuple[list[int], int]],
+    *,
+    counterfactual: float = COUNTERFACTUAL,
+    ridge: float = RIDGE,
+) -> Model:
+    """Full-batch training on the features each row has; both labels weigh the same."""
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         return Model({}, 0.0 if not len(rows) else (30.0 if labels[0] else -30.0))
-    groups = {t for kind in IDENTITY_TERMS for t in kind}
-    names = sorted(groups.union(telling(rows)))
     at = {w: i for i, w in enumerate(names)}
-    cols = [np.array([at[w] for w in words if w in at], dtype=np.int64) for words, _ in rows]
-    col = np.concatenate(cols)
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+    groups = {at[t] for kind in IDENTITY_TERMS for t in kind}
+    col = np.array([i for found, _ in rows for i in found], dtype=np.int64)
+    row = np.repeat(np.arange(len(rows)), [len(found) for found, _ in rows])
     changes: dict[tuple[int, int], int] = {}
-    for words, _ in rows:
-        for a, b in swaps(words):
-            key = (at.get(a, -1), at.get(b, -1))
+    for found, _ in rows:
+        for a, b in swaps({names[i] for i in found if i in groups}):
+            key = (at[a], at[b])
             changes[key] = changes.get(key, 0) + 1
     swap = np.array(list(changes), dtype=np.int64).reshape(-1, 2)
     often = np.array(list(changes.values()), dtype=float) / len(rows)
@@ -124,26 +162,35 @@ def train(
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model:
-    """A bounded sample of each label, as word sets, is what reaches the driver."""
+    """A bounded sample of each label is tokenised once into a table; Spark counts its tokens and
+    only the features each sampled row has reach the driver."""
     known = label_of(labels, "toxic").where(~held_out())
 
     def words(frames):
+        for f in frames:
+            yield pd.DataFrame({"label": f["label"], "words": [sorted(tokens(t)) for t in f["text"]]})
+
+    parts = [
+        training_rows(
+            docs, known.where(F.col("label") == v).withColumnRenamed("label", "toxic"), "toxic", rows
+        )
+        for v in (0, 1)
+    ]
+    sample = cut(
+        parts[0].union(parts[1]).select("label", "text").mapInPandas(words, "label int, words array<string>"),
+        "toxicity",
+    )
+    names = features(telling_of(sample))
+    at = {w: i for i, w in enumerate(names)}
+
+    def known_only(frames):
         for f in frames:
             yield pd.DataFrame(
-                {"label": f["label"], "words": [" ".join(sorted(tokens(t))) for t in f["text"]]}
+                {"label": f["label"], "found": [[at[w] for w in ws if w in at] for ws in f["words"]]}
             )
 
-    got = []
-    for value in (0, 1):
-        part = known.where(F.col("label") == value).withColumnRenamed("label", "toxic")
-        got += (
-            training_rows(docs, part, "toxic", rows)
-            .select("label", "text")
-            .mapInPandas(words, "label int, words string")
-            .toArrow()
-            .to_pylist()
-        )
-    return train([(set(r["words"].split()), r["label"]) for r in got])
+    got = sample.mapInPandas(known_only, "label int, found array<int>").toArrow().to_pylist()
+    return descend(names, sorted((r["found"], r["label"]) for r in got))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
