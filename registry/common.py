@@ -166,8 +166,8 @@ ANOMALIES = rf"""a0 AS (SELECT device_serial, session_id, seq, line_index, raw,
 anomaly AS (SELECT device_serial, session_id, seq, line_index, kind, CASE kind WHEN 'binderFailure' THEN 'warning' ELSE 'critical' END AS severity,
   coalesce(nullif(trim(regexp_extract(raw, '^[^'']*''([^'']*)''', 1)), ''), nullif(regexp_extract(raw, '{_PKG_Q}', 1), '')) AS process,
   try_cast(regexp_extract(raw, '^[^(]*\((\d+)', 1) AS INTEGER) AS pid,
-  trim(left(CASE kind WHEN 'lowMemoryKill' THEN raw[strpos(raw, 'Kill '):] WHEN 'outOfMemory' THEN raw[strpos(raw, 'OutOfMemoryError'):]
-    WHEN 'threadExhaustion' THEN raw[strpos(raw, 'pthread_create'):] ELSE raw[strpos(raw, 'TransactionTooLargeException'):] END, 160)) AS detail
+  trim(CASE kind WHEN 'lowMemoryKill' THEN raw[strpos(raw, 'Kill '):] WHEN 'outOfMemory' THEN raw[strpos(raw, 'OutOfMemoryError'):]
+    WHEN 'threadExhaustion' THEN raw[strpos(raw, 'pthread_create'):] ELSE raw[strpos(raw, 'TransactionTooLargeException'):] END) AS detail
   FROM a0 WHERE kind IS NOT NULL)"""
 
 _W = "PARTITION BY device_serial, session_id ORDER BY seq"

@@ -253,7 +253,7 @@ def _(spark, sf):
     return I.boot_window(of(spark, sf, "boots")).select("device_serial", "boot_id", "poll_no", "seed")
 
 
-@query("boot_log", scene_sql(("polls", "boots"), r"""SELECT p.device_serial, CAST(w.boot_id AS VARCHAR) AS session_id, p.poll_no * 1048576 + p.line_no AS seq, CAST(regexp_extract(p.line, '\[ *([0-9.]+)\]', 1) AS DOUBLE) AS uptime_seconds, regexp_extract(p.line, '\] (.*?): ', 1) AS tag
+@query("boot_log", scene_sql(("polls", "boots"), r"""SELECT p.device_serial, CAST(w.boot_id AS VARCHAR) AS session_id, p.poll_no * 4294967296 + p.line_no AS seq, CAST(regexp_extract(p.line, '\[ *([0-9.]+)\]', 1) AS DOUBLE) AS uptime_seconds, regexp_extract(p.line, '\] (.*?): ', 1) AS tag
   FROM polls p JOIN (SELECT * FROM (SELECT *, min(polled_at_ms) OVER w AS s, min(CASE WHEN booted THEN polled_at_ms END) OVER w AS b FROM boots WINDOW w AS (PARTITION BY device_serial, boot_id)) WHERE polled_at_ms <= least(b, s + 120000)) w USING (device_serial, poll_no)
   WHERE w.polled_at_ms > w.s AND p.line <> '' AND NOT EXISTS (SELECT 1 FROM polls q WHERE q.device_serial = p.device_serial AND q.poll_no = p.poll_no - 1 AND q.line = p.line)"""))
 def _(spark, sf):

@@ -80,7 +80,8 @@ def _(spark, sf):
 
 @query("live_polls", scene_sql("polls", "SELECT p.device_serial, p.poll_no, p.line_no, p.line FROM polls p WHERE NOT EXISTS (SELECT 1 FROM polls q WHERE q.device_serial = p.device_serial AND q.poll_no = p.poll_no - 1 AND q.line = p.line)"))
 def _(spark, sf):
-    return S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no")), "polls").drop("batch_id")
+    out = S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no")), "polls")
+    return out.where("not late").drop("batch_id", "late")
 
 
 @query("live_launches", scene_sql("states", "SELECT 1").replace("\nSELECT 1", ",\n" + _STATE + "\nSELECT device_serial, package, polled_at_ms, CASE WHEN was = '' THEN 'start' WHEN now = '' THEN 'stop' ELSE 'restart' END AS edge FROM sl WHERE now <> was"))
@@ -128,4 +129,4 @@ def _(spark, sf):
     """Signals and anomalies of the live watch, newest state per id."""
     updates = S.drain(S.live_watch(replay(lines(spark, sf), "seq")), "watch", mode="update")
     settled = V.settle(updates, version=F.struct("batch_id", "version"))
-    return settled.where(F.col("type") != "crash").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return settled.where(F.col("type").isin("ams", "anomaly")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -233,15 +233,6 @@ def _fragment(line: Column, needles) -> Column:
     return rest
 
 
-def _clip(rest: Column) -> Column:
-    """Characters that begin within the first 160 bytes."""
-    head = F.substring(rest.cast("binary"), 1, 160).cast("string")
-    width = F.when(F.octet_length(rest) == F.length(rest), F.lit(160)).otherwise(
-        F.length(F.make_valid_utf8(head))
-    )
-    return strip(F.substr(rest, F.lit(1), width))
-
-
 # fixed values: anomaly kind, severity, needles that decide it, needles that name the fragment
 _ANOMALIES = (
     ("outOfMemory", "critical", _OOM, _OOM),
@@ -286,7 +277,7 @@ ANOMALY = Steps(
                 to_int(F.regexp_extract(v.line, r"(?s)^[^(]*\(([0-9]+)", 1)),
                 _killed_pid(v.line),
             ).alias("pid"),
-            _clip(v.rest).alias("detail"),
+            strip(v.rest).alias("detail"),
         ),
     ),
 )

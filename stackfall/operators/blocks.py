@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import crash as K
 from ..functions.signals import ANOMALY, AMS, may_be_ams, may_be_anomaly
-from ..schema import CRASH_EVENT_COLUMNS, MAX_BLOCK_LINES, SESSION
+from ..schema import CRASH_EVENT_COLUMNS, SESSION
 from . import chunks as H
 
-#: Events whose block is longer keep their counts and hash but no arrays; every line of such a
-#: block stays available as a row of the block-lines frame.
-INLINE_LINES = 100_000
-
 
 def _resolve_blocks(rows: DataFrame, chunk_rows: int) -> DataFrame:
     """Adds ``start_seq``, ``line_no`` and ``frame_no`` (NULL outside a block).
@@ -150,17 +146,19 @@ def crash_events(
     block_lines: DataFrame,
     *,
     origin: str = "crashBuffer",
-    inline_lines: int = INLINE_LINES,
+    arrays: bool = True,
     opening: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per block. Scalars are mergeable aggregates over any number of lines; arrays are
-    collected from at most ``inline_lines`` lines and left out for longer blocks. ``opening``
-    names further columns to take from the row that opened the block."""
+    """One row per block, of any length. Scalars are mergeable aggregates over its lines.
+
+    ``frames``, ``caused_by`` and ``raw`` hold all lines they are about; without ``arrays`` they
+    are NULL for every block and ``block_lines`` itself is the frame of lines. ``opening`` names
+    further columns to take from the row that opened the block."""
     parts = K.with_line_parts(block_lines, F.col("line"))
     one, two = K.frame_hashes(F.col("frame"), F.col("frame_no"))
     held = F.col("frame").isNotNull()
     parts = parts.withColumns({"frame_h1": F.when(held, one), "frame_h2": F.when(held, two)})
-    inline = F.col("line_no") < F.lit(inline_lines)
+    inline = F.lit(arrays)
     fields = K.merge(K.row_reducer("line_no", inline))
     raw = F.transform(
         F.array_sort(
@@ -174,14 +172,13 @@ def crash_events(
         F.count(F.lit(1)).alias("n_lines"),
         *[F.max(F.when(F.col("line_no") == 0, F.col(n))).alias(n) for n in opening],
     )
-    whole = F.col("n_lines") <= inline_lines
     return events.withColumns(
         {
             "event_id": F.concat_ws("#", F.lit(origin), F.col("start_seq")),
             "origin": F.lit(origin),
-            "frames": F.when(whole, F.col("frames")),
-            "caused_by": F.when(whole, F.col("caused_by")),
-            "raw": F.when(whole, F.col("raw")),
+            "frames": F.when(inline, F.col("frames")),
+            "caused_by": F.when(inline, F.col("caused_by")),
+            "raw": F.when(inline, F.col("raw")),
         }
     ).select(*CRASH_EVENT_COLUMNS, *opening)
 
@@ -195,7 +192,7 @@ def fields_of_arrays(df: DataFrame, lines: str) -> DataFrame:
 
 
 def live_blocks(records: DataFrame, *, chunk_rows: int = H.CHUNK_ROWS) -> DataFrame:
-    """Gated rows under the live rule: no tag rule, at most 400 lines per block.
+    """Gated rows under the live rule: no tag rule, blocks of any length.
 
     Rows of other tags neither extend nor close a block, so they are filtered first; what is
     left is a few rows per second of log. Rows outside a block keep NULL ``start_seq``.
@@ -210,11 +207,8 @@ def live_blocks(records: DataFrame, *, chunk_rows: int = H.CHUNK_ROWS) -> DataFr
         .withColumn("_tag", F.lit(None).cast("string"))
         .withColumn("_frame", K.is_frame(body))
     )
-    placed = _resolve_blocks(rows, chunk_rows)
-    inside = F.col("line_no") < MAX_BLOCK_LINES
-    return placed.select(
-        *SESSION, "seq", "tag", "message", "package", "pid",
-        *[F.when(inside, F.col(n)).alias(n) for n in ("start_seq", "line_no", "frame_no")],
+    return _resolve_blocks(rows, chunk_rows).select(
+        *SESSION, "seq", "tag", "message", "package", "pid", "start_seq", "line_no", "frame_no"
     )
 
 
@@ -235,9 +229,7 @@ def live_crash_events(rows: DataFrame, *, finish: bool = True) -> DataFrame:
     ends = rows.groupBy(*SESSION).agg(
         F.max("seq").alias("_end"), F.max_by("start_seq", "seq").alias("_open")
     )
-    still_open = F.coalesce(F.col("_open") == F.col("start_seq"), F.lit(False)) & (
-        F.col("n_lines") < MAX_BLOCK_LINES
-    )
+    still_open = F.coalesce(F.col("_open") == F.col("start_seq"), F.lit(False))
     return (
         filled.join(ends, list(SESSION), "left")
         .withColumn("complete", ~still_open)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import is_valid_package, package_of_process, uid_of_user
 from ..functions.text import strip, to_int
-from ..schema import BOOT_WINDOW_MS, DAY_MS, INVENTORY_TTL_MS, MAX_BOOT_WINDOW_MS
+from ..schema import BOOT_WINDOW_MS, DAY_MS, INVENTORY_TTL_MS
 from . import chunks as H
 
 #: Salts for the as-of lookup: one hot process is spread over this many tasks.
@@ -307,12 +307,11 @@ def boot_window(
 
     ``polls``: device_serial, boot_id, polled_at_ms, booted.
     """
-    span = min(window_ms, MAX_BOOT_WINDOW_MS)
     ends = polls.groupBy("device_serial", "boot_id").agg(
         F.min("polled_at_ms").alias("_start"),
         F.min(F.when(F.col("booted"), F.col("polled_at_ms"))).alias("_booted"),
     )
-    deadline = F.least(F.col("_booted"), F.col("_start") + span)
+    deadline = F.least(F.col("_booted"), F.col("_start") + window_ms)
     return (
         polls.join(ends, ["device_serial", "boot_id"])
         .where(F.col("polled_at_ms") <= deadline)

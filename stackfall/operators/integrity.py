@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import is_binary_line, requested_buffers
-from ..schema import CHECK_RANK, RING_CAPACITY, SESSION
+from ..schema import CHECK_RANK, SESSION
 from . import chunks as H
 
 
@@ -20,7 +20,7 @@ class Limits:
     gap_warning_ms: int = 30_000
 
 
-def ring_stats(records: DataFrame, capacity: int = RING_CAPACITY) -> DataFrame:
+def ring_stats(records: DataFrame, capacity: int) -> DataFrame:
     """What a ring of ``capacity`` records would hold and have dropped."""
     size = max(int(capacity), 1)
     pushed = F.col("total_pushed")

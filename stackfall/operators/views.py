@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.steps import pinned
-from ..schema import (
-    CRASH_EVENT_COLUMNS, MAX_SNAPSHOT_EVENTS, RING_CAPACITY, SESSION, TAIL_MEMORY,
-)
+from ..schema import CRASH_EVENT_COLUMNS, SESSION
 from .chunks import CHUNK_ROWS
 
 
@@ -51,7 +49,7 @@ def by_origin(events: DataFrame, origin: str) -> DataFrame:
 
 def tail(
     records: DataFrame,
-    n: int = RING_CAPACITY,
+    n: int,
     *,
     keys: Sequence[str] = SESSION,
     order: str = "seq",
@@ -99,7 +97,7 @@ def tail_lines(
 
 def cap_events(
     events: DataFrame,
-    n: int = MAX_SNAPSHOT_EVENTS,
+    n: int,
     *,
     newest: bool = True,
     order: str = "start_seq",
@@ -189,23 +187,22 @@ def mentions_target(line: Column, package: str | None, typed: str) -> Column:
 
 
 def incremental_lines(polls: DataFrame, *, keep: int | None = None) -> DataFrame:
-    """Lines of a poll that the tail of the poll before did not have.
+    """Lines of a poll that the poll before (its newest ``keep`` lines, if given) did not have.
 
     ``polls`` has ``device_serial``, ``poll_no``, ``line_no``, ``line``. The comparison is with a
     *set* of lines: a repeat inside one poll stays, a repeat of the last poll goes. Equality is
     on the text, with its hash as the join key.
     """
-    keep = TAIL_MEMORY if keep is None else keep
-    ends = polls.groupBy("device_serial", "poll_no").agg(F.max("line_no").alias("_end"))
-    seen = (
-        polls.join(ends, ["device_serial", "poll_no"])
-        .where(F.col("line_no") > F.col("_end") - keep)
-        .select(
-            "device_serial", (F.col("poll_no") + 1).alias("poll_no"),
-            F.xxhash64("line").alias("_hash"), "line",
+    held = polls
+    if keep is not None:
+        ends = polls.groupBy("device_serial", "poll_no").agg(F.max("line_no").alias("_end"))
+        held = polls.join(ends, ["device_serial", "poll_no"]).where(
+            F.col("line_no") > F.col("_end") - keep
         )
-        .distinct()
-    )
+    seen = held.select(
+        "device_serial", (F.col("poll_no") + 1).alias("poll_no"),
+        F.xxhash64("line").alias("_hash"), "line",
+    ).distinct()
     return (
         polls.withColumn("_hash", F.xxhash64("line"))
         .join(seen, ["device_serial", "poll_no", "_hash", "line"], "left_anti")

@@ -21,7 +21,7 @@ from ..operators import reports as R
 from ..operators import signals as G
 from ..operators import stories as T
 from ..operators import views as V
-from ..schema import MAX_PROBE_LINES, SESSION
+from ..schema import SESSION
 from ..session import cut as cut_table
 from ..sources import artifacts as A
 from ..sources.lines import parse_records
@@ -76,7 +76,6 @@ def analyse(
     max_lines: int = 60,
     max_gap_ms: int = 5_000,
     line_window: str = "lines",
-    capacity: int | None = None,
     chunk_rows: int = H.CHUNK_ROWS,
     cut: bool = True,
 ) -> Forensics:
@@ -121,18 +120,12 @@ def analyse(
             F.lit(None).cast("array<string>").alias("missing"),
         )
     )
-    dropped = (
-        Q.ring_stats(records, capacity).select(*SESSION, "total_dropped")
-        if capacity is not None
-        else None
-    )
     checks = Q.assess_integrity(
         sessions,
         Q.capture_counters(records),
         Q.gap_summary(Q.gaps(records, chunk_rows=chunk_rows), limits),
         Q.stackless_crashes(events),
         buffers,
-        dropped=dropped,
         limits=limits,
     )
     checks = keep(checks, "checks")
@@ -190,13 +183,14 @@ def crash_scene(
     package: str | None = None,
     typed: str = "",
     newest: int | None = None,
+    max_lines: int | None = None,
 ) -> Scene:
     """Events, log rows and the report of a collection.
 
     ``reads``: session keys, dir, name, ordinal, text, error_text, exit_code. Of every directory
     the newest ``newest`` files are followed. Blank and binary lines are left out of the rows;
-    with a followed application only lines that name it stay. Each text counts up to 4 000 lines,
-    newest first.
+    with a followed application only lines that name it stay. ``max_lines`` keeps the newest lines
+    of each text only.
     """
     status = C.read_status(F.col("text"), F.col("error_text"), F.col("exit_code"))
     read = reads.withColumn("status", status)
@@ -204,9 +198,9 @@ def crash_scene(
         read = A.newest_files(read, newest)
     found = read.where(F.col("status") == "found")
     events = A.artifact_events(found)
-    lines = V.tail_lines(
-        A.artifact_lines(found), MAX_PROBE_LINES, keys=A.ARTIFACT_KEY, order="seq"
-    )
+    lines = A.artifact_lines(found)
+    if max_lines is not None:
+        lines = V.tail_lines(lines, max_lines, keys=A.ARTIFACT_KEY, order="seq").drop("trimmed")
     kept = lines.where((F.trim("line") != "") & ~C.is_binary_line(F.col("line")))
     if package or typed.strip():
         kept = kept.where(V.mentions_target(F.col("line"), package, typed))
@@ -242,7 +236,7 @@ def boot_log(
     lines = fresh.select(
         "device_serial",
         F.col("boot_id").cast("string").alias("session_id"),
-        (F.col("poll_no") * F.lit(1 << 20) + F.col("line_no")).alias("seq"),
+        (F.col("poll_no") * F.lit(1 << 32) + F.col("line_no")).alias("seq"),
         F.lit("boot").alias("source"),
         F.lit(None).cast("bigint").alias("received_at_ms"),
         "line",

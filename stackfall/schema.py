@@ -86,17 +86,10 @@ INTERESTING_TAGS = (
 )
 
 # --- fixed values: limits ---------------------------------------------------------------
-RING_CAPACITY = 100_000
-MAX_BLOCK_LINES = 400
-MAX_SNAPSHOT_EVENTS = 1_000
 SNAPSHOT_VERSION = 1
-MAX_PROBE_LINES = 4_000
-TAIL_MEMORY = MAX_PROBE_LINES + 512
-MAX_PROBE_BYTES = 512 * 1024
 MAX_FOLLOW_UP_FILES = 3
 INVENTORY_TTL_MS = 300_000
 BOOT_WINDOW_MS = 120_000
-MAX_BOOT_WINDOW_MS = 900_000
 DAY_MS = 86_400_000
 
 _KEYS = [

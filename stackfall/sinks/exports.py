@@ -106,10 +106,12 @@ def safe_stem(name: str) -> str:
     return stem or "export"
 
 
-def save_snapshot(events: DataFrame, path: str, saved_at_ms: int) -> None:
-    """Newest 1 000 events of every session, replacing the snapshot before."""
-    capped = cap_events(events)
-    capped.withColumns(
+def save_snapshot(
+    events: DataFrame, path: str, saved_at_ms: int, *, newest: int | None = None
+) -> None:
+    """All events, or the ``newest`` ones of every session, replacing the snapshot before."""
+    kept = events if newest is None else cap_events(events, newest)
+    kept.withColumns(
         {"version": F.lit(SNAPSHOT_VERSION), "saved_at_ms": F.lit(saved_at_ms).cast("bigint")}
     ).write.mode("overwrite").parquet(path)
 

@@ -12,7 +12,7 @@ from ..functions.crash import is_frame
 from ..functions.text import strip
 from ..operators import blocks as B
 from ..operators import chunks as H
-from ..schema import MAX_FOLLOW_UP_FILES, MAX_PROBE_BYTES, SESSION
+from ..schema import MAX_FOLLOW_UP_FILES, SESSION
 from .lines import explode_lines
 
 #: Key of one artifact text.
@@ -26,12 +26,12 @@ def read_artifacts(
     session: str | Column,
     *,
     glob: str | None = None,
-    max_bytes: int = MAX_PROBE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Files below ``path`` as artifacts, each read up to ``max_bytes`` with a ``truncated`` flag.
+    """Files below ``path`` as artifacts, whole or up to ``max_bytes`` with a ``truncated`` flag.
 
-    ``device`` and ``session`` may be Columns over ``path``. The byte cap is the read rule of a
-    collection, on whole characters; the size on disk is kept in ``size_bytes``.
+    ``device`` and ``session`` may be Columns over ``path``. The byte limit works on whole
+    characters; the size on disk is kept in ``size_bytes``.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
@@ -47,8 +47,12 @@ def read_artifacts(
         key(session).alias("session_id"),
         F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("dir"),
         F.element_at(parts, -1).alias("name"),
-        cap_bytes(F.col("content"), max_bytes).alias("text"),
-        (F.col("length") > max_bytes).alias("truncated"),
+        (
+            F.make_valid_utf8(F.col("content").cast("string"))
+            if max_bytes is None
+            else cap_bytes(F.col("content"), max_bytes)
+        ).alias("text"),
+        (F.lit(False) if max_bytes is None else F.col("length") > max_bytes).alias("truncated"),
         F.col("length").alias("size_bytes"),
     )
 
@@ -203,8 +207,8 @@ def artifact_lines(artifacts: DataFrame) -> DataFrame:
 def artifact_events(artifacts: DataFrame, *, route: str | None = None) -> DataFrame:
     """Crash events of artifact texts, routed by shape.
 
-    An ANR trace gives one event per ``----- pid`` section, any other text one event. Texts are
-    at most the read cap long, so a block is an array of one row and needs no shuffle at all.
+    An ANR trace gives one event per ``----- pid`` section, any other text one event. A
+    text is one value already, so its blocks are arrays of one row and nothing is shuffled.
     """
     routed = route_artifact(artifacts)
     if route is not None:

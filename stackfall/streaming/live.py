@@ -2,7 +2,7 @@
 
 Only what must remember rows keeps Python state, and only for rows that passed the tag gate; all
 parsing stays in JVM expressions before and after it. ``seq`` orders rows, never arrival time:
-rows of one batch are sorted by it and a row behind the last one seen is counted and dropped.
+rows of one batch are sorted by it and a row behind the last one seen comes out as a late row.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..functions import crash as K
 from ..functions import rules as FR
 from ..functions.signals import parse_ams, parse_anomaly
 from ..operators.views import with_crash_kind
-from ..schema import MAX_BLOCK_LINES, SESSION, TAIL_MEMORY
+from ..schema import SESSION
 from ..session import scratch_path
 from ..sources.lines import parse_records
 
@@ -83,7 +83,8 @@ def activity_sessions(lines: DataFrame, *, gap: str = "30 seconds") -> DataFrame
 
 _WATCH_OUT = (
     "device_serial string, session_id string, seq bigint, start_seq bigint, version bigint, "
-    "complete boolean, lines array<string>, loose string, package string, pid int"
+    "complete boolean, lines array<string>, loose string, package string, pid int, "
+    "late string"
 )
 
 
@@ -98,43 +99,41 @@ class _BlockWatch(StatefulProcessor):
         self._open = handle.getValueState(
             "open", "start bigint, version bigint, package string, pid int, lines array<string>"
         )
-        self._seen = handle.getValueState("seen", "last_seq bigint, late bigint")
+        self._seen = handle.getValueState("seen", "last_seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        last, late = self._seen.get() if self._seen.exists() else (-1, 0)
+        (last,) = self._seen.get() if self._seen.exists() else (-1,)
         block = None
         if self._open.exists():
             start, version, package, pid, lines = self._open.get()
             block = [start, version, package, pid, list(lines)]
         out: list[tuple] = []
         for row in batch.itertuples(index=False):
+            pid = None if pd.isna(row.pid) else int(row.pid)
+            text = f"{row.tag}: {row.message}"
             if row.seq <= last:
-                late += 1
+                out.append((*key, row.seq, None, row.seq, True, None, None, row.package, pid, text))
                 continue
             last = row.seq
             if row.starts:
                 if block is not None:
                     out.append(self._event(key, block, True))
-                pid = None if pd.isna(row.pid) else int(row.pid)
                 block = [row.seq, row.seq, row.package, pid, []]
             if block is not None and (row.starts or row.extends):
                 block[4].append(row.message)
                 block[1] = row.seq
-                if len(block[4]) >= MAX_BLOCK_LINES:
-                    out.append(self._event(key, block, True))
-                    block = None
                 continue
             if block is not None:
                 out.append(self._event(key, block, True))
                 block = None
-            out.append((*key, row.seq, None, row.seq, True, None, f"{row.tag}: {row.message}", None, None))
+            out.append((*key, row.seq, None, row.seq, True, None, text, None, None, None))
         if block is None:
             self._open.clear()
         else:
             out.append(self._event(key, block, False))
             self._open.update((block[0], block[1], block[2], block[3], block[4]))
-        self._seen.update((int(last), int(late)))
+        self._seen.update((int(last),))
         if self._idle_ms is not None:
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
@@ -157,7 +156,7 @@ class _BlockWatch(StatefulProcessor):
     @staticmethod
     def _event(key, block, complete: bool) -> tuple:
         start, version, package, pid, lines = block
-        return (*key, start, start, version, complete, list(lines), None, package, pid)
+        return (*key, start, start, version, complete, list(lines), None, package, pid, None)
 
     @staticmethod
     def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -173,8 +172,9 @@ def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     """Live crash events, signals and anomalies (update mode).
 
     A growing block keeps one ``event_id``: ``complete`` is false while it is open and true once
-    it is closed, capped or, with ``idle_ms``, left alone for that long. ``version`` orders the
-    updates of an id.
+    it is closed or, with ``idle_ms``, left alone for that long. ``version`` orders the updates of
+    an id. A row behind rows already read cannot change a block any more: it comes out as an
+    event of type ``late`` with its text in ``detail``.
     """
     records = parse_records(lines)
     body = F.col("message")
@@ -195,8 +195,8 @@ def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
         fields.alias("crash"),
         parse_ams(F.col("loose")).alias("ams"),
         parse_anomaly(F.col("loose")).alias("anomaly"),
+        "late",
     )
-    kept = parsed.where(F.coalesce("crash.kind", "ams.kind", "anomaly.kind").isNotNull() | F.col("crash").isNotNull())
     crash = F.struct(
         F.lit("crash").alias("type"),
         F.concat(F.lit("crashBuffer#"), F.col("seq")).alias("event_id"),
@@ -217,16 +217,23 @@ def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
         F.col("anomaly.kind").alias("kind"), F.col("anomaly.process").alias("process"),
         F.col("anomaly.pid").alias("pid"), F.col("anomaly.detail").alias("detail"),
     )
+    late = F.struct(
+        F.lit("late").alias("type"),
+        F.concat(F.lit("late#"), F.col("seq")).alias("event_id"),
+        F.lit(None).cast("string").alias("kind"), F.col("package").alias("process"),
+        F.col("_pid").alias("pid"), F.col("late").alias("detail"),
+    )
     each = F.filter(
         F.array(
             F.when(F.col("crash").isNotNull(), crash),
             F.when(F.col("ams").isNotNull(), ams),
             F.when(F.col("anomaly").isNotNull(), anomaly),
+            F.when(F.col("late").isNotNull(), late),
         ),
         lambda e: e.isNotNull(),
     )
     return (
-        kept.withColumn("_e", F.explode(each))
+        parsed.withColumn("_e", F.explode(each))
         .select(
             *SESSION, "_e.event_id", "_e.type", "seq", "version", "complete",
             "_e.kind", "_e.process", "_e.pid", "_e.detail",
@@ -240,42 +247,46 @@ def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
 
 
 class _PollTail(StatefulProcessor):
-    """Line hashes of the poll before and of the poll being read, per device."""
+    """Distinct lines of the poll before and of the poll being read, per device."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._tail = handle.getValueState(
-            "tail", "poll bigint, before array<bigint>, current array<bigint>"
+            "tail", "poll bigint, before array<string>, current array<string>"
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["poll_no", "line_no"])
         poll, before, current = self._tail.get() if self._tail.exists() else (-1, [], [])
-        before, current = set(before), list(current)
+        before, current = set(before), set(current)
         out = []
         for number, lines in batch.groupby("poll_no", sort=True):
-            if number < poll:
-                continue
-            if number != poll:
-                before = set(current[-TAIL_MEMORY:]) if number == poll + 1 else set()
-                poll, current = int(number), []
-            out.append(lines[~lines["line_hash"].isin(before)])
-            current = (current + lines["line_hash"].tolist())[-TAIL_MEMORY:]
-        self._tail.update((int(poll), [int(h) for h in before], [int(h) for h in current]))
+            late = bool(number < poll)
+            if not late:
+                if number != poll:
+                    before = current if number == poll + 1 else set()
+                    poll, current = int(number), set()
+                current.update(lines["line"].dropna())
+                lines = lines[~lines["line"].isin(before)]
+            out.append(lines.assign(late=late))
+        self._tail.update((int(poll), list(before), list(current)))
         for frame in out:
-            yield frame[["device_serial", "poll_no", "line_no", "line"]]
+            yield frame[["device_serial", "poll_no", "line_no", "line", "late"]]
 
     def close(self) -> None:
         pass
 
 
 def live_polls(polls: DataFrame) -> DataFrame:
-    """Unseen lines of a stream of polls (device_serial, poll_no, line_no, line)."""
-    hashed = polls.select(
-        "device_serial", "poll_no", "line_no", "line", F.xxhash64("line").alias("line_hash")
-    )
-    return hashed.groupBy("device_serial").transformWithStateInPandas(
+    """Unseen lines of a stream of polls (device_serial, poll_no, line_no, line).
+
+    A poll that arrives after a later one comes out whole, with ``late``.
+    """
+    rows = polls.select("device_serial", "poll_no", "line_no", "line")
+    return rows.groupBy("device_serial").transformWithStateInPandas(
         statefulProcessor=_PollTail(),
-        outputStructType="device_serial string, poll_no bigint, line_no bigint, line string",
+        outputStructType=(
+            "device_serial string, poll_no bigint, line_no bigint, line string, late boolean"
+        ),
         outputMode="Append",
         timeMode="None",
     )
@@ -296,9 +307,10 @@ class _Launches(StatefulProcessor):
         pids = list(pids)
         out = []
         for row in batch.itertuples(index=False):
+            now = [int(p) for p in row.pids]
             if row.polled_at_ms <= at:
+                out.append((*key, int(row.polled_at_ms), now, "late"))
                 continue
-            now = [int(p) for p in row.pids]
             edge = None
             if now and not pids:
                 edge = "start"
@@ -320,7 +332,8 @@ class _Launches(StatefulProcessor):
 
 
 def live_launches(states: DataFrame) -> DataFrame:
-    """Start, stop and restart edges out of a stream of (device, package) process states."""
+    """Start, stop and restart edges out of a stream of (device, package) process states; a state
+    behind the last one seen comes out with the edge ``late``."""
     return states.groupBy("device_serial", "package").transformWithStateInPandas(
         statefulProcessor=_Launches(),
         outputStructType=(

@@ -91,7 +91,7 @@ def test_anomalies(spark):
     out = one(spark, ["I lmkd: Kill 'com.a.b' (2000), uid=1", "x OutOfMemoryError " + "é" * 200, "Too many open files",
                       "binder transaction failed", "(99999999999) EMFILE", "Killing time on the couch"], SG.parse_anomaly)
     assert (out[0].kind, out[0].process, out[0].pid) == ("lowMemoryKill", "com.a.b", 2000)
-    assert len(out[1].detail) == 17 + 72  # the character that covers byte 160 is kept
+    assert len(out[1].detail) == 17 + 200
     assert [o.kind if o else None for o in out[2:]] == ["fdExhaustion", "binderFailure", "fdExhaustion", None]
     assert out[4].pid is None
 

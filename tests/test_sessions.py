@@ -10,7 +10,6 @@ from stackfall.operators import chunks as H
 from stackfall.operators import integrity as Q
 from stackfall.operators import links as L
 from stackfall.operators import views as V
-from stackfall.schema import MAX_BLOCK_LINES
 
 KEYS = "device_serial string, session_id string, seq bigint"
 
@@ -52,18 +51,19 @@ def test_block_over_many_chunks_and_long_blocks(spark):
     blocks = B.crash_blocks(df, chunk_rows=16)
     whole = B.crash_events(blocks).first()
     assert whole.n_lines == n + 1 and whole.n_frames == n and len(whole.frames) == n and whole.thread == "main"
-    long = B.crash_events(blocks, inline_lines=100).first()
+    assert len(whole.raw) == n + 1
+    long = B.crash_events(blocks, arrays=False).first()
     assert long.frames is None and long.n_frames == n and long.stack_hash == whole.stack_hash and long.kind == "nativeCrash"
 
 
-def test_live_cap(spark):
+def test_live_blocks_have_no_length_limit(spark):
     rows = [("d", "s", 0, "AndroidRuntime", "FATAL EXCEPTION: main", "p", 1)]
-    rows += [("d", "s", i, "AndroidRuntime", f"at a.b{i}(C)", None, 1) for i in range(1, 450)]
+    rows += [("d", "s", i, "AndroidRuntime", f"at a.b{i}(C)", None, 1) for i in range(1, 5_000)]
     df = spark.createDataFrame(rows, KEYS + ", tag string, message string, package string, pid int")
     out = B.live_blocks(df, chunk_rows=64)
-    assert out.where("start_seq = 0").count() == MAX_BLOCK_LINES
+    assert out.where("start_seq = 0").count() == 5_000
     event = B.live_crash_events(out, finish=False).first()
-    assert event.n_lines == MAX_BLOCK_LINES and event.complete and event.process == "p"
+    assert event.n_lines == len(event.raw) == 5_000 and not event.complete and event.process == "p"
 
 
 def brute_links(signals, max_lines, max_gap):
