@@ -1,26 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source of integer weight ``w`` in a frame of ``W`` slots owns a share of ``w / W``. Its block
+A source of weight ``w`` among weights that sum to ``W`` owns a share of ``w / W``. Its block
 ``k`` is released at slot ``floor(k * W / w)`` and due by ``ceil((k + 1) * W / w)``; in every slot
 the released block with the earliest deadline runs. On one lane this meets every deadline, so at any
-slot each source is less than one block away from its share. The schedule repeats after ``W``
-slots: one frame is computed, every block's slot is then arithmetic on its own number, and rows
-are numbered inside their source by bounded buckets. No source is ever sorted in one task.
+slot each source is less than one block away from its share. Weights are exact fractions, never
+rounded, so nothing adds up however long the mix is. The schedule has one step per block that
+exists (a slot without one is skipped); rows are numbered inside their source by bounded buckets.
+No source is ever sorted in one task.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from decimal import Decimal
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Documents of one source that are taken together.
 BLOCK_ROWS = 64
-#: Slots of a frame: weights are rounded to multiples of one over this number.
+#: Blocks of a frame: the schedule is laid out frame by frame, each goes on where the last ended.
 FRAME_SLOTS = 4096
+#: Schedules of up to this many blocks are sent to the rows, longer ones are joined by a shuffle.
+SEND_BLOCKS = 1_000_000
 #: Rows a numbering bucket holds on average.
 BUCKET_ROWS = 1024
 #: Production weights: document counts to this power.
@@ -28,7 +36,8 @@ TEMPERATURE = 0.5
 
 
 def whole_weights(weights: Mapping, slots: int = FRAME_SLOTS) -> dict:
-    """Integer weights, one at least, that sum to ``max(slots, number of sources)``.
+    """Integer weights, one at least, that sum to ``max(slots, number of sources)``, for a single
+    :func:`frame`; a mix of any length needs :func:`exact_weights`.
 
     Largest remainders get the slots that rounding leaves; ties go in the order of the names.
     """
@@ -47,23 +56,62 @@ def whole_weights(weights: Mapping, slots: int = FRAME_SLOTS) -> dict:
     return whole
 
 
-def frame(whole: Mapping) -> list[tuple]:
-    """``(source, j, slot)`` of one frame: the slot in which block ``j`` of the source runs."""
-    slots = sum(whole.values())
+def exact_weights(weights: Mapping) -> dict:
+    """Integers in exactly the proportions of ``weights``."""
+    if any(not w > 0 or w == float("inf") for w in weights.values()):
+        raise ValueError("target weights must be positive and finite")
+    exact = {
+        s: Fraction(w if isinstance(w, (int, Decimal, Fraction)) else float(w))
+        for s, w in weights.items()
+    }
+    common = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * common) for s, x in exact.items()}
+
+
+def schedule(whole: Mapping, blocks: Mapping) -> Iterator[tuple]:
+    """``(source, k, release, deadline, slot)`` of every block ``k < blocks[source]``, by slot.
+
+    Slots that belong to blocks behind the end of a source stay empty.
+    """
+    total = sum(whole.values())
     names = sorted(whole, key=lambda s: (s is None, s))
-    waiting = [(0, i, 0) for i in range(len(names))]  # release, source, block
+    weight, ends = [whole[s] for s in names], [blocks[s] for s in names]
+    waiting = [(0, i, 0) for i in range(len(names)) if ends[i]]  # release, source, block
     heapq.heapify(waiting)
-    ready: list[tuple] = []  # deadline, source, block
-    out = []
-    for slot in range(slots):
+    ready: list[tuple] = []  # deadline, source, block, release
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * slots // whole[names[i]]), i, k))
-        _, i, k = heapq.heappop(ready)
-        out.append((names[i], k, slot))
-        if k + 1 < whole[names[i]]:
-            heapq.heappush(waiting, ((k + 1) * slots // whole[names[i]], i, k + 1))
-    return out
+            release, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // weight[i]), i, k, release))
+        deadline, i, k, release = heapq.heappop(ready)
+        yield names[i], k, release, deadline, slot
+        if k + 1 < ends[i]:
+            heapq.heappush(waiting, ((k + 1) * total // weight[i], i, k + 1))
+        slot += 1
+
+
+def frame(whole: Mapping) -> list[tuple]:
+    """``(source, j, slot)`` of one frame: the slot in which block ``j`` of the source runs."""
+    return [(s, k, slot) for s, k, _, _, slot in schedule(whole, whole)]
+
+
+def _plan(whole: Mapping, blocks: Mapping, slots: int) -> pa.Table:
+    """The schedule as a table, made frame by frame."""
+    longs = ("_k", "release", "deadline", "slot")
+    schema = pa.schema([("_t", pa.string()), *((c, pa.int64()) for c in longs)])
+    steps, frames = schedule(whole, blocks), []
+    while some := list(islice(steps, slots)):
+        if max(r[3] for r in some) >= 1 << 63:
+            raise ValueError("a target weight is so small that its slots exceed 64 bits")
+        frames.append(
+            pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema
+            )
+        )
+    return pa.Table.from_batches(frames, schema)
 
 
 def numbered(docs: DataFrame, source: str, key: Column, counts: Mapping) -> DataFrame:
@@ -118,7 +166,9 @@ def mix(
 
     Reading by ``(slot, place)`` gives the mix. ``weights`` maps each source to its target weight; sources
     that it leaves out weigh 1, by default all weigh their row count to the power
-    ``TEMPERATURE``. The number of sources must fit the driver (they name the targets).
+    ``TEMPERATURE``. Weights count exactly, however small and however many sources there are. The
+    driver lays out the schedule in frames of ``slots`` blocks; sources and one short row per
+    ``block_rows`` rows must fit it.
     When a source ends its slots stay empty and the others keep their proportions; no row is
     dropped or repeated. A null source is a source of its own, null ids sort first, repeated rows
     stay repeated, an empty table gives no rows. Columns of ``docs`` named like a result column are
@@ -137,30 +187,15 @@ def mix(
         if weights is None
         else {s: weights.get(s, 1.0) for s in counts}
     )
-    whole = whole_weights(target, slots) if target else {}
-    total = sum(whole.values())
-    plan = docs.sparkSession.createDataFrame(
-        [(s, k, slot, whole[s]) for s, k, slot in frame(whole)],
-        "_t string, _k bigint, _slot bigint, _w bigint",
-    )
-    share = docs.sparkSession.createDataFrame(
-        [(s, w) for s, w in whole.items()], "_u string, _weight bigint"
-    )
-    block = F.floor(F.col("_n") / block_rows)
-    up = lambda x: F.expr(f"({x} + _weight - 1) div _weight")
-    rows = (
-        numbered(docs, source, F.col(id_col), counts)
-        .join(F.broadcast(share), F.col("_s").eqNullSafe(F.col("_u")))
-        .withColumn("block_no", block.cast("bigint"))
-        .withColumn("_j", F.col("block_no") % F.col("_weight"))
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    plan = docs.sparkSession.createDataFrame(_plan(exact_weights(target), blocks, slots))
+    if sum(blocks.values()) <= SEND_BLOCKS:
+        plan = F.broadcast(plan)
+    rows = numbered(docs, source, F.col(id_col), counts).withColumn(
+        "block_no", F.floor(F.col("_n") / block_rows).cast("bigint")
     )
     return (
-        rows.join(
-            F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_j") == F.col("_k"))
-        )
-        .withColumn("release", F.expr(f"(block_no * {total}L) div _weight"))
-        .withColumn("deadline", up(f"(block_no + 1) * {total}L"))
-        .withColumn("slot", F.expr(f"(block_no div _weight) * {total}L") + F.col("_slot"))
+        rows.join(plan, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("block_no") == F.col("_k")))
         .withColumn("place", (F.col("_n") % block_rows).cast("int"))
         .select(*docs.columns, *own)
     )

@@ -172,6 +172,41 @@ def test_mix_meets_every_window_and_keeps_every_row(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "targets, blocks",
+    [
+        ({f"s{i}": (i + 1) ** 0.5 for i in range(20)}, 1500),  # no multiples of one over the slots
+        ({"a": 1.0, "b": 0.7, "tiny": 1e-4}, 20000),  # less than one slot of a frame
+        ({f"s{i:02}": 1.0 + i for i in range(40)}, 60),  # more sources than slots
+    ],
+)
+def test_mix_stays_within_a_block_of_the_asked_weights(targets, blocks):
+    total = sum(targets.values())
+    ends = {s: max(1, int(blocks * w / total)) for s, w in targets.items()}
+    plan = mixing._plan(mixing.exact_weights(targets), ends, 16).to_pylist()
+    assert Counter(r["_t"] for r in plan) == ends
+    assert len({r["slot"] for r in plan}) == len(plan)
+    done = Counter()
+    for r in plan:
+        s, share = r["_t"], targets[r["_t"]] / total
+        assert r["_k"] == done[s] and r["release"] <= r["slot"] < r["deadline"]
+        assert abs(done[s] - share * r["slot"]) < 1 + 1e-9
+        done[s] += 1
+        assert abs(done[s] - share * (r["slot"] + 1)) < 1 + 1e-9
+
+
+def test_mix_of_many_sources_over_many_frames(spark):
+    targets = {f"s{i}": 1 + i**0.5 for i in range(30)}
+    docs = spark.createDataFrame([(i, None, "", f"s{i % 30}", 0) for i in range(3000)], DOCS)
+    got = mixing.mix(docs, targets, block_rows=2, slots=16).collect()
+    assert len({(r.slot, r.place) for r in got}) == 3000
+    total = sum(targets.values())
+    for r in got:
+        share = targets[r.source] / total
+        assert r.release <= r.slot < r.deadline
+        assert abs(r.release - r.block_no / share) <= 1 and abs(r.deadline - (r.block_no + 1) / share) <= 1
+
+
 def test_archive_round_trip(spark):
     big = "é" * 500
     rows = [(1, "u", big), (2, "u", big), (3, None, None), (4, "x", ""), (None, "n", "k" * 300),
