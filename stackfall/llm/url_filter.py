@@ -61,16 +61,22 @@ RIDGE = 1e-3
 STEPS = 400
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ``://``; null without one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + 3))
+
+
 def host_of(url: Column) -> Column:
     """Between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z in lower case."""
-    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    found = F.regexp_extract(_rest(url), r"^([^/?#]*)", 1)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(F.coalesce(found, F.lit("")), upper, upper.lower())
 
 
 def path_of(url: Column) -> Column:
     """From the host to ``?``, ``#`` or the end."""
-    found = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    found = F.regexp_extract(_rest(url), r"^[^/?#]*(/[^?#]*)", 1)
     return F.coalesce(found, F.lit(""))
 
 

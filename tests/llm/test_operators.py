@@ -143,6 +143,16 @@ def test_url_rules_and_parts(spark):
     assert got[5][:3] == got[6][:3] == ("", "", None) and got[7][3] == "block"
 
 
+def test_url_parts_end_at_the_first_address(spark):
+    urls = ["http://x.net?u=http://y.org/es/1", "http://a.com#http://b.net/c", "http://c.net/es/?u=http://d.org/q",
+            "http://A.net?://", "://", "a/b://h/p", "x://\n/y\nz?q", "mailto:a?b=http://e.net/fr/2", "k" * 50_000]
+    got = [tuple(r)[1:4] for r in url_filter.judge(
+        spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert [r[:2] for r in got] == [url_filter.split(u) for u in urls]
+    assert got[0] == ("x.net", "", None) and got[1] == ("a.com", "", None)
+    assert got[2][2] == "net/es/" and got[7] == ("e.net", "/fr/2", "net/fr/")
+
+
 def test_transducer_equals_the_library():
     tiktoken = pytest.importorskip("tiktoken")
     ranks = bpe.read_ranks(public.path("byte_bpe_50k.tiktoken"))
