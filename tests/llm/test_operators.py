@@ -73,6 +73,19 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.join(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_compares_every_text_of_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = a.replace("a59", "other")
+    rows = [(3, b), (5, a), (5, b), (5, a), (7, near), (8, "c " + near), (9, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.join(docs).collect())
+    assert got == {(3, 3): 1, (5, 3): 3, (7, 3): 1, (8, 3): 1, (9, 9): 1}
+    # the second text of the smallest id, in blocks that leaders split
+    rows = [(1, a), (1, b), *((i, b.replace("b59", f"x{i}")) for i in range(2, 9)), (9, near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.join(docs, block_docs=2).collect()} == {1}
+
+
 def test_trie_finds_every_link():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 30, r.integers(1, 25))).astype(np.uint64) for _ in range(80)]
