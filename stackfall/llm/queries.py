@@ -37,7 +37,7 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf, "documents"))
+    return ngram_join.join(table(spark, sf, "documents"), count_links=True)
 
 
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

@@ -86,6 +86,27 @@ def test_ngram_join_compares_every_text_of_an_id(spark):
     assert {r.component_id for r in ngram_join.join(docs, block_docs=2).collect()} == {1}
 
 
+def linked_documents(rows, percent=75):
+    """Per row the other (id, set) nodes whose set links with the row's."""
+    sets = []
+    for doc, text in rows:
+        w = (text or "").lower().split()
+        sets.append((doc, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()))
+    nodes = {x for x in sets if x[0] is not None}
+    near = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    return [(d, sum(n != (d, s) and bool(s) and near(s, n[1]) for n in nodes) if d is not None else 0) for d, s in sets]
+
+
+@pytest.mark.parametrize("block_docs", [3, 1024])
+def test_ngram_join_counts_every_link(spark, block_docs):
+    rows = near_copies()
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(12)]  # copies
+    rows += [(0, rows[40][1]), (3, rows[3][1]), (1000, rows[9][1]), (None, rows[0][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(docs, block_docs=block_docs, count_links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter(linked_documents(rows))
+
+
 def test_trie_finds_every_link():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 30, r.integers(1, 25))).astype(np.uint64) for _ in range(80)]
