@@ -1,13 +1,16 @@
 """Toxicity: a logistic classifier that is indifferent to which group a sentence names.
 
 Labelled sentences that name a group are copied with the term swapped for the others of its kind and
-for a neutral word; the training loss adds the squared change of the logit between both. Weight on
-group terms then costs as much as it moves scores, and words of abuse must carry the label.
+for a neutral word; the training loss adds the squared change of the logit between both. The change
+is that of all features: the term and its beginnings go as far as no other word of the sentence has
+them, those of the other come as far as they are new. Weight on either then costs as much as it moves
+scores, and words of abuse must carry the label.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -46,7 +49,11 @@ _WORD = re.compile(r"\w+")
 def tokens(text: str | None) -> set[str]:
     """Distinct lower-case words and, marked by a star, their beginnings."""
     words = set(_WORD.findall((text or "").lower()))
-    return words.union(*({w[:k] + "*" for w in words if len(w) > k} for k in BEGINNINGS))
+    return words.union(*map(beginnings, words))
+
+
+def beginnings(word: str) -> set[str]:
+    return {word[:k] + "*" for k in BEGINNINGS if len(word) > k}
 
 
 def telling(rows: list[tuple[set[str], int]], count: int = FEATURES) -> list[str]:
@@ -100,6 +107,17 @@ def swaps(words: set[str], terms=IDENTITY_TERMS) -> list[tuple[str, str]]:
     return [(a, b) for kind in terms for a in kind if a in words for b in kind if b != a]
 
 
+def exchanges(words: set[str], terms=IDENTITY_TERMS) -> list[tuple[frozenset, frozenset]]:
+    """Per swap the tokens of the text that it takes away and the ones that it adds."""
+    found, whole = [], {w for w in words if not w.endswith("*")}
+    for a, b in swaps(words, terms):
+        rest = (whole - {a}) | {b}
+        after = rest.union(*map(beginnings, rest))
+        own, new = {a} | beginnings(a), {b} | beginnings(b)
+        found.append((frozenset((own & words) - after), frozenset((new & after) - words)))
+    return found
+
+
 def train(
     rows: list[tuple[set[str], int]], *, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE
 ) -> Model:
@@ -107,7 +125,14 @@ def train(
     names = features(telling(rows))
     at = {w: i for i, w in enumerate(names)}
     found = [([at[w] for w in words if w in at], y) for words, y in rows]
-    return descend(names, found, counterfactual=counterfactual, ridge=ridge)
+    moves = [m for words, _ in rows for m in known_exchanges(words, at)]
+    return descend(names, found, moves, counterfactual=counterfactual, ridge=ridge)
+
+
+def known_exchanges(words: set[str], at: dict[str, int]) -> list[tuple[tuple, tuple]]:
+    """:func:`exchanges` as places of weights, without tokens that have none."""
+    place = lambda ws: tuple(sorted(at[w] for w in ws if w in at))
+    return [(place(gone), place(new)) for gone, new in exchanges(words)]
 
 
 def features(chosen: list[str]) -> list[str]:
@@ -118,25 +143,22 @@ def features(chosen: list[str]) -> list[str]:
 def descend(
     names: list[str],
     rows: list[tuple[list[int], int]],
+    moves: list[tuple[tuple, tuple]],
     *,
     counterfactual: float = COUNTERFACTUAL,
     ridge: float = RIDGE,
 ) -> Model:
-    """Full-batch training on the features each row has; both labels weigh the same."""
+    """Full-batch training on the features each row has; both labels weigh the same. ``moves`` are the
+    features that each swap in a row takes away and adds."""
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         return Model({}, 0.0 if not len(rows) else (30.0 if labels[0] else -30.0))
-    at = {w: i for i, w in enumerate(names)}
-    groups = {at[t] for kind in IDENTITY_TERMS for t in kind}
     col = np.array([i for found, _ in rows for i in found], dtype=np.int64)
     row = np.repeat(np.arange(len(rows)), [len(found) for found, _ in rows])
-    changes: dict[tuple[int, int], int] = {}
-    for found, _ in rows:
-        for a, b in swaps({names[i] for i in found if i in groups}):
-            key = (at[a], at[b])
-            changes[key] = changes.get(key, 0) + 1
-    swap = np.array(list(changes), dtype=np.int64).reshape(-1, 2)
-    often = np.array(list(changes.values()), dtype=float) / len(rows)
+    changes = sorted(Counter(moves).items())
+    often = np.array([n for _, n in changes], dtype=float) / len(rows)
+    parts = [(c, i, sign) for c, (m, _) in enumerate(changes) for side, sign in zip(m, (1, -1)) for i in side]
+    which, swap, sign = np.array(parts, dtype=np.int64).reshape(-1, 3).T
     share = labels.mean()
     weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) / len(rows)
     m, w, bias = len(names), np.zeros(len(names) + 1), 0.0
@@ -146,9 +168,8 @@ def descend(
         gap = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels)
         grad = np.append(np.bincount(col, gap[row], m), 0.0)
         if len(swap):
-            moved = counterfactual * often * (w[swap[:, 0]] - w[swap[:, 1]])
-            np.add.at(grad, swap[:, 0], moved)
-            np.add.at(grad, swap[:, 1], -moved)
+            gaps = np.bincount(which, sign * w[swap], len(changes))
+            np.add.at(grad, swap, sign * (counterfactual * often * gaps)[which])
         grad[:m] += ridge / m * w[:m]
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
@@ -186,11 +207,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS) -> Model
     def known_only(frames):
         for f in frames:
             yield pd.DataFrame(
-                {"label": f["label"], "found": [[at[w] for w in ws if w in at] for ws in f["words"]]}
+                {
+                    "label": f["label"],
+                    "found": [[at[w] for w in ws if w in at] for ws in f["words"]],
+                    "moves": [[[*map(list, m)] for m in known_exchanges(set(ws), at)] for ws in f["words"]],
+                }
             )
 
-    got = sample.mapInPandas(known_only, "label int, found array<int>").toArrow().to_pylist()
-    return descend(names, sorted((r["found"], r["label"]) for r in got))
+    schema = "label int, found array<int>, moves array<array<array<int>>>"
+    got = sample.mapInPandas(known_only, schema).toArrow().to_pylist()
+    moves = [(tuple(gone), tuple(new)) for r in got for gone, new in r["moves"]]
+    return descend(names, sorted((r["found"], r["label"]) for r in got), moves)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -157,6 +157,26 @@ def test_counterfactual_penalty_takes_weight_from_group_terms():
     assert fair.score("those women are nice") < fair.score("awful")
 
 
+def test_counterfactual_penalty_reaches_the_beginnings_of_group_terms():
+    texts = [(f"those muslims were seen a{i}", 1) for i in range(40)]
+    texts += [(f"the lake was seen b{i}", 0) for i in range(40)] + [(f"awful lake c{i}", 1) for i in range(40)]
+    rows = [(toxicity.tokens(t), y) for t, y in texts]
+    fair = toxicity.train(rows, counterfactual=20.0)
+    logit = lambda t: np.log(fair.score(t) / (1 - fair.score(t)))
+    assert abs(logit("muslims by the lake") - logit("christians by the lake")) < 0.3
+    swapped = toxicity.exchanges(toxicity.tokens("muslims like muslin"))
+    gone, new = next(x for x in swapped if "jews" in x[1])
+    assert gone == {"muslims", "muslim*"} and new == {"jews"}
+
+
+def test_counterfactual_penalty_over_a_table(spark):
+    rows = [(i, f"those muslims were seen a{i}" if i % 2 else f"the lake was seen b{i}", "", "s", 0) for i in range(160)]
+    docs = spark.createDataFrame([*rows, (900, "muslims by the lake", "", "s", 0)], DOCS)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(160)], LABELS)
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == 161 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 160)
+
+
 def test_language_filters(spark):
     en, de = "the weather in the north is fine", "das wetter im norden ist schön"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", "s", 0) for i in range(60)]
