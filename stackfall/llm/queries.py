@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    cross_align,
+    impact_search,
     language_id,
     mixing,
     ngram_join,
     quality_classifier,
     quality_rules,
+    segment_bpe,
     toxicity,
     url_filter,
     vp_tree,
@@ -27,6 +30,12 @@ def _tokenizer() -> tuple[str, str]:
     return public.path("byte_bpe_50k.tiktoken"), public.PATTERN
 
 
+def _file(name: str) -> str:
+    import public_tokenizers as public
+
+    return public.path(name)
+
+
 def op1_vp_tree(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     return vp_tree.search(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -68,6 +77,19 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(table(spark, sf, "pages"), scratch_path(spark, "warc"))
 
 
+def op11_segment_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return segment_bpe.round_trip(table(spark, sf, "documents"), _file("byte_bpe_50k.json"))
+
+
+def op12_cross_align(spark: SparkSession, sf: str) -> DataFrame:
+    files = _file("byte_bpe_50k.json"), _file("piece_bpe_32k.model")
+    return cross_align.align(table(spark, sf, "documents"), *files)
+
+
+def op13_impact_search(spark: SparkSession, sf: str) -> DataFrame:
+    return impact_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +103,9 @@ QUERIES = {
         op8_byte_bpe,
         op9_mixing,
         op10_warc,
+        op11_segment_bpe,
+        op12_cross_align,
+        op13_impact_search,
     )
 }
 
@@ -92,4 +117,8 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to FROM m"""
 
-ORACLE = {"op4_quality_rules": quality_rules.oracle_sql(), "op10_warc": _WARC_SQL}
+ORACLE = {
+    "op4_quality_rules": quality_rules.oracle_sql(),
+    "op10_warc": _WARC_SQL,
+    "op13_impact_search": impact_search.oracle_sql(),
+}
