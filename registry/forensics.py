@@ -239,7 +239,7 @@ def _(spark, sf):
     return J.timeline(events).tabs
 
 
-@query("known_notes", sql("live_events", """SELECT device_serial, session_id, event_id, CASE WHEN contains(hay, 'Cannot initialize effect engine for type:') THEN 'Sound effect unavailable' WHEN contains(hay, 'java.lang.OutOfMemoryError') THEN 'Java heap exhausted' ELSE 'Binder transaction too large' END AS title
+@query("known_notes", sql("live_events", """SELECT device_serial, session_id, event_id, CASE WHEN contains(hay, 'Cannot initialize effect engine for type:') THEN 'Sound effect unavailable' WHEN contains(hay, 'java.lang.OutOfMemoryError') THEN 'Java heap exhausted' ELSE 'Oversized binder call' END AS title
   FROM (SELECT *, concat_ws(chr(10), exception, message) AS hay FROM evt) WHERE contains(hay, 'Cannot initialize effect engine for type:') OR contains(hay, 'java.lang.OutOfMemoryError') OR contains(hay, 'TransactionTooLargeException')"""))
 def _(spark, sf):
     return N.known_notes(_events(spark, sf)).select(*KEYS, "event_id", "title")

@@ -12,6 +12,7 @@ from stackfall.sources import lines as LN
 from stackfall.streaming import live as S
 
 from .common import KEYS, lines, of, scene_sql, sql
+from .scenes import duck_sql
 from .devices import _STATE, states
 from .records import _KINDS
 
@@ -31,102 +32,178 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def replay(df, order: str):
-    """``df`` as a stream that arrives in order: stored in slices of ``order``, one after the
-    other, so that file times follow it, and read back three files at a time."""
+def replay(df, order: str, *keys: str, slices: int = FILES, files: int = 3):
+    """``df`` as a stream that arrives in slices of ``order``, ``files`` files per micro-batch.
+
+    Slices are written one after the other, so that file times follow them; within a slice the
+    rows of a key share one file, so that a key's rows arrive in order wherever a batch ends.
+    """
     spark = df.sparkSession
     S.use_state_store(spark)
     stored = cut(df, "replay")
     low, high = stored.agg(F.min(order), F.max(order)).first()
-    step = (high - low) // FILES + 1
+    step = (high - low) // slices + 1
     path = scratch_path(spark, "slices")
-    for i in range(FILES):
+    for i in range(slices):
         lo = low + i * step
         part = stored.where((F.col(order) >= lo) & (F.col(order) < lo + step))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.repartition(2, *keys).write.parquet(f"{path}/{i}")
     return (
-        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3)
-        .option("latestFirst", False).parquet(path)
+        spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
+        .option("latestFirst", False).parquet(f"{path}/*")
     )
 
 
 @query("live_records", sql("rec", f"SELECT device_serial, session_id, seq, level, kind FROM ({_KINDS}) WHERE level_rank >= 3"))
 def _(spark, sf):
-    stream = replay(lines(spark, sf), "seq")
+    stream = replay(lines(spark, sf), "seq", *KEYS)
     out = S.drain(S.live_records(stream, [FR.min_level("warn")]), "live")
     return out.select(*KEYS, "seq", "level", "kind")
 
 
 @query("live_counters", sql("rec", "SELECT device_serial, session_id, count(*) AS records, count(*) FILTER (NOT parsed) AS unparsed, max(seq) AS last_seq FROM rec GROUP BY ALL"))
 def _(spark, sf):
-    updates = S.drain(S.live_counters(replay(lines(spark, sf), "seq")), "counters", mode="update")
+    updates = S.drain(S.live_counters(replay(lines(spark, sf), "seq", *KEYS)), "counters", mode="update")
     newest = updates.groupBy(*KEYS).agg(F.max_by(F.struct("records", "unparsed", "last_seq"), "batch_id").alias("c"))
     return newest.select(*KEYS, "c.*")
 
 
-@query("live_watch", sql("live_events", "SELECT device_serial, session_id, event_id, true AS complete, n_lines, process, pid FROM evt"))
+_EVENT = "device_serial, session_id, event_id, true AS complete, n_lines, n_frames, process, pid, thread, kind, exception, message"
+
+
+def _crashes(spark, path):
+    out = X.read_events(spark, path).where(F.col("type") == "crash")
+    return out.select(
+        *KEYS, "event_id", "complete", "n_lines", "n_frames", "process", "pid", "thread", "kind", "exception", "message"
+    )
+
+
+@query("live_watch", sql("live_events", f"SELECT {_EVENT} FROM evt"))
 def _(spark, sf):
     """Growing blocks over a replay settle to what the batch operator finds."""
-    spark_path = scratch_path(spark, "watch")
-    query_ = X.write_events(
-        S.live_watch(replay(lines(spark, sf), "seq")), spark_path + "/rows", spark_path + "/state"
-    )
-    query_.awaitTermination()
-    out = X.read_events(spark, spark_path + "/rows").where(F.col("type") == "crash")
-    return out.select(
-        *KEYS, "event_id", "complete", F.col("n_lines").cast("bigint").alias("n_lines"), "process", "pid"
+    base = scratch_path(spark, "watch")
+    stream = S.live_watch(replay(lines(spark, sf), "seq", *KEYS))
+    X.write_events(stream, base, base + "/state", every=2).awaitTermination()
+    return _crashes(spark, base)
+
+
+@query("live_lines", sql("live", "SELECT device_serial, session_id, seq, start_seq, message AS line FROM lrow WHERE start_seq IS NOT NULL"))
+def _(spark, sf):
+    """The stored lines of live blocks: each once, however many batches a block grows in."""
+    base = scratch_path(spark, "watch")
+    stream = S.live_watch(replay(lines(spark, sf), "seq", *KEYS, slices=4, files=2))
+    X.write_events(stream, base, base + "/state", every=2).awaitTermination()
+    return X.read_event_lines(spark, base).select(*KEYS, "seq", "start_seq", "line")
+
+
+#: Sessions whose capture ends inside the block of their last scene.
+_BROKEN_OFF = "seq % 250 <= 228"
+
+
+@query("idle_flush", sql("live_events", f"SELECT {_EVENT} FROM evt").replace(duck_sql("lines"), f"SELECT * FROM ({duck_sql('lines')}) WHERE {_BROKEN_OFF}"))
+def _(spark, sf):
+    """Blocks that nothing follows are closed by the idle timer."""
+    base = scratch_path(spark, "idle")
+    broken = lines(spark, sf).where(_BROKEN_OFF)
+    stream = S.live_watch(replay(broken, "seq", *KEYS, slices=2, files=2), idle_ms=2000)
+    S.run_until_idle(stream, base, base + "/state", idle_ms=2000)
+    return _crashes(spark, base)
+
+
+#: Every 89th line arrives one slice late, of three.
+_ARRIVES = "seq // w.step + CASE WHEN seq % 89 = 0 THEN 1 ELSE 0 END"
+
+
+@query("late_lines", sql("live", f"""SELECT r.device_serial, r.session_id, count(*) AS n, min(r.seq) AS first_seq, max(r.seq) AS last_seq FROM (SELECT v0.*, {_ARRIVES} AS slice FROM v0, w) r
+SEMI JOIN (SELECT v0.*, {_ARRIVES} AS slice FROM v0, w) o ON o.device_serial = r.device_serial AND o.session_id = r.session_id AND o.slice < r.slice AND o.seq > r.seq GROUP BY ALL""").replace("\nSELECT r.device", ",\nw AS (SELECT max(seq) // 3 + 1 AS step FROM lines)\nSELECT r.device"))
+def _(spark, sf):
+    """Lines behind lines already read, counted per session."""
+    all_lines = cut(lines(spark, sf), "late")
+    step = all_lines.agg(F.max("seq")).first()[0] // 3 + 1
+    arrival = F.expr(f"seq div {step}") + F.when(F.col("seq") % 89 == 0, 1).otherwise(0)
+    path = scratch_path(spark, "arrivals")
+    for i in range(4):
+        part = all_lines.where(arrival == i)
+        part.coalesce(2).repartition(1, *KEYS).write.parquet(f"{path}/{i}")
+    S.use_state_store(spark)
+    stream = spark.readStream.schema(all_lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    base = scratch_path(spark, "late")
+    X.write_events(S.live_watch(stream), base, base + "/state").awaitTermination()
+    late = X.read_events(spark, base).where(F.col("type") == "late")
+    return late.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
 
 
+@query("stream_text", sql("lines", """SELECT device_serial, session_id, row_number() OVER (PARTITION BY device_serial, session_id ORDER BY seq) - 1 AS seq,
+  line || CASE WHEN seq % 5 = 0 THEN chr(65533) ELSE '' END AS line FROM lines"""))
+def _(spark, sf):
+    """Captures that arrive as text files, several a session, with carriage returns and broken bytes."""
+    path = scratch_path(spark, "texts")
+    broken = F.when(F.col("seq") % 5 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
+    ending = F.when(F.col("seq") % 3 == 0, "\r").otherwise("")
+    texts = lines(spark, sf).select(*KEYS, "seq", F.concat("line", broken, ending).alias("value"))
+    stored = cut(texts, "texts")
+    for i in range(3):
+        part = stored.where(F.expr("seq % 250 div 90") == i)
+        ordered = part.repartition(8, *KEYS).sortWithinPartitions(*KEYS, "seq")
+        ordered.drop("seq").write.partitionBy(*KEYS).text(f"{path}/{i}")
+    keys = [F.regexp_extract("file_path", f"{k}=([^/]+)/", 1) for k in KEYS]
+    out = scratch_path(spark, "numbered")
+    LN.follow_text(spark, f"{path}/*/*/*", "logcat", *keys, out, max_files=10_000).awaitTermination()
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").select(*KEYS, "seq", "line")
+
+
 @query("live_polls", scene_sql("polls", "SELECT p.device_serial, p.poll_no, p.line_no, p.line FROM polls p WHERE NOT EXISTS (SELECT 1 FROM polls q WHERE q.device_serial = p.device_serial AND q.poll_no = p.poll_no - 1 AND q.line = p.line)"))
 def _(spark, sf):
-    out = S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no")), "polls")
+    out = S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no", "device_serial")), "polls")
     return out.where("not late").drop("batch_id", "late")
 
 
 @query("live_launches", scene_sql("states", "SELECT 1").replace("\nSELECT 1", ",\n" + _STATE + "\nSELECT device_serial, package, polled_at_ms, CASE WHEN was = '' THEN 'start' WHEN now = '' THEN 'stop' ELSE 'restart' END AS edge FROM sl WHERE now <> was"))
 def _(spark, sf):
-    stream = replay(states(spark, sf), "polled_at_ms")
+    stream = replay(states(spark, sf), "polled_at_ms", "device_serial", "package")
     return S.drain(S.live_launches(stream), "launches").select("device_serial", "package", "polled_at_ms", "edge")
 
 
 @query("crash_rate", sql("rec", f"SELECT device_serial, kind, date_trunc('minute', make_timestamp(received_at_ms * 1000)) AS window_start, count(*) AS n FROM ({_KINDS}) WHERE kind IS NOT NULL GROUP BY ALL").replace("SELECT device_serial, kind, date_trunc('minute', make_timestamp(received_at_ms * 1000)) AS window_start", "SELECT device_serial, kind, (received_at_ms // 60000) * 60000 AS window_ms"))
 def _(spark, sf):
-    updates = S.drain(S.crash_rate(replay(lines(spark, sf), "seq")), "rate", mode="update")
+    updates = S.drain(S.crash_rate(replay(lines(spark, sf), "seq", *KEYS)), "rate", mode="update")
     newest = updates.groupBy("device_serial", "kind", "window_start").agg(F.max_by("n", "batch_id").alias("n"))
     return newest.select("device_serial", "kind", F.unix_millis("window_start").alias("window_ms"), "n")
 
 
-@query("activity_sessions", sql("rec", """SELECT device_serial, min(received_at_ms) AS from_ms, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_serial ORDER BY received_at_ms, seq ROWS UNBOUNDED PRECEDING) AS burst FROM (
+@query("activity_sessions", sql("rec", """SELECT device_serial, min(received_at_ms) AS from_ms, max(received_at_ms) + 30000 AS to_ms, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY device_serial ORDER BY received_at_ms, seq ROWS UNBOUNDED PRECEDING) AS burst FROM (
   SELECT *, CASE WHEN received_at_ms - lag(received_at_ms) OVER (PARTITION BY device_serial ORDER BY received_at_ms, seq) < 30000 THEN 0 ELSE 1 END AS fresh FROM rec)) GROUP BY device_serial, burst"""))
 def _(spark, sf):
-    states_ = S.drain(S.activity_sessions(replay(lines(spark, sf), "seq")), "bursts", mode="complete")
-    last = states_.agg(F.max("batch_id")).first()[0]
-    final = states_.where(F.col("batch_id") == last)
-    return final.select("device_serial", F.unix_millis("from_ts").alias("from_ms"), "n")
+    """Bursts of activity: slices summed up as a stream, merged over their pauses afterwards."""
+    updates = S.drain(S.activity_slices(replay(lines(spark, sf), "seq", *KEYS)), "bursts", mode="update")
+    newest = updates.groupBy("device_serial", "slice").agg(
+        F.max_by(F.struct("from_ms", "to_ms", "n"), "batch_id").alias("s")
+    )
+    return S.merge_slices(newest.select("device_serial", "slice", "s.*"))
 
 
 @query("stored_stream", sql("rec", "SELECT device_serial, session_id, seq FROM rec"))
 def _(spark, sf):
     """Records appended by the live sink."""
     base = scratch_path(spark, "sink")
-    started = X.write_live(S.live_records(replay(lines(spark, sf), "seq")), base + "/rows", base + "/state")
+    started = X.write_live(S.live_records(replay(lines(spark, sf), "seq", *KEYS)), base + "/rows", base + "/state")
     started.awaitTermination()
     return spark.read.parquet(base + "/rows").select(*KEYS, "seq")
 
 
-@query("stream_lines", sql("lines", "SELECT source, count(*) AS n FROM lines GROUP BY ALL"))
+@query("stream_lines", sql("lines", "SELECT device_serial, session_id, seq, source, received_at_ms, line FROM lines"))
 def _(spark, sf):
     S.use_state_store(spark)
     path = scratch_path(spark, "lines")
     lines(spark, sf).write.parquet(path)
-    out = S.drain(LN.stream_lines(spark, path, max_files=2), "lines")
-    return out.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return S.drain(LN.stream_lines(spark, path, max_files=2), "lines").drop("batch_id")
 
 
-@query("live_settled", sql(("live", "sig", "anomaly"), """SELECT s.kind AS kind, count(*) AS n FROM lrow r JOIN (SELECT seq, kind FROM sig UNION ALL SELECT seq, kind FROM anomaly) s ON s.seq = r.seq WHERE r.start_seq IS NULL GROUP BY ALL"""))
+@query("live_settled", sql(("live", "sig", "anomaly"), """SELECT r.device_serial, r.session_id, s.kind AS kind, s.seq, s.process, s.pid FROM lrow r JOIN (SELECT seq, kind, process, pid FROM sig UNION ALL SELECT seq, kind, process, pid FROM anomaly) s ON s.seq = r.seq WHERE r.start_seq IS NULL"""))
 def _(spark, sf):
     """Signals and anomalies of the live watch, newest state per id."""
-    updates = S.drain(S.live_watch(replay(lines(spark, sf), "seq")), "watch", mode="update")
-    settled = V.settle(updates, version=F.struct("batch_id", "version"))
-    return settled.where(F.col("type").isin("ams", "anomaly")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    updates = S.drain(S.live_watch(replay(lines(spark, sf), "seq", *KEYS)), "watch")
+    settled = V.settle(updates, version="batch_id")
+    return settled.where(F.col("type").isin("ams", "anomaly")).select(*KEYS, "kind", "seq", "process", "pid")

@@ -143,6 +143,13 @@ LINE = Steps(
 )
 
 
+def with_hashes(parts: DataFrame) -> DataFrame:
+    """Line parts plus the hashes of frames at ``frame_no``."""
+    one, two = frame_hashes(F.col("frame"), F.col("frame_no"))
+    held = F.col("frame").isNotNull()
+    return parts.withColumns({"frame_h1": F.when(held, one), "frame_h2": F.when(held, two)})
+
+
 def with_line_parts(df: DataFrame, line: Column) -> DataFrame:
     """``df`` plus one column per ``LINE_FIELDS``."""
     return LINE.on(df, line, "_parts").select(
@@ -245,6 +252,56 @@ def array_reducer(parts: Column) -> Reducer:
     )
 
 
+#: Fields of which the first, or the last, line of a block that has them counts.
+_FIRST = ("stamp", "process_other", "pid", "tid", "thread", "raised")
+_LAST = ("process_named", "abort", "anr_at")
+
+
+def partial(order: str) -> dict[str, Column]:
+    """Aggregates over some lines of a block (one column per line field, the two frame hashes)
+    that :func:`merge_partials` puts together with those of its other lines."""
+
+    def placed(name: str) -> Column:
+        return F.when(
+            F.col(name).isNotNull(), F.struct(F.col(order).alias("at"), F.col(name).alias("value"))
+        )
+
+    return {
+        **{name: F.min(placed(name)) for name in _FIRST},
+        **{name: F.max(placed(name)) for name in _LAST},
+        "mask": F.bit_or("mask"),
+        "h1": F.bit_xor("frame_h1"),
+        "h2": F.bit_xor("frame_h2"),
+        "n_frames": F.count("frame"),
+        "n_lines": F.count(F.lit(1)),
+    }
+
+
+def merge_partials() -> dict[str, Column]:
+    """Aggregates over the partial rows of a block; their result is such a row again."""
+    return {
+        **{name: F.min(name) for name in _FIRST},
+        **{name: F.max(name) for name in _LAST},
+        "mask": F.bit_or("mask"),
+        "h1": F.bit_xor("h1"),
+        "h2": F.bit_xor("h2"),
+        "n_frames": F.sum("n_frames"),
+        "n_lines": F.sum("n_lines"),
+    }
+
+
+def partial_reducer() -> Reducer:
+    """Reads a partial row; the lines themselves are not in it."""
+    return Reducer(
+        first=lambda name: F.col(f"{name}.value"),
+        last=lambda name: F.col(f"{name}.value"),
+        every=lambda name: F.lit(None).cast("array<string>"),
+        count=lambda name: F.col("n_frames"),
+        stack=lambda: _stack_text(F.col("h1"), F.col("h2")),
+        mask=lambda: F.col("mask"),
+    )
+
+
 def is_frame(line: Column) -> Column:
     return is_frame_text(message_body(line))
 

@@ -154,10 +154,7 @@ def crash_events(
     ``frames``, ``caused_by`` and ``raw`` hold all lines they are about; without ``arrays`` they
     are NULL for every block and ``block_lines`` itself is the frame of lines. ``opening`` names
     further columns to take from the row that opened the block."""
-    parts = K.with_line_parts(block_lines, F.col("line"))
-    one, two = K.frame_hashes(F.col("frame"), F.col("frame_no"))
-    held = F.col("frame").isNotNull()
-    parts = parts.withColumns({"frame_h1": F.when(held, one), "frame_h2": F.when(held, two)})
+    parts = K.with_hashes(K.with_line_parts(block_lines, F.col("line")))
     inline = F.lit(arrays)
     fields = K.merge(K.row_reducer("line_no", inline))
     raw = F.transform(

@@ -53,3 +53,28 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, *, written: bool = False) -> list[str]:
+    """Names of the folders in ``path``, sorted; ``written`` leaves out tables not written to the end.
+    A missing path has none."""
+    place, files = _file_system(spark, path)
+    if not files.exists(place):
+        return []
+    found = [entry.getPath() for entry in files.listStatus(place) if entry.isDirectory()]
+    if written:
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        found = [folder for folder in found if files.exists(done(folder, "_SUCCESS"))]
+    return sorted(folder.getName() for folder in found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder that this session wrote, if it is there."""
+    place, files = _file_system(spark, path)
+    files.delete(place, True)

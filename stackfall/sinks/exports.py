@@ -7,9 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import crash as K
 from ..functions.records import level_badge
-from ..operators.views import cap_events, settle
+from ..operators.views import cap_events
 from ..schema import SESSION, SNAPSHOT_VERSION
+from .store import BatchStore
 
 #: Fields of the CSV and JSON exports, in order.
 FIELDS = (
@@ -135,18 +137,70 @@ def write_live(stream: DataFrame, path: str, checkpoint: str, *, batch_ms: int |
     return _start(writer, batch_ms)
 
 
-def write_events(stream: DataFrame, path: str, checkpoint: str, *, batch_ms: int | None = None):
-    """Event updates, newest state per id: every batch appends its settled updates with the batch
-    number, and :func:`read_events` keeps the highest one."""
+_EVENT_KEYS = [*SESSION, "event_id"]
+_OWN = ("kind", "process", "pid", "detail")
+
+
+def _partial_events(rows: DataFrame) -> DataFrame:
+    """Rows of ``live_watch`` as partial states, one per event id."""
+    named = rows.withColumnsRenamed({n: f"_{n}" for n in _OWN})  # line parts have these names too
+    parts = K.with_hashes(K.with_line_parts(named, F.coalesce("line", F.lit(""))))
+    crash = F.col("type") == "crash"
+    # only lines of a block have parts
+    parts = parts.withColumns({n: F.when(crash, F.col(n)) for n in (*K.LINE_FIELDS, "frame_h1", "frame_h2")})
+    first = F.col("line_no") == 0
+    own = ~F.col("type").isin("crash", "closed")
+    fields = K.partial("line_no") | {"n_lines": F.count_if(crash)}
+    return parts.groupBy(*_EVENT_KEYS).agg(
+        F.max(F.when(own, F.col("type"))).alias("own_type"),
+        F.min(F.when(F.col("type") != "closed", F.col("seq"))).alias("seq"),
+        F.max("seq").alias("version"),
+        F.bool_or(~crash).alias("complete"),
+        *[F.max(F.when(own, F.col(f"_{n}"))).alias(f"own_{n}") for n in _OWN],
+        *[F.max(F.when(crash & first, F.col(f"_{n}"))).alias(f"open_{n}") for n in ("process", "pid")],
+        F.struct(*[c.alias(n) for n, c in fields.items()]).alias("block"),
+    )
+
+
+def _merge_events(states: DataFrame) -> DataFrame:
+    """Partial states of equal event ids put together; the result is a partial state again."""
+    flat = states.select(*[c for c in states.columns if c != "block"], "block.*")
+    newest = [c for c in states.columns if c.startswith(("own_", "open_"))]
+    return flat.groupBy(*_EVENT_KEYS).agg(
+        F.max("own_type").alias("own_type"),
+        F.min("seq").alias("seq"),
+        F.max("version").alias("version"),
+        F.bool_or("complete").alias("complete"),
+        *[F.max(c).alias(c) for c in newest if c != "own_type"],
+        F.struct(*[c.alias(n) for n, c in K.merge_partials().items()]).alias("block"),
+    )
+
+
+def event_store(spark, path: str, *, every: int = 16) -> BatchStore:
+    """The states of live events by id: a batch adds its own lines' share, closed events are stored
+    for good."""
+    empty = "device_serial string, session_id string, event_id string, type string, seq bigint, kind string, process string, pid int, detail string, line_no bigint, frame_no bigint, line string"
+    schema = _partial_events(spark.createDataFrame([], empty)).schema
+    return BatchStore(
+        spark, f"{path}/events", _merge_events, schema, final=F.col("complete"), every=every
+    )
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        newest = settle(batch, version="version")
-        newest.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/batch={batch_id}")
+
+def write_events(
+    stream: DataFrame, path: str, checkpoint: str, *, batch_ms: int | None = None, every: int = 16
+):
+    """Stores a ``live_watch``: the lines of blocks, each once, and what they add to the state of
+    their event. A batch that runs again replaces what it wrote."""
+    store = event_store(stream.sparkSession, path, every=every)
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/rows/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(target)
+        rows = stream.sparkSession.read.schema(stream.schema).parquet(target)
+        store.append(_partial_events(rows), batch_id)
 
     writer = (
-        stream.writeStream.outputMode("update").foreachBatch(upsert)
+        stream.writeStream.outputMode("append").foreachBatch(add)
         .option("checkpointLocation", checkpoint)
     )
     return _start(writer, batch_ms)
@@ -154,8 +208,32 @@ def write_events(stream: DataFrame, path: str, checkpoint: str, *, batch_ms: int
 
 def read_events(spark, path: str) -> DataFrame:
     """Newest state of every live event written by :func:`write_events`."""
-    updates = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return settle(updates, version=F.struct("batch_id", "version")).drop("batch_id", "batch")
+    states = event_store(spark, path).read()
+    flat = states.select(*[c for c in states.columns if c != "block"], "block.*")
+    crash = F.col("own_type").isNull()
+    fields = K.merge(K.partial_reducer())
+    of_block = lambda name: F.when(crash, fields[name])
+    return flat.select(
+        *_EVENT_KEYS,
+        F.coalesce("own_type", F.lit("crash")).alias("type"),
+        "seq", "version", "complete",
+        F.coalesce("own_kind", of_block("kind")).alias("kind"),
+        F.coalesce("own_process", of_block("process"), "open_process").alias("process"),
+        F.coalesce("own_pid", of_block("pid"), "open_pid").alias("pid"),
+        F.coalesce("own_detail", of_block("exception")).alias("detail"),
+        *[of_block(n).alias(n) for n in ("tid", "thread", "exception", "message", "timestamp", "stack_hash")],
+        F.when(crash, F.col("n_lines")).alias("n_lines"),
+        F.when(crash, F.col("n_frames")).alias("n_frames"),
+    )
+
+
+def read_event_lines(spark, path: str) -> DataFrame:
+    """The stored lines of live crash blocks, for ``blocks.crash_events``: ``start_seq`` and places."""
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/batch=*")
+    return rows.where(F.col("type") == "crash").select(
+        *SESSION, "seq", "line", F.substring_index("event_id", "#", -1).cast("bigint").alias("start_seq"),
+        "line_no", "frame_no",
+    )
 
 
 def _start(writer, batch_ms: int | None):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions.text import strip
 from ..schema import LOG_LINE, SESSION
+from ..sinks.store import BatchStore
 
 RECORD_COLUMNS = (
     "device_serial", "session_id", "seq", "source", "level", "level_rank", "timestamp",
@@ -51,28 +52,47 @@ def with_file_seq(text: DataFrame) -> DataFrame:
     """Line number of every line in its file, without reading a file as a whole.
 
     Lines of one file split come in order, and a split knows its byte offset, so the number is
-    the count of lines in earlier splits plus the place within the split.
+    the count of lines in earlier splits plus the place within the split. Should the second read
+    of the files split them otherwise, the query fails instead of numbering wrongly.
     """
     placed = text.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
     )
-    splits = placed.groupBy("file_path", "_start").agg(
+    numbered = _number(placed, ["file_path"], ["_start"])
+    return numbered.select("file_path", F.col("_seq").alias("seq"), "value")
+
+
+def _number(
+    placed: DataFrame, keys: list[str], split: list[str], carried: DataFrame | None = None
+) -> DataFrame:
+    """``placed`` plus ``_seq``, the number of a line within ``keys``: splits follow each other by
+    the ``split`` columns, the lines of a split as they are read. ``carried`` has ``_next``, the first
+    number, of some keys."""
+    rows = placed.withColumn("_id", F.monotonically_increasing_id())
+    splits = rows.groupBy(*keys, *split).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
     )
     earlier = (
-        Window.partitionBy("file_path")
-        .orderBy("_start")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     )
+    zero = F.lit(0).cast("bigint")
+    base = zero
+    if carried is not None:
+        splits, base = splits.join(carried, keys, "left"), F.coalesce("_next", zero)
     offsets = splits.select(
-        "file_path", "_start", "_first",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        *keys, *split, "_first", "_n",
+        (base + F.coalesce(F.sum("_n").over(earlier), zero)).alias("_offset"),
     )
-    return placed.join(offsets, ["file_path", "_start"]).select(
-        "file_path", (F.col("_offset") + F.col("_id") - F.col("_first")).alias("seq"), "value"
+    place = F.col("_id") - F.col("_first")
+    sound = F.when(place.between(F.lit(0), F.col("_n") - 1), place).otherwise(
+        F.raise_error(F.lit("the files were split otherwise when read again")).cast("bigint")
+    )
+    return (
+        rows.join(offsets, [*keys, *split])
+        .withColumn("_seq", F.col("_offset") + sound)
+        .drop("_id", "_first", "_n", "_offset")
     )
 
 
@@ -96,6 +116,67 @@ def stream_lines(spark: SparkSession, path: str, *, max_files: int = 100) -> Dat
     )
 
 
+def follow_text(
+    spark: SparkSession,
+    path: str,
+    source: str,
+    device: str | Column,
+    session: str | Column,
+    out: str,
+    *,
+    max_files: int = 100,
+    every: int = 16,
+):
+    """Starts a stream that numbers the lines of arriving text files and stores them as log lines in
+    ``out``, for :func:`stream_lines` and batch reads alike; drains what is there and stops.
+
+    ``device`` and ``session`` may be Columns over ``file_path``. A capture may come as any number of files over
+    any number of micro-batches of ``max_files``: what follows its last line so far is kept per
+    session, files of one batch follow each other by modification time and name, and large files
+    are read in splits. A batch that runs again gives the same numbers and replaces its rows.
+    """
+    raw = (
+        spark.readStream.format("text").option("lineSep", "\n")
+        .option("maxFilesPerTrigger", max_files).load(path)
+    )
+
+    def key(value) -> Column:
+        return value if isinstance(value, Column) else F.lit(value)
+
+    placed = raw.select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_modification_time").alias("_at"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    ).withColumns({"device_serial": key(device), "session_id": key(session)})
+    kinds = "device_serial string, session_id string, _next bigint"
+    empty = spark.createDataFrame([], kinds)
+    numbers = BatchStore(
+        spark, f"{out}/_numbers",
+        lambda rows: rows.groupBy(*SESSION).agg(F.max("_next").alias("_next")),
+        empty.schema, every=every,
+    )
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        target = f"{out}/batch={batch_id}"
+        numbered = _number(
+            batch, list(SESSION), ["_at", "file_path", "_start"], numbers.read(before=batch_id)
+        )
+        numbered.select(
+            *SESSION, F.col("_seq").alias("seq"), F.lit(source).alias("source"),
+            F.unix_millis("_at").alias("received_at_ms"), clean_line(F.col("value")).alias("line"),
+        ).write.mode("overwrite").parquet(target)
+        stored = spark.read.schema(LOG_LINE).parquet(target)
+        numbers.append(stored.groupBy(*SESSION).agg((F.max("seq") + 1).alias("_next")), batch_id)
+
+    return (
+        placed.writeStream.foreachBatch(store)
+        .option("checkpointLocation", f"{out}/_state")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_kafka(
     spark: SparkSession, servers: str, topic: str, source: str, *, max_offsets: int = 1_000_000
 ) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +23,7 @@ from ..functions.signals import parse_ams, parse_anomaly
 from ..operators.views import with_crash_kind
 from ..schema import SESSION
 from ..session import scratch_path
+from ..sinks.exports import read_events, write_events
 from ..sources.lines import parse_records
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,116 +67,156 @@ def crash_rate(lines: DataFrame, *, window: str = "1 minute") -> DataFrame:
     )
 
 
-def activity_sessions(lines: DataFrame, *, gap: str = "30 seconds") -> DataFrame:
-    """Bursts of log activity per device, closed by a pause of ``gap``."""
+def activity_slices(lines: DataFrame, *, gap_ms: int = 30_000) -> DataFrame:
+    """First and last receive time and number of lines per device and slice of ``gap_ms``.
+
+    Two lines of one slice are never a pause apart, so a slice lies in one burst: what a device
+    sends in it is summed up before the shuffle, and no task holds a device's lines.
+    """
     stamped = lines.withColumn("received_ts", F.timestamp_millis("received_at_ms"))
     return (
         stamped.withWatermark("received_ts", WATERMARK)
-        .groupBy(F.session_window("received_ts", gap), "device_serial")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            "device_serial", F.col("session_window.start").alias("from_ts"),
-            F.col("session_window.end").alias("to_ts"), "n",
+        .groupBy("device_serial", F.window("received_ts", f"{int(gap_ms)} milliseconds"))
+        .agg(
+            F.min("received_at_ms").alias("from_ms"),
+            F.max("received_at_ms").alias("to_ms"),
+            F.count(F.lit(1)).alias("n"),
         )
+        .select("device_serial", F.col("window.start").alias("slice"), "from_ms", "to_ms", "n")
     )
 
 
+def merge_slices(slices: DataFrame, *, gap_ms: int = 30_000) -> DataFrame:
+    """Bursts of log activity per device, closed by a pause of ``gap_ms``, out of stored slices
+    (one row per device and slice)."""
+    along = Window.partitionBy("device_serial").orderBy("slice")
+    pause = F.col("from_ms") - F.lag("to_ms").over(along)
+    bursts = slices.withColumn("_new", F.when(pause < gap_ms, 0).otherwise(1))
+    bursts = bursts.withColumn("_burst", F.sum("_new").over(along))
+    return bursts.groupBy("device_serial", "_burst").agg(
+        F.min("from_ms").alias("from_ms"), (F.max("to_ms") + gap_ms).alias("to_ms"), F.sum("n").alias("n")
+    ).drop("_burst")
+
+
 # --- growing crash blocks ---------------------------------------------------------------
 
 _WATCH_OUT = (
-    "device_serial string, session_id string, seq bigint, start_seq bigint, version bigint, "
-    "complete boolean, lines array<string>, loose string, package string, pid int, "
-    "late string"
+    "device_serial string, session_id string, seq bigint, role string, start_seq bigint, "
+    "line_no bigint, frame_no bigint, tag string, message string, package string, pid int"
 )
 
 
 class _BlockWatch(StatefulProcessor):
-    """Keeps the open block of one session; emits each block touched in a batch once."""
+    """Keeps where the open block of one session began and how long it is; every line comes out once.
+
+    Roles of the rows: ``line`` of a block, ``loose`` line outside, ``late`` line behind lines already
+    read, ``closed`` for a block that has ended.
+    """
 
     def __init__(self, idle_ms: int | None):
         self._idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getValueState(
-            "open", "start bigint, version bigint, package string, pid int, lines array<string>"
-        )
+        self._open = handle.getValueState("open", "start bigint, lines bigint, frames bigint")
         self._seen = handle.getValueState("seen", "last_seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         (last,) = self._seen.get() if self._seen.exists() else (-1,)
-        block = None
-        if self._open.exists():
-            start, version, package, pid, lines = self._open.get()
-            block = [start, version, package, pid, list(lines)]
-        out: list[tuple] = []
-        for row in batch.itertuples(index=False):
-            pid = None if pd.isna(row.pid) else int(row.pid)
-            text = f"{row.tag}: {row.message}"
-            if row.seq <= last:
-                out.append((*key, row.seq, None, row.seq, True, None, None, row.package, pid, text))
-                continue
-            last = row.seq
-            if row.starts:
-                if block is not None:
-                    out.append(self._event(key, block, True))
-                block = [row.seq, row.seq, row.package, pid, []]
-            if block is not None and (row.starts or row.extends):
-                block[4].append(row.message)
-                block[1] = row.seq
-                continue
-            if block is not None:
-                out.append(self._event(key, block, True))
-                block = None
-            out.append((*key, row.seq, None, row.seq, True, None, text, None, None, None))
-        if block is None:
-            self._open.clear()
-        else:
-            out.append(self._event(key, block, False))
-            self._open.update((block[0], block[1], block[2], block[3], block[4]))
-        self._seen.update((int(last),))
+        carried = self._open.get() if self._open.exists() else None
+        late = (batch["seq"] <= last) | batch["seq"].duplicated()
+        if late.any():
+            yield self._out(key, batch[late], "late")
+        batch = batch[~late]
+        if len(batch):
+            open_, out = self._place(key, batch, carried)
+            yield from out
+            self._seen.update((int(batch["seq"].iloc[-1]),))
+            if open_ is None:
+                self._open.clear()
+            else:
+                self._open.update(open_)
         if self._idle_ms is not None:
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
-            if block is not None:
+            if self._open.exists():
                 now = timerValues.getCurrentProcessingTimeInMs()
                 self._handle.registerTimer(now + self._idle_ms)
-        if out:
-            yield self._frame(out)
+
+    def _place(self, key, batch: pd.DataFrame, carried):
+        """The state afterwards, and the rows of a batch that follows the carried block."""
+        seq = batch["seq"].to_numpy()
+        starts = batch["starts"].to_numpy(bool)
+        breaks = ~starts & ~batch["extends"].to_numpy(bool)
+        frames = batch["is_frame"].to_numpy(bool).cumsum()
+        place = np.arange(len(batch))
+        opened = np.maximum.accumulate(np.where(starts, place, -1))
+        broken = np.maximum.accumulate(np.where(breaks, place, -1))
+        begin, lines, n_frames = carried or (-1, 0, 0)
+        here = np.maximum(opened, 0)
+        start_seq = np.where(opened >= 0, seq[here], begin)
+        line_no = np.where(opened >= 0, place - here, place + lines)
+        before = frames - batch["is_frame"].to_numpy(bool)  # frames ahead of each row
+        frame_no = np.where(opened >= 0, before - before[here], before + n_frames)
+        inside = (opened > broken) | ((opened < 0) & (broken < 0) & (carried is not None))
+        out = []
+        if inside.any():
+            out.append(
+                self._out(key, batch[inside], "line", start_seq[inside], line_no[inside], frame_no[inside])
+            )
+        if not inside.all():
+            out.append(self._out(key, batch[~inside], "loose"))
+        began = set(seq[starts].tolist()) | ({begin} if carried is not None else set())
+        open_ = None
+        if inside[-1]:
+            open_ = (
+                int(start_seq[-1]), int(line_no[-1]) + 1,
+                int(frame_no[-1]) + int(batch["is_frame"].iloc[-1]),
+            )
+            began.discard(open_[0])
+        if began:
+            out.append(self._closed(key, sorted(began)))
+        return open_, out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """An idle session ends its open block."""
         if self._open.exists():
-            start, version, package, pid, lines = self._open.get()
+            start, _, _ = self._open.get()
             self._open.clear()
-            yield self._frame([self._event(key, [start, version, package, pid, list(lines)], True)])
+            yield self._closed(key, [start])
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _event(key, block, complete: bool) -> tuple:
-        start, version, package, pid, lines = block
-        return (*key, start, start, version, complete, list(lines), None, package, pid, None)
+    @classmethod
+    def _closed(cls, key, starts: list[int]) -> pd.DataFrame:
+        empty = dict.fromkeys(("tag", "message", "package"), None)
+        rows = pd.DataFrame({"seq": starts, **empty, "pid": pd.array([None] * len(starts), "Int32")})
+        return cls._out(key, rows, "closed", starts)
 
     @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        names = [part.split()[0] for part in _WATCH_OUT.split(", ")]
-        frame = pd.DataFrame(rows, columns=names)
-        for name in ("seq", "start_seq", "version"):
-            frame[name] = frame[name].astype("Int64")
-        frame["pid"] = frame["pid"].astype("Int32")
-        return frame
+    def _out(key, rows: pd.DataFrame, role: str, start=None, line=None, frame=None) -> pd.DataFrame:
+        number = lambda v: pd.array([None] * len(rows) if v is None else v, "Int64")
+        return pd.DataFrame(
+            {
+                "device_serial": key[0], "session_id": key[1],
+                "seq": pd.array(rows["seq"], "Int64"), "role": role,
+                "start_seq": number(start), "line_no": number(line), "frame_no": number(frame),
+                "tag": rows["tag"].to_numpy(), "message": rows["message"].to_numpy(),
+                "package": rows["package"].to_numpy(), "pid": pd.array(rows["pid"], "Int32"),
+            }
+        )
 
 
 def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
-    """Live crash events, signals and anomalies (update mode).
+    """Live crash lines, signals and anomalies as they come; ``exports.write_events`` stores them and
+    ``exports.read_events`` gives the events.
 
-    A growing block keeps one ``event_id``: ``complete`` is false while it is open and true once
-    it is closed or, with ``idle_ms``, left alone for that long. ``version`` orders the updates of
-    an id. A row behind rows already read cannot change a block any more: it comes out as an
-    event of type ``late`` with its text in ``detail``.
+    Rows of type ``crash`` are the lines of a block, each once however long it grows, under
+    the block's one ``event_id``; a row of type ``closed`` ends a block that another line followed or,
+    with ``idle_ms``, that was left alone for that long. A line behind lines already read cannot
+    change a block any more: it comes out as type ``late`` with its text in ``detail``.
     """
     records = parse_records(lines)
     body = F.col("message")
@@ -182,64 +224,44 @@ def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
         *SESSION, "seq", "tag", "message", "package", "pid",
         K.starts_block(body).alias("starts"),
         K.continues_block(body).alias("extends"),
+        K.is_frame(body).alias("is_frame"),
     )
-    raw = gated.groupBy(*SESSION).transformWithStateInPandas(
+    placed = gated.groupBy(*SESSION).transformWithStateInPandas(
         statefulProcessor=_BlockWatch(idle_ms),
         outputStructType=_WATCH_OUT,
-        outputMode="Update",
+        outputMode="Append",
         timeMode="None" if idle_ms is None else "ProcessingTime",
     )
-    fields = F.when(F.col("lines").isNotNull(), K.crash_fields(F.col("lines")))
-    parsed = raw.select(
-        *SESSION, "seq", "version", "complete", "lines", "package", F.col("pid").alias("_pid"),
-        fields.alias("crash"),
-        parse_ams(F.col("loose")).alias("ams"),
-        parse_anomaly(F.col("loose")).alias("anomaly"),
-        "late",
-    )
-    crash = F.struct(
-        F.lit("crash").alias("type"),
-        F.concat(F.lit("crashBuffer#"), F.col("seq")).alias("event_id"),
-        F.col("crash.kind").alias("kind"),
-        F.coalesce("crash.process", "package").alias("process"),
-        F.coalesce("crash.pid", "_pid").alias("pid"),
-        F.col("crash.exception").alias("detail"),
-    )
-    ams = F.struct(
-        F.lit("ams").alias("type"),
-        F.concat(F.col("ams.kind"), F.lit("#"), F.col("seq")).alias("event_id"),
-        F.col("ams.kind").alias("kind"), F.col("ams.process").alias("process"),
-        F.col("ams.pid").alias("pid"), F.col("ams.detail").alias("detail"),
-    )
-    anomaly = F.struct(
-        F.lit("anomaly").alias("type"),
-        F.concat(F.col("anomaly.kind"), F.lit("#"), F.col("seq")).alias("event_id"),
-        F.col("anomaly.kind").alias("kind"), F.col("anomaly.process").alias("process"),
-        F.col("anomaly.pid").alias("pid"), F.col("anomaly.detail").alias("detail"),
-    )
-    late = F.struct(
-        F.lit("late").alias("type"),
-        F.concat(F.lit("late#"), F.col("seq")).alias("event_id"),
-        F.lit(None).cast("string").alias("kind"), F.col("package").alias("process"),
-        F.col("_pid").alias("pid"), F.col("late").alias("detail"),
-    )
+    role = F.col("role")
+    text = F.concat_ws(": ", "tag", "message")
+    loose = F.when(role == "loose", text)
+    parsed = placed.withColumns({"ams": parse_ams(loose), "anomaly": parse_anomaly(loose)})
+    own = {"process": F.col("package"), "pid": F.col("pid")}
+    types = {"kind": "string", "process": "string", "pid": "int", "detail": "string"}
+
+    def event(type_: str, when: Column, event_id: Column, fields: dict[str, Column]) -> Column:
+        values = [fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in types.items()]
+        return F.when(when, F.struct(F.lit(type_).alias("type"), event_id.alias("event_id"), *values))
+
+    def signal(type_: str) -> Column:
+        held = F.col(type_)
+        by_kind = F.concat(held.getField("kind"), F.lit("#"), F.col("seq"))
+        return event(type_, held.isNotNull(), by_kind, {n: held.getField(n) for n in types})
+
+    of_block = F.concat(F.lit("crashBuffer#"), F.col("start_seq"))
     each = F.filter(
         F.array(
-            F.when(F.col("crash").isNotNull(), crash),
-            F.when(F.col("ams").isNotNull(), ams),
-            F.when(F.col("anomaly").isNotNull(), anomaly),
-            F.when(F.col("late").isNotNull(), late),
+            event("crash", role == "line", of_block, own),
+            event("closed", role == "closed", of_block, {}),
+            event("late", role == "late", F.concat(F.lit("late#"), F.col("seq")), own | {"detail": text}),
+            signal("ams"),
+            signal("anomaly"),
         ),
         lambda e: e.isNotNull(),
     )
-    return (
-        parsed.withColumn("_e", F.explode(each))
-        .select(
-            *SESSION, "_e.event_id", "_e.type", "seq", "version", "complete",
-            "_e.kind", "_e.process", "_e.pid", "_e.detail",
-            F.when(F.col("_e.type") == "crash", F.size("lines")).alias("n_lines"),
-            F.when(F.col("_e.type") == "crash", F.size("crash.frames")).alias("n_frames"),
-        )
+    return parsed.withColumn("_e", F.explode(each)).select(
+        *SESSION, "_e.event_id", "_e.type", "seq", "_e.kind", "_e.process", "_e.pid", "_e.detail",
+        "line_no", "frame_no", F.when(role == "line", F.col("message")).alias("line"),
     )
 
 
@@ -345,6 +367,31 @@ def live_launches(states: DataFrame) -> DataFrame:
     )
 
 
+def run_until_idle(stream: DataFrame, path: str, checkpoint: str, *, idle_ms: int) -> None:
+    """Store a ``live_watch`` with an idle time until all that is there is read and every block has
+    ended: timers only run out while batches go on, so this polls for as long as they may need."""
+    query = write_events(stream, path, checkpoint, batch_ms=max(1000, idle_ms))
+    try:
+        while not _quiet(query):
+            query.awaitTermination(1)
+        settled = read_events(stream.sparkSession, path).where(~F.col("complete"))
+        while query.isActive and not settled.isEmpty():
+            query.awaitTermination(idle_ms / 1000)
+            settled = read_events(stream.sparkSession, path).where(~F.col("complete"))
+        while query.isActive and query.status["isTriggerActive"]:
+            query.awaitTermination(0.05)  # stop between two batches
+    finally:
+        query.stop()
+
+
+def _quiet(query) -> bool:
+    """All files seen so far are read: the last batch found nothing new."""
+    if not query.isActive:
+        raise RuntimeError(f"the stream ended: {query.exception()}")
+    progress = query.recentProgress
+    return len(progress) > 1 and progress[-1].numInputRows == 0 and any(p.numInputRows for p in progress)
+
+
 def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there and return the written rows.
 
