@@ -18,8 +18,10 @@ from ..schema import SEQ, SESSION
 
 CHUNK_ROWS = 1 << 18
 CHUNK = "_chunk"
-#: Rows one bitmap of ``bitmap_construct_agg`` covers.
-_BITMAP_ROWS = 32_768
+_WORD = "_word"
+#: Sequence numbers of a word of the rank structure: the bits of a long.
+_WORD_ROWS = 64
+_CHUNK_WORDS = CHUNK_ROWS // _WORD_ROWS
 
 
 def with_chunk(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -114,27 +116,42 @@ def with_line_index(
     return out
 
 
-def rank_of(subset: DataFrame, of: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
-    """``line_index`` of a few rows among all rows of ``of`` without shuffling ``of``.
+def line_ranks(of: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
+    """Rank structure of the rows of every key: one row for 64 sequence numbers.
 
-    Every bucket of 32 768 sequence numbers becomes one 4 KiB bitmap on the map side, so only
-    about one bit per log row moves; an ordinal is the earlier buckets' count plus the bits set
-    in front of the row.
+    ``_bits`` says which of them exist, ``_earlier`` how many rows of the key come before. Bits are
+    collected by a hash aggregate on the map side, so less than a byte of key and bits moves per
+    log row; store the result beside the records (``exports.write_ranks``) and it never moves again.
     """
-    bucket, place = F.expr(f"{SEQ} div {_BITMAP_ROWS}"), F.expr(f"{SEQ} % {_BITMAP_ROWS}")
-    maps = of.groupBy(*keys, bucket.alias(CHUNK)).agg(
-        F.bitmap_construct_agg(place).alias("_bits"), F.count(F.lit(1)).alias("_n")
+    place = F.expr(f"cast({SEQ} % {_WORD_ROWS} AS int)")
+    words = of.groupBy(*keys, F.expr(f"{SEQ} div {_WORD_ROWS}").alias(_WORD)).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place)).alias("_bits")
+    )
+    words = words.withColumns(
+        {"_n": F.bit_count("_bits").cast("bigint"), CHUNK: F.expr(f"{_WORD} div {_CHUNK_WORDS}")}
     )
-    ranks = maps.select(
-        *keys, CHUNK, "_bits", F.sum("_n").over(earlier_chunks(keys)).alias("_earlier")
+    before = (
+        Window.partitionBy(*keys, CHUNK).orderBy(_WORD).rowsBetween(Window.unboundedPreceding, -1)
     )
-    whole, rest = F.col("_at").bitwiseAND(F.lit(-8)) / 8, F.col("_at") % 8
-    whole = whole.cast("int")
-    tail = F.conv(F.hex(F.substring(F.col("_bits"), whole + 1, F.lit(1))), 16, 10).cast("int")
-    low = F.pmod(tail, F.pow(F.lit(2), rest).cast("int"))
-    inside = F.bitmap_count(F.substring(F.col("_bits"), F.lit(1), whole)) + F.bit_count(low)
-    rows = subset.withColumn(CHUNK, bucket).withColumn("_at", place.cast("int"))
-    return join_carry(rows, ranks, keys).select(
-        *subset.columns,
-        (F.coalesce(F.col("_earlier"), F.lit(0)) + inside).cast("bigint").alias("line_index"),
+    zero = F.lit(0).cast("bigint")
+    carry = words.groupBy(*keys, CHUNK).agg(F.sum("_n").alias("_n"))
+    carry = carry.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(earlier_chunks(keys)), zero).alias("_c"))
+    local = words.withColumn("_l", F.coalesce(F.sum("_n").over(before), zero))
+    return join_carry(local, carry, keys).select(
+        *keys, _WORD, "_bits", (F.col("_l") + F.col("_c")).alias("_earlier")
     )
+
+
+def place_in(subset: DataFrame, ranks: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
+    """``line_index`` of a few rows by a rank structure: an equi-join and two bit operations."""
+    rows = subset.withColumn(_WORD, F.expr(f"{SEQ} div {_WORD_ROWS}"))
+    ahead = F.expr(f"~shiftleft(-1L, cast({SEQ} % {_WORD_ROWS} AS int))")
+    inside = F.bit_count(F.col("_bits").bitwiseAND(ahead))
+    return rows.join(ranks, [*keys, _WORD], "left").select(
+        *subset.columns, (F.col("_earlier") + inside).cast("bigint").alias("line_index")
+    )
+
+
+def rank_of(subset: DataFrame, of: DataFrame, keys: Sequence[str] = SESSION) -> DataFrame:
+    """``line_index`` of a few rows among all rows of ``of`` without shuffling ``of``."""
+    return place_in(subset, line_ranks(of, keys), keys)

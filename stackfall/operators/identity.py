@@ -10,8 +10,8 @@ from ..functions.text import strip, to_int
 from ..schema import BOOT_WINDOW_MS, DAY_MS, INVENTORY_TTL_MS
 from . import chunks as H
 
-#: Salts for the as-of lookup: one hot process is spread over this many tasks.
-AS_OF_SALTS = 64
+#: Span of receive time whose process snapshots are looked up together.
+AS_OF_CHUNK_MS = 600_000
 
 
 def pids_of_package(ps: DataFrame, package: str) -> DataFrame:
@@ -60,40 +60,49 @@ def running_named(apps: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def with_package(records: DataFrame, ps: DataFrame, *, salts: int = AS_OF_SALTS) -> DataFrame:
+def with_package(records: DataFrame, ps: DataFrame, *, chunk_ms: int = AS_OF_CHUNK_MS) -> DataFrame:
     """Fills ``package`` from the process snapshot valid when the record arrived.
 
-    As-of lookup by (device, pid): records and snapshots are laid on one time line. Records are
-    salted and the small snapshot side is repeated per salt, so a process that logs a third of
-    all rows is worked on by ``salts`` tasks.
+    As-of lookup by (device, pid) as an equi-join: the package of a pid hardly ever changes, so the
+    changes of a span of ``chunk_ms``, after the package carried into it, are one short list, and a
+    record picks from the list of its span. Records are joined, not sorted; a pid that logs a third
+    of all rows is spread over its spans, and a hot span is a skewed join that AQE splits.
     """
-    snapshots = ps.groupBy("device_serial", "pid", "polled_at_ms").agg(
-        F.min(package_of_process(F.col("name"))).alias("_package")
+    keys = ["device_serial", "pid"]
+    span = lambda at: F.expr(f"{at} div {int(chunk_ms)}").alias("_span")
+    snapshots = ps.where(F.col("pid").isNotNull() & F.col("polled_at_ms").isNotNull())
+    snapshots = snapshots.groupBy(*keys, F.col("polled_at_ms").alias("at")).agg(
+        F.min(package_of_process(F.col("name"))).alias("package")
     )
-    state = snapshots.select(
-        "device_serial", "pid", F.col("polled_at_ms").alias("_at"), F.lit(0).alias("_side"),
-        F.struct(F.col("_package").alias("package")).alias("_state"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+    along = Window.partitionBy(*keys).orderBy("at")
+    before = F.lag(F.struct("package")).over(along)
+    changes = snapshots.withColumn("_was", before).where(
+        F.col("_was").isNull() | ~F.col("package").eqNullSafe(F.col("_was.package"))
     )
-    rows = records.where(F.col("pid").isNotNull()).select(
-        "device_serial", "pid", F.col("received_at_ms").alias("_at"), F.lit(1).alias("_side"),
-        F.pmod("seq", F.lit(salts)).cast("int").alias("_salt"),
-        F.struct(*records.columns).alias("_row"),
+    entry = F.struct("at", "package")
+    by_span = changes.groupBy(*keys, span("at")).agg(
+        F.array_sort(F.collect_list(entry)).alias("_changes"), F.max(entry).alias("_last")
     )
-    line = (
-        Window.partitionBy("device_serial", "pid", "_salt")
-        .orderBy("_at", "_side")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = records.where(F.col("pid").isNotNull()).select(*keys, span("received_at_ms")).distinct()
+    earlier = (
+        Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     )
-    looked_up = (
-        rows.unionByName(state, allowMissingColumns=True)
-        .withColumn("_now", F.last("_state", ignorenulls=True).over(line))
-        .where(F.col("_side") == 1)
-        .select("_row.*", F.col("_now.package").alias("_found"))
-        .withColumn("package", F.coalesce("package", "_found"))
+    carried = F.array(F.last("_last", ignorenulls=True).over(earlier))
+    held = asked.join(by_span, [*keys, "_span"], "full").select(
+        *keys, "_span",
+        F.filter(
+            F.concat(carried, F.coalesce("_changes", F.array().cast(by_span.schema["_changes"].dataType))),
+            lambda e: e.isNotNull(),
+        ).alias("_held"),
+    )
+    valid = F.filter("_held", lambda e: e.getField("at") <= F.col("received_at_ms"))
+    found = F.try_element_at(valid, F.lit(-1)).getField("package")
+    rows = records.withColumn("_span", span("received_at_ms"))
+    return (
+        rows.join(held, [*keys, "_span"], "left")
+        .withColumn("package", F.coalesce("package", found))
         .select(*records.columns)
     )
-    return looked_up.unionByName(records.where(F.col("pid").isNull()))
 
 
 # --- targets ----------------------------------------------------------------------------

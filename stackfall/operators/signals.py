@@ -20,11 +20,14 @@ ANOMALY_COLUMNS = (
 )
 
 
-def evidence(records: DataFrame, *, raw: str = "raw") -> DataFrame:
+def evidence(
+    records: DataFrame, *, raw: str = "raw", ranks: DataFrame | None = None
+) -> DataFrame:
     """The few rows that carry a signal or an anomaly, both parsed in one pass.
 
     A needle gate runs before any regular expression. ``line_index`` counts all rows of the
-    session, found through bitmaps, so the log itself is never shuffled.
+    session, found through a rank structure (``ranks``, where it is stored), so the log itself is
+    never shuffled.
     """
     line = F.col(raw)
     gated = records.where(may_be_ams(line) | may_be_anomaly(line)).select(
@@ -36,7 +39,7 @@ def evidence(records: DataFrame, *, raw: str = "raw") -> DataFrame:
         "anomaly",
     )
     found = parsed.where(F.col("ams").isNotNull() | F.col("anomaly").isNotNull())
-    return H.rank_of(found, records.select(*SESSION, "seq"))
+    return H.place_in(found, H.line_ranks(records) if ranks is None else ranks)
 
 
 def signals_of(found: DataFrame, *, strict_uid: bool = False) -> DataFrame:
@@ -56,12 +59,12 @@ def anomalies_of(found: DataFrame) -> DataFrame:
     )
 
 
-def ams_signals(records: DataFrame, **options) -> DataFrame:
-    return signals_of(evidence(records), **options)
+def ams_signals(records: DataFrame, *, ranks: DataFrame | None = None, **options) -> DataFrame:
+    return signals_of(evidence(records, ranks=ranks), **options)
 
 
-def anomalies(records: DataFrame) -> DataFrame:
-    return anomalies_of(evidence(records))
+def anomalies(records: DataFrame, *, ranks: DataFrame | None = None) -> DataFrame:
+    return anomalies_of(evidence(records, ranks=ranks))
 
 
 def anomaly_counts(found: DataFrame, *keys: Column | str) -> DataFrame:

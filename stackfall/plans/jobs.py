@@ -77,12 +77,14 @@ def analyse(
     max_gap_ms: int = 5_000,
     line_window: str = "lines",
     chunk_rows: int = H.CHUNK_ROWS,
+    ranks: DataFrame | None = None,
     cut: bool = True,
 ) -> Forensics:
     """Crashes, causal links, stories, resource pressure and integrity of every session.
 
     ``records`` should be a stored table (see ``write_records``): it is read column-pruned for
-    the gate, the ordinals, the counters and the gaps. With ``cut`` the gated rows and the small
+    the gate, the counters and the gaps, and for the ordinals unless their structure is stored too
+    (``ranks``, see ``write_ranks``). With ``cut`` the gated rows and the small
     event and link tables are written once in the shared folder, so nothing is parsed twice.
     """
     keep = cut_table if cut else (lambda df, name: df)
@@ -91,9 +93,9 @@ def analyse(
             "device_ts", device_time(F.col("timestamp"), F.lit(1970 if year is None else year))
         )
     gated = keep(gate(records), "gated")
-    found = H.rank_of(
+    found = H.place_in(
         gated.where(F.col("ams").isNotNull() | F.col("anomaly").isNotNull()),
-        records.select(*SESSION, "seq"),
+        H.line_ranks(records) if ranks is None else ranks,
     )
     found = keep(found, "evidence")
     signals, anomalies = G.signals_of(found), G.anomalies_of(found)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import crash as K
 from ..functions.records import level_badge
+from ..operators.chunks import line_ranks
 from ..operators.views import cap_events
 from ..schema import SESSION, SNAPSHOT_VERSION
 from .store import BatchStore
@@ -100,6 +101,16 @@ def write_records(records: DataFrame, path: str, *, mode: str = "append") -> Non
     _ordered(records).write.mode(mode).partitionBy("device_serial").parquet(path)
 
 
+def write_ranks(records: DataFrame, path: str) -> None:
+    """The rank structure of stored records (``chunks.line_ranks``), to be given to ``evidence``,
+    ``evidence_rows`` and ``analyse``."""
+    line_ranks(records).write.mode("overwrite").partitionBy("device_serial").parquet(path)
+
+
+def read_ranks(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def safe_stem(name: str) -> str:
     """File stem without path, hidden-file dots or unusual characters."""
     last = re.split(r"[/\\]", name)[-1].strip()

@@ -370,7 +370,7 @@ def live_launches(states: DataFrame) -> DataFrame:
 def run_until_idle(stream: DataFrame, path: str, checkpoint: str, *, idle_ms: int) -> None:
     """Store a ``live_watch`` with an idle time until all that is there is read and every block has
     ended: timers only run out while batches go on, so this polls for as long as they may need."""
-    query = write_events(stream, path, checkpoint, batch_ms=max(1000, idle_ms))
+    query = write_events(stream, path, checkpoint, batch_ms=max(250, idle_ms // 2))
     try:
         while not _quiet(query):
             query.awaitTermination(1)
@@ -378,8 +378,10 @@ def run_until_idle(stream: DataFrame, path: str, checkpoint: str, *, idle_ms: in
         while query.isActive and not settled.isEmpty():
             query.awaitTermination(idle_ms / 1000)
             settled = read_events(stream.sparkSession, path).where(~F.col("complete"))
-        while query.isActive and query.status["isTriggerActive"]:
-            query.awaitTermination(0.05)  # stop between two batches
+        for _ in range(100):  # better stopped between two batches
+            if not (query.isActive and query.status["isTriggerActive"]):
+                break
+            query.awaitTermination(0.05)
     finally:
         query.stop()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackfall.operators import blocks as B
 from stackfall.operators import chunks as H
+from stackfall.operators import identity as I
 from stackfall.operators import integrity as Q
 from stackfall.operators import links as L
 from stackfall.operators import views as V
@@ -153,3 +154,58 @@ def test_incremental_lines_keep_repeats_within_a_poll(spark):
     rows = [("d", 0, 0, "a"), ("d", 0, 1, "b"), ("d", 1, 0, "b"), ("d", 1, 1, "c"), ("d", 1, 2, "c"), ("d", 2, 0, "a")]
     df = spark.createDataFrame(rows, "device_serial string, poll_no bigint, line_no bigint, line string")
     assert sorted((r.poll_no, r.line) for r in V.incremental_lines(df).collect()) == [(0, "a"), (0, "b"), (1, "c"), (1, "c"), (2, "a")]
+
+
+def test_rank_structure_counts_rows_over_gaps_and_chunks(spark):
+    import random
+
+    r = random.Random(7)
+    seqs = sorted(r.sample(range(600_000), 700) + [63, 64, 127, 128, 262_143, 262_144])
+    seqs = sorted(set(seqs))
+    df = spark.createDataFrame([("d", "s", q) for q in seqs] + [("d", "t", q) for q in seqs[::3]], KEYS)
+    ranks = H.line_ranks(df)
+    got = {(x.session_id, x.seq): x.line_index for x in H.place_in(df, ranks).collect()}
+    assert got == {("s", q): i for i, q in enumerate(seqs)} | {("t", q): i for i, q in enumerate(seqs[::3])}
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("chunk_ms", [7, 1000, 10**9])
+def test_package_as_of_by_spans(spark, chunk_ms):
+    import random
+
+    r = random.Random(2)
+    polls = [("d", p, t, f"com.a{r.randrange(3)}:x" if r.random() < 0.8 else "init") for p in (1, 2, 3) for t in r.sample(range(200), 25)]
+    rows = [("d", "s", i, r.choice([1, 1, 1, 1, 2, 4, None]), r.choice([None, *range(-5, 220)]), None, i) for i in range(800)]
+    ps = spark.createDataFrame(polls, "device_serial string, pid int, polled_at_ms bigint, name string")
+    records = spark.createDataFrame(rows, KEYS + ", pid int, received_at_ms bigint, package string, _span int")
+    found = {x.seq: x.package for x in I.with_package(records, ps, chunk_ms=chunk_ms).collect()}
+    for _, _, seq, pid, at, _, _ in rows:
+        known = [(t, n) for _, p, t, n in polls if p == pid and at is not None and t <= at]
+        name = max(known)[1] if known else None
+        want = None if name in (None, "init") else name.split(":")[0]
+        assert found[seq] == want, (seq, pid, at)
+    assert len(found) == len(rows)
+
+
+def test_many_signatures_equal_a_loop(spark):
+    import random
+
+    from stackfall.operators import known as N
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(r.randint(0, 9))) for _ in range(150)] + [None, ""]
+    needles = [(i, word() + r.choice(["", " " + word()]), f"t{i}", "c", "a") for i in range(400)] + [(0, "", "e", "c", "a"), (1, None, "n", "c", "a")]
+    events = [("d", "s", i, f"e{i}", i, r.choice(texts), r.choice(texts), "x") for i in range(200)]
+    df = spark.createDataFrame(events, KEYS + ", event_id string, start_seq bigint, exception string, message string, title string")
+    signatures = spark.createDataFrame(needles, "priority int, needle string, title string, cause string, action string")
+    got = {x.event_id: x.title for x in N.known_notes(df.drop("title"), signatures=signatures).collect()}
+    want = {}
+    for _, _, _, event, _, one, two, _ in events:
+        hits = [(p, n, t) for p, n, t, *_ in needles if n and (n in (one or "") or n in (two or ""))]
+        if hits:
+            want[event] = min(hits)[2]
+    assert got == want
+    small = N.known_notes(df.drop("title"), extra=(("ab", "own", "c", "a"),))
+    assert {x.event_id for x in small.collect()} == {e[3] for e in events if "ab" in (e[5] or "") or "ab" in (e[6] or "")}
