@@ -388,16 +388,19 @@ def _(spark, sf):
     return spark.read.schema(report.schema).parquet(path).select(*KEYS, "sources_found", "records", "failed", kinds.alias("kinds"))
 
 
-@query("crash_scene", _with_artifacts("SELECT e.device_serial, e.session_id, e.origin, count(*) AS n FROM ae e JOIN artifacts a ON a.name = e.name AND a.session_id = e.session_id AND a.device_serial = e.device_serial WHERE a.exit_code = 0 GROUP BY ALL"))
+_SCENE = "device_serial, session_id, name, origin, pid, tid, process, exception, message, n_frames"
+
+
+@query("crash_scene", _with_artifacts("SELECT " + ", ".join(f"e.{c}" for c in _SCENE.split(", ")) + " FROM ae e JOIN artifacts a ON a.name = e.name AND a.session_id = e.session_id AND a.device_serial = e.device_serial WHERE a.exit_code = 0"))
 def _(spark, sf):
-    scene = J.crash_scene(of(spark, sf, "artifacts"))
-    return V.count_by_origin(scene.events)
+    return J.crash_scene(of(spark, sf, "artifacts")).events.select(*_SCENE.split(", "))
 
 
-@query("scene_records", scene_sql("artifacts", r"""SELECT device_serial, session_id, dir, count(*) AS n FROM (SELECT *, unnest(string_split("text", chr(10))) AS l FROM artifacts WHERE exit_code = 0) WHERE trim(l) <> '' AND NOT floor((strlen(l) - strlen(regexp_replace(l, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'))) * 100 / strlen(l)) >= 30 GROUP BY ALL"""))
+@query("scene_records", scene_sql("artifacts", r"""SELECT device_serial, session_id, dir, name, CAST(g - 1 AS BIGINT) AS seq, ls[g] AS raw FROM (SELECT *, string_split(regexp_replace("text", '\n$', ''), chr(10)) AS ls FROM artifacts WHERE exit_code = 0 AND "text" <> ''), LATERAL (SELECT unnest(generate_series(1, len(ls))) AS g)
+  WHERE trim(ls[g]) <> '' AND NOT floor((strlen(ls[g]) - strlen(regexp_replace(ls[g], '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'))) * 100 / strlen(ls[g])) >= 30"""))
 def _(spark, sf):
     scene = J.crash_scene(of(spark, sf, "artifacts"))
-    return scene.records.groupBy(*KEYS, "dir").agg(F.count(F.lit(1)).alias("n"))
+    return scene.records.select(*KEYS, "dir", "name", "seq", "raw")
 
 
 @query("all_crash_events", scene_sql("artifacts", "SELECT 1").rsplit("\nSELECT 1", 1)[0].replace("WITH artifacts", sql("live_events", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + ",\nartifacts") + ",\n" + _ART_EVENT + "\nSELECT origin, count(*) AS n, count(DISTINCT id) AS n_ids FROM (SELECT 'crashBuffer' AS origin, event_id AS id FROM evt UNION ALL SELECT origin, device_serial || session_id || name || event_no FROM ae) GROUP BY ALL")

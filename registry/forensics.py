@@ -15,11 +15,12 @@ from stackfall.operators import signals as G
 from stackfall.operators import stories as T
 from stackfall.operators import views as V
 from stackfall.plans import jobs as J
+from stackfall.schema import AMS_LABEL
 from stackfall.session import cut, scratch_path
 from stackfall.sinks import exports as X
 from stackfall.sources import devices as D
 
-from .common import KEYS, joined, lines, of, records, sql
+from .common import KEYS, joined, lines, of, records, sql, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -129,10 +130,14 @@ def _(spark, sf):
     return out.select(*KEYS, "pos", "source", "victim")
 
 
-@query("link_reasons", sql("links", """SELECT device_serial, session_id, source, victim, CASE WHEN gap_ms >= 0 THEN source || ' crashed; ' || gap_ms || ' ms later ' || victim || ' was ' ELSE victim || ' was ' END AS opening FROM clink"""))
+_DID = "CASE v.kind " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in AMS_LABEL.items()) + " END"
+
+
+@query("link_reasons", sql("links", f"""SELECT c.device_serial, c.session_id, c.source, c.victim, CASE WHEN c.gap_ms >= 0 THEN c.source || ' crashed; ' || c.gap_ms || ' ms later ' || c.victim || ' was ' || {_DID}
+  WHEN c.gap_ms < 0 THEN c.victim || ' was ' || {_DID} || ' ' || -c.gap_ms || ' ms before ' || c.source || ' crashed' ELSE c.source || ' crashed; ' || c.victim || ' was ' || {_DID} END AS reason
+  FROM clink c JOIN sig v ON v.device_serial = c.device_serial AND v.session_id = c.session_id AND v.line_index = c.victim_line"""))
 def _(spark, sf):
-    out = L.link_deaths(_signals(spark, sf))
-    return out.select(*KEYS, "source", "victim", F.regexp_replace("reason", r" was .*\z", " was ").alias("opening"))
+    return L.link_deaths(_signals(spark, sf)).select(*KEYS, "source", "victim", "reason")
 
 
 @query("evidence_rows", sql("links", """SELECT c.device_serial, c.session_id, c.source, c.victim, e.n AS evidence_no, r.message FROM clink c, LATERAL (SELECT 0 AS n, c.source_line AS li UNION ALL SELECT 1, c.victim_line) e
@@ -233,6 +238,24 @@ def _(spark, sf):
     return V.settle(updates).drop("version")
 
 
+@query("timeline_order", sql("live_events", "SELECT row_number() OVER (ORDER BY device_serial, session_id, start_seq, event_id) - 1 AS position, device_serial || ' ' || session_id || ' ' || event_id AS line FROM evt"))
+def _(spark, sf):
+    """Events written in capture order; the lines of the files, one file after the other, keep it."""
+    path = scratch_path(spark, "timeline")
+    line = F.concat_ws(" ", *KEYS, "event_id")
+    X.write_ordered(_events(spark, sf), path, [*KEYS, "start_seq", "event_id"], line)
+    return X.read_ordered(spark, path)
+
+
+@query("story_order", sql("stories", "SELECT row_number() OVER (ORDER BY device_serial, session_id, first_line NULLS LAST, identity) - 1 AS position, device_serial || ' ' || session_id || ' ' || identity AS line FROM story"))
+def _(spark, sf):
+    """Stories of a session by first line, those without one last."""
+    path = scratch_path(spark, "stories")
+    order = [*KEYS, F.col("first_line").asc_nulls_last(), "identity"]
+    X.write_ordered(_correlated(spark, sf)[0].stories, path, order, F.concat_ws(" ", *KEYS, "identity"))
+    return X.read_ordered(spark, path)
+
+
 @query("timeline_groups", sql("live_events", "SELECT device_serial, session_id, 'crashBuffer' AS origin, count(*) AS n FROM (SELECT DISTINCT device_serial, session_id, coalesce(exception, '') AS x, frames FROM evt) GROUP BY device_serial, session_id"))
 def _(spark, sf):
     events = _events(spark, sf).withColumn("version", F.col("start_seq"))
@@ -251,6 +274,33 @@ def _(spark, sf):
     return N.known_causes(N.known_notes(_events(spark, sf))).drop("cause", "action")
 
 
+#: One signature per customer; several may fit a line, the smallest key counts.
+_NEEDLE = "'com.app' || CAST({c} % 5 AS {s}) || '.main'' (' || CAST(2000 + {c} % 300 AS {s}) || ')'"
+
+
+@query("user_signatures", sql("rec", f"""SELECT device_serial, session_id, seq, min(c_custkey) AS priority, arg_min(c_name, c_custkey) AS title FROM rec
+  JOIN (SELECT c_custkey, c_name, {_NEEDLE.format(c="c_custkey", s="VARCHAR")} AS needle FROM customer) g ON contains(rec.message, g.needle) GROUP BY ALL"""))
+def _(spark, sf):
+    """As many signatures as customers, looked up in all messages."""
+    signatures = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("priority"), F.expr(_NEEDLE.format(c="c_custkey", s="STRING").replace("''", "\\'")).alias("needle"),
+        F.col("c_name").alias("title"),
+    )
+    rows = cut(records(spark, sf).select(*KEYS, "seq", "message"), "messages")
+    return N.first_signature(rows, ["message"], signatures).select(*KEYS, "seq", "priority", "title")
+
+
+@query("stored_ordinals", sql("sig", f"SELECT {_SIG} FROM sig"))
+def _(spark, sf):
+    """Signals of stored records, placed by the rank structure stored beside them."""
+    base = scratch_path(spark, "stored")
+    X.write_records(records(spark, sf), base + "/records")
+    stored = spark.read.parquet(base + "/records")
+    X.write_ranks(stored, base + "/ranks")
+    found = G.ams_signals(stored, ranks=X.read_ranks(spark, base + "/ranks"))
+    return found.select(*[c.strip() for c in _SIG.split(",")])
+
+
 # --- stories ----------------------------------------------------------------------------
 
 

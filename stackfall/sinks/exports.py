@@ -12,6 +12,7 @@ from ..functions.records import level_badge
 from ..operators.chunks import line_ranks
 from ..operators.views import cap_events
 from ..schema import SESSION, SNAPSHOT_VERSION
+from ..sources.lines import number_files
 from .store import BatchStore
 
 #: Fields of the CSV and JSON exports, in order.
@@ -58,6 +59,20 @@ def _ordered(records: DataFrame) -> DataFrame:
     return records.repartitionByRange(*_KEYS, "seq").sortWithinPartitions(*_KEYS, "seq")
 
 
+def write_ordered(rows: DataFrame, path: str, order: list[str | Column], line: Column) -> None:
+    """One text line a row in total order: the files follow each other by name. One range exchange;
+    equal rows of the order lie together."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = rows.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    ranged.select(line.alias("value")).write.text(path)
+
+
+def read_ordered(spark, path: str) -> DataFrame:
+    """``position, line`` of the lines that :func:`write_ordered` wrote, over all files."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return number_files(text).select(F.col("seq").alias("position"), F.col("value").alias("line"))
+
+
 def export_log(records: DataFrame, path: str) -> None:
     """Text export, one directory per session, lines in capture order."""
     rows = _ordered(records).select(*_KEYS, log_text().alias("value"))

@@ -64,6 +64,17 @@ def with_file_seq(text: DataFrame) -> DataFrame:
     return numbered.select("file_path", F.col("_seq").alias("seq"), "value")
 
 
+def number_files(text: DataFrame) -> DataFrame:
+    """``seq, value``: the lines of all files numbered through, files by name."""
+    placed = text.select(
+        "value", F.lit(0).alias("_all"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    )
+    numbered = _number(placed, ["_all"], ["_file", "_start"])
+    return numbered.select(F.col("_seq").alias("seq"), "value")
+
+
 def _number(
     placed: DataFrame, keys: list[str], split: list[str], carried: DataFrame | None = None
 ) -> DataFrame:
