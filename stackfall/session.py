@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RECORDED: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for recorded in _RECORDED:
+        recorded.append(path)
+    return path
+
+
+@contextmanager
+def scratch_of() -> Iterator[list[str]]:
+    """The scratch paths that are handed out meanwhile, to be removed once they are not read any
+    more."""
+    paths: list[str] = []
+    _RECORDED.append(paths)
+    try:
+        yield paths
+    finally:
+        _RECORDED.remove(paths)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
