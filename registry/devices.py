@@ -311,6 +311,21 @@ def _(spark, sf):
     return A.artifact_events(of(spark, sf, "artifacts")).select(*[c.strip() for c in _AE.split(",")])
 
 
+@query("scanned_artifacts", _with_artifacts('SELECT ' + _AE.replace("timestamp", '"timestamp"') + ' FROM ae'))
+def _(spark, sf):
+    """The same events out of files that are read line by line in splits."""
+    path = scratch_path(spark, "artifacts")
+    files = of(spark, sf, "artifacts").select(
+        *KEYS, "dir", "name", F.regexp_replace(F.coalesce("text", F.lit("")), r"\n\z", "").alias("value")
+    )
+    files.write.partitionBy(*KEYS, "dir", "name").text(path)
+    part = lambda k: F.regexp_extract("file_path", f"/{k}=([^/]*)/", 1)
+    lines = A.scan_artifacts(
+        spark, path, part("device_serial"), part("session_id"), directory=part("dir"), name=part("name")
+    )
+    return A.scanned_events(lines).select(*[c.strip() for c in _AE.split(",")])
+
+
 @query("by_origin", _with_artifacts("SELECT device_serial, session_id, name, pid FROM ae WHERE origin = 'tombstone'"))
 def _(spark, sf):
     return V.by_origin(A.artifact_events(of(spark, sf, "artifacts")), "tombstone").select(*KEYS, "name", "pid")

@@ -10,6 +10,7 @@ from stackfall.session import cut, scratch_path
 from stackfall.sinks import exports as X
 from stackfall.sources import lines as LN
 from stackfall.streaming import live as S
+from stackfall.streaming import tables as ST
 
 from .common import KEYS, lines, of, scene_sql, sql
 from .scenes import duck_sql
@@ -110,7 +111,19 @@ def _(spark, sf):
     return _crashes(spark, base)
 
 
-#: Every 89th line arrives one slice late, of three.
+def late_arrivals(spark, sf):
+    """All lines in three slices of one file and micro-batch each, every 89th line one slice late."""
+    all_lines = cut(lines(spark, sf), "late")
+    step = all_lines.agg(F.max("seq")).first()[0] // 3 + 1
+    arrival = F.expr(f"seq div {step}") + F.when(F.col("seq") % 89 == 0, 1).otherwise(0)
+    path = scratch_path(spark, "arrivals")
+    for i in range(4):
+        all_lines.where(arrival == i).repartition(1).write.parquet(f"{path}/{i}")
+    S.use_state_store(spark)
+    return spark.readStream.schema(all_lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+#: The slice in which a line arrives.
 _ARRIVES = "seq // w.step + CASE WHEN seq % 89 = 0 THEN 1 ELSE 0 END"
 
 
@@ -118,15 +131,7 @@ _ARRIVES = "seq // w.step + CASE WHEN seq % 89 = 0 THEN 1 ELSE 0 END"
 SEMI JOIN (SELECT v0.*, {_ARRIVES} AS slice FROM v0, w) o ON o.device_serial = r.device_serial AND o.session_id = r.session_id AND o.slice < r.slice AND o.seq > r.seq GROUP BY ALL""").replace("\nSELECT r.device", ",\nw AS (SELECT max(seq) // 3 + 1 AS step FROM lines)\nSELECT r.device"))
 def _(spark, sf):
     """Lines behind lines already read, counted per session."""
-    all_lines = cut(lines(spark, sf), "late")
-    step = all_lines.agg(F.max("seq")).first()[0] // 3 + 1
-    arrival = F.expr(f"seq div {step}") + F.when(F.col("seq") % 89 == 0, 1).otherwise(0)
-    path = scratch_path(spark, "arrivals")
-    for i in range(4):
-        part = all_lines.where(arrival == i)
-        part.coalesce(2).repartition(1, *KEYS).write.parquet(f"{path}/{i}")
-    S.use_state_store(spark)
-    stream = spark.readStream.schema(all_lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    stream = late_arrivals(spark, sf)
     base = scratch_path(spark, "late")
     X.write_events(S.live_watch(stream), base, base + "/state").awaitTermination()
     late = X.read_events(spark, base).where(F.col("type") == "late")
@@ -160,6 +165,27 @@ def _(spark, sf):
     return out.where("not late").drop("batch_id", "late")
 
 
+@query("followed_polls", scene_sql("polls", "SELECT p.device_serial, p.poll_no, p.line_no, p.line FROM polls p WHERE NOT EXISTS (SELECT 1 FROM polls q WHERE q.device_serial = p.device_serial AND q.poll_no = p.poll_no - 1 AND q.line = p.line)"))
+def _(spark, sf):
+    """The same lines by joins with the polls stored before."""
+    base = scratch_path(spark, "polls")
+    stream = replay(of(spark, sf, "polls"), "poll_no", "device_serial", files=2)
+    ST.follow_polls(stream, base, base + "/state", every=3).awaitTermination()
+    return ST.read_polls(spark, base).where("not late").drop("late")
+
+
+#: Every 89th line arrives one slice of three late; a slice is a micro-batch.
+@query("followed_counters", sql("rec", f"""SELECT r.device_serial, r.session_id, count(*) AS records, count(*) FILTER (NOT r.parsed) AS unparsed, max(r.seq) AS last_seq,
+  count(*) FILTER (EXISTS (SELECT 1 FROM (SELECT rec.*, {_ARRIVES} AS slice FROM rec, w) o WHERE o.device_serial = r.device_serial AND o.session_id = r.session_id AND o.slice < r.slice AND o.seq > r.seq)) AS late
+  FROM (SELECT rec.*, {_ARRIVES} AS slice FROM rec, w) r GROUP BY ALL""").replace("\nSELECT r.device", ",\nw AS (SELECT max(seq) // 3 + 1 AS step FROM lines)\nSELECT r.device"))
+def _(spark, sf):
+    """Counts per session, late lines included, as sums of what each micro-batch adds."""
+    base = scratch_path(spark, "counters")
+    stream = late_arrivals(spark, sf)
+    ST.follow_counters(stream, base, base + "/state", every=2).awaitTermination()
+    return ST.read_counters(spark, base).drop("binary")
+
+
 @query("live_launches", scene_sql("states", "SELECT 1").replace("\nSELECT 1", ",\n" + _STATE + "\nSELECT device_serial, package, polled_at_ms, CASE WHEN was = '' THEN 'start' WHEN now = '' THEN 'stop' ELSE 'restart' END AS edge FROM sl WHERE now <> was"))
 def _(spark, sf):
     stream = replay(states(spark, sf), "polled_at_ms", "device_serial", "package")

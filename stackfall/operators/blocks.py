@@ -148,12 +148,14 @@ def crash_events(
     origin: str = "crashBuffer",
     arrays: bool = True,
     opening: tuple[str, ...] = (),
+    keys: tuple[str, ...] = SESSION,
 ) -> DataFrame:
     """One row per block, of any length. Scalars are mergeable aggregates over its lines.
 
     ``frames``, ``caused_by`` and ``raw`` hold all lines they are about; without ``arrays`` they
     are NULL for every block and ``block_lines`` itself is the frame of lines. ``opening`` names
-    further columns to take from the row that opened the block."""
+    further columns to take from the row that opened the block, ``keys`` what ``start_seq`` is unique
+    in."""
     parts = K.with_hashes(K.with_line_parts(block_lines, F.col("line")))
     inline = F.lit(arrays)
     fields = K.merge(K.row_reducer("line_no", inline))
@@ -163,7 +165,7 @@ def crash_events(
         ),
         lambda p: p.getField("text"),
     )
-    events = parts.groupBy(*SESSION, "start_seq").agg(
+    events = parts.groupBy(*keys, "start_seq").agg(
         *[c.alias(n) for n, c in fields.items()],
         raw.alias("raw"),
         F.count(F.lit(1)).alias("n_lines"),
@@ -177,7 +179,7 @@ def crash_events(
             "caused_by": F.when(inline, F.col("caused_by")),
             "raw": F.when(inline, F.col("raw")),
         }
-    ).select(*CRASH_EVENT_COLUMNS, *opening)
+    ).select(*CRASH_EVENT_COLUMNS, *[k for k in keys if k not in SESSION], *opening)
 
 
 def fields_of_arrays(df: DataFrame, lines: str) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions.text import strip
 from ..operators import blocks as B
 from ..operators import chunks as H
 from ..schema import MAX_FOLLOW_UP_FILES, SESSION
-from .lines import explode_lines
+from .lines import clean_line, explode_lines, with_file_seq
 
 #: Key of one artifact text.
 ARTIFACT_KEY = (*SESSION, "dir", "name")
@@ -64,6 +64,43 @@ def cap_bytes(content: Column, max_bytes: int) -> Column:
     return F.when(cut, F.regexp_replace(text, "�\\z", "")).otherwise(text)
 
 
+def scan_artifacts(
+    spark: SparkSession,
+    path: str,
+    device: str | Column,
+    session: str | Column,
+    *,
+    directory: Column | None = None,
+    name: Column | None = None,
+    glob: str | None = None,
+) -> DataFrame:
+    """Lines of the files below ``path``: the key of their artifact, ``seq`` and ``line``.
+
+    Files are read in splits and never held whole, so an artifact may have any size. ``device``,
+    ``session``, ``directory`` and ``name`` may be Columns over ``file_path`` (decoded); the last two are
+    the last parts of the path by default.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = with_file_seq(reader.text(path))
+    plain = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+    lines = lines.withColumn("file_path", plain)
+
+    def key(value) -> Column:
+        return value if isinstance(value, Column) else F.lit(value)
+
+    parts = F.split("file_path", "/", -1)
+    return lines.select(
+        key(device).alias("device_serial"),
+        key(session).alias("session_id"),
+        (F.element_at(parts, -2) if directory is None else directory).alias("dir"),
+        (F.element_at(parts, -1) if name is None else name).alias("name"),
+        "seq",
+        clean_line(F.col("value")).alias("line"),
+    )
+
+
 def newest_files(files: DataFrame, n: int = MAX_FOLLOW_UP_FILES) -> DataFrame:
     """The ``n`` last names of each directory; only bare names count."""
     bare = files.where((F.col("name") != "") & ~F.col("name").rlike(r"[/\s]"))
@@ -253,3 +290,48 @@ def artifact_events(artifacts: DataFrame, *, route: str | None = None) -> DataFr
         F.size("_block").cast("bigint").alias("n_lines"),
         "n_frames", "stack_hash",
     )
+
+
+def scanned_events(
+    lines: DataFrame, *, arrays: bool = False, chunk_rows: int = H.CHUNK_ROWS
+) -> DataFrame:
+    """The events of :func:`artifact_events` out of lines (see :func:`scan_artifacts`).
+
+    Shape, sections and fields are aggregates over lines in bounded chunks; nothing holds a text.
+    Stacks and raw lines come with ``arrays`` only.
+    """
+    line = F.col("line")
+    said = lambda what: F.bool_or(F.contains(line, F.lit(what)))
+    routes = lines.groupBy(*ARTIFACT_KEY).agg(
+        C.route_by(
+            F.bool_or(strip(line) != ""), said("----- pid "), said("*** *** ***"),
+            said("signal "), said("(SIG"),
+        ).alias("route")
+    )
+    rows = lines.join(routes.where(F.col("route") != "empty"), list(ARTIFACT_KEY))
+    header = F.ltrim("line").startswith("----- pid ")
+    opens = F.when(F.col("route") == "anrTrace", header).otherwise(F.col("seq") == 0)
+    rows = H.scan(
+        rows.withColumns({"_frame": is_frame(line), "_opens": opens}),
+        count={"_frames": F.col("_frame").cast("int")},
+        before=True, keys=ARTIFACT_KEY, chunk_rows=chunk_rows,
+    )
+    opening = F.struct(F.col("seq").alias("seq"), F.col("_frames").alias("frames"))
+    rows = H.scan(
+        rows, last={"_section": F.when(F.col("_opens"), opening)}, keys=ARTIFACT_KEY, chunk_rows=chunk_rows
+    ).where(F.col("_section").isNotNull())
+    placed = rows.select(
+        *ARTIFACT_KEY, "route", "line", F.col("_section.seq").alias("start_seq"),
+        (F.col("seq") - F.col("_section.seq")).alias("line_no"),
+        (F.col("_frames") - F.col("_section.frames")).alias("frame_no"),
+    )
+    events = B.crash_events(placed, arrays=arrays, keys=(*ARTIFACT_KEY, "route"))
+    order = Window.partitionBy(*ARTIFACT_KEY).orderBy("start_seq")
+    stamp = C.dropbox_file_name(F.col("name")).getField("timestamp")
+    numbered = events.withColumn("event_no", F.row_number().over(order) - 1)
+    event_id = F.concat(
+        F.col("route"), F.lit("#"), F.concat_ws("/", "dir", "name"), F.lit("#"), F.col("event_no").cast("string")
+    )
+    return numbered.withColumns(
+        {"event_id": event_id, "origin": F.col("route"), "timestamp": F.coalesce("timestamp", stamp)}
+    ).drop("route")

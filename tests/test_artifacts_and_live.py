@@ -36,6 +36,31 @@ def test_artifact_files(spark, tmp_path):
     assert dropbox.where("skipped").count() == 2
 
 
+def test_scanned_artifacts_equal_whole_texts(spark, tmp_path):
+    frames = "".join(f"#{i:02d} pc {i:x}  /lib/a.so\n" for i in range(300))
+    for name, data in {
+        "tombstones/tombstone_00": b"*** *** ***\npid: 7, tid: 8, name: x\nsignal 6 (SIGABRT)\r\n" + frames.encode() + b"Abort message: 'br\xffken'",
+        "dropbox/data app@170.txt": b"Process: com.a\n\njava.lang.X: y\n\tat a.b(C.java:1)\n", "dropbox/system_app_anr@1.txt": b"  \n",
+        "dropbox/data_app_crash@171+2.txt": "Process: com.b\njava.lang.Y: é\nCaused by: java.lang.Z: w\n".encode(), "dropbox/empty": b"",
+        "anr/anr_1": b"Subject\n----- pid 5 at 2024-01-01 00:00:00 -----\nCmd line: com.b\n" + b"  at x.y(Z.java)\n" * 200 + b"----- pid 6 at T -----\n\"main\" tid=1\n",
+    }.items():
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(data)
+    whole = A.artifact_events(A.read_artifacts(spark, str(tmp_path), "d", "s"))
+    fields = ["dir", "name", "event_no", "event_id", "origin", "kind", "process", "pid", "tid", "thread", "exception", "message",
+              "timestamp", "n_lines", "n_frames", "stack_hash"]
+    want = sorted(map(str, whole.select(*fields).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        for chunk in (7, 1 << 18):
+            lines = A.scan_artifacts(spark, str(tmp_path), "d", "s")
+            got = A.scanned_events(lines, chunk_rows=chunk).select(*fields).collect()
+            assert sorted(map(str, got)) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_text_files_keep_order_over_splits(spark, tmp_path):
     text = "".join(f"line {i}\r\n" for i in range(4000)) + "last\udcff".encode("utf-8", "replace").decode()
     (tmp_path / "a.txt").write_text(text, newline="")

@@ -12,6 +12,7 @@ from stackfall.sinks import exports as X
 from stackfall.sinks.store import BatchStore
 from stackfall.sources import lines as LN
 from stackfall.streaming import live as S
+from stackfall.streaming import tables as ST
 
 LINE = "device_serial string, session_id string, seq bigint, source string, received_at_ms bigint, line string"
 STAMP = "09-30 12:00:00.123  7  7 E "
@@ -151,3 +152,53 @@ def test_slices_merge_to_bursts(spark):
     lines = spark.createDataFrame([("d", t) for t in times], "device_serial string, received_at_ms bigint")
     found = S.merge_slices(S.activity_slices(lines)).orderBy("from_ms").collect()
     assert [[x.from_ms, x.to_ms, x.n] for x in found] == bursts
+
+
+def test_followed_polls_equal_a_loop(spark, tmp_path):
+    r = random.Random(6)
+    words = ["a", "b", "c", "d", "e", None]
+    polls = {(d, p): [r.choice(words) for _ in range(r.randint(0, 6))] for d in "xy" for p in range(9) if r.random() < 0.8}
+    rows = [(d, p, i, line) for (d, p), lines in polls.items() for i, line in enumerate(lines)]
+    kinds = "device_serial string, poll_no bigint, line_no bigint, line string"
+    # polls are cut over micro-batches; the very last file is one that comes late
+    rows.sort(key=lambda x: (x[1], x[2]))
+    late = [x for x in rows if x[0] == "x" and x[1] == 2][:2]
+    rows = [x for x in rows if x not in late]
+    for i in range(0, len(rows), 7):
+        spark.createDataFrame(rows[i : i + 7], kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{i:04d}"))
+        time.sleep(0.02)
+    spark.createDataFrame(late, kinds).coalesce(1).write.parquet(str(tmp_path / "in/9999"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = str(tmp_path / "out")
+    ST.follow_polls(stream, out, str(tmp_path / "state"), every=2).awaitTermination()
+    want = []
+    for d, p, i, line in rows:
+        before = {x[3] for x in rows if x[:2] == (d, p - 1)}
+        if line is None or line not in before:
+            want.append((d, p, i, line, False))
+    want += [(*x, True) for x in late]
+    got = [(x.device_serial, x.poll_no, x.line_no, x.line, x.late) for x in ST.read_polls(spark, out).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_followed_counters_add_up(spark, tmp_path):
+    r = random.Random(1)
+    rows = [("d", "st"[i % 2], i, "logcat", 0, r.choice([STAMP + "T: x", "raw", "\x01\x02\x03"])) for i in range(60)]
+    order = sorted(rows, key=lambda x: x[2] + (25 if x[2] % 13 == 0 else 0))
+    batches = [order[i : i + 12] for i in range(0, 60, 12)]
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, LINE).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = str(tmp_path / "out")
+    ST.follow_counters(stream, out, str(tmp_path / "state"), every=2).awaitTermination()
+    got = {x.session_id: x for x in ST.read_counters(spark, out).collect()}
+    for session in "st":
+        mine = [[x for x in batch if x[1] == session] for batch in batches]
+        late, last = 0, -1
+        for batch in mine:
+            late += sum(x[2] <= last for x in batch)
+            last = max([last, *(x[2] for x in batch)])
+        of = got[session]
+        assert (of.records, of.unparsed, of.late, of.last_seq) == (30, sum(x[5] != STAMP + "T: x" for b in mine for x in b), late, last)
+        assert of.binary == sum(x[5][0] == "\x01" for b in mine for x in b) and late
