@@ -32,24 +32,21 @@ _PIECE = 1 << 20  # characters looked up at a time
 _MUL = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes of all n-grams of one or more letters, lower-cased, in pieces of bounded size."""
-    codes = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    codes = codes.astype(_U)
-    out = []
-    for n in SIZES:
-        if len(codes) >= n:
-            h = np.full(len(codes) - n + 1, n, dtype=_U)
-            for k in range(n):
-                h = (h ^ codes[k : len(codes) - n + 1 + k]) * _MUL[0]
-                h ^= h >> _U(29)
-            out.append(h)
-    return np.concatenate(out)
-
-
-def pieces(text: str) -> Iterator[str]:
-    for at in range(0, len(text), _PIECE):
-        yield text[at : at + _PIECE]
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Hashes of all n-grams of a lower-cased text between two spaces, part by part; parts overlap,
+    so that n-grams over a cut are found once and a cut adds none."""
+    padded = f" {text} ".lower()
+    for at in range(0, len(padded), _PIECE):
+        part = padded[at : at + _PIECE + max(SIZES) - 1]
+        codes = np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32).astype(_U)
+        for n in SIZES:
+            own = codes[: _PIECE + n - 1]  # n-grams that begin before the next part
+            if len(own) >= n:
+                h = np.full(len(own) - n + 1, n, dtype=_U)
+                for k in range(n):
+                    h = (h ^ own[k : len(own) - n + 1 + k]) * _MUL[0]
+                    h ^= h >> _U(29)
+                yield h
 
 
 def has_letter(text: str | None) -> bool:
@@ -73,8 +70,8 @@ class Filters(NamedTuple):
         if not self.languages or not has_letter(text):
             return "und", 0.0
         hits, total = np.zeros(len(self.languages)), 0
-        for piece in pieces(text):
-            found = self.masks(grams(piece))
+        for h in grams(text):
+            found = self.masks(h)
             total += len(found)
             for i in range(len(self.languages)):
                 hits[i] += np.count_nonzero(found & _U(1 << i))
@@ -110,8 +107,7 @@ def fit(docs: DataFrame) -> Filters:
         for frame in frames:
             for lang, part in frame.groupby("lang"):
                 h, n = np.unique(
-                    np.concatenate([grams(p) for t in part["text"] for p in pieces(t)] or
-                                   [np.empty(0, _U)]),
+                    np.concatenate([h for t in part["text"] for h in grams(t)] or [np.empty(0, _U)]),
                     return_counts=True,
                 )
                 yield pd.DataFrame({"lang": lang, "h": h.view(np.int64), "n": n})
