@@ -21,16 +21,25 @@ SHARD_ROWS = 1024
 LEAF_ROWS = 64
 #: Pruning factor of the registered query: exact search.
 FACTOR = 1.0
-_SPARE = 3  # candidates beyond the asked ones, against rounding in the tree
-_EPS = 1e-9
+
+
+def rounding(dim: int) -> float:
+    """More than any scalar product of two unit vectors, or the cosine, is off in double precision:
+    normalising and a sum of ``dim`` products lose less than ``dim + 8`` half units each way."""
+    return 4 * (dim + 8) * 2.0**-53
 
 
 class Tree:
     """Unit vectors of one shard; equal vectors are one point with their smallest ids."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int) -> None:
-        order = np.argsort(ids, kind="stable")
+        # a repeated id stands for the first of its vectors by their components
+        order = np.lexsort((*vectors.T[::-1], ids))
+        order = order[np.append(True, np.diff(ids[order]) != 0)]
         ids, vectors = ids[order], vectors[order]
+        self._off = rounding(vectors.shape[1])
+        # a distance is the root of 2 - 2 * product: near 0 it is off by the root of its error
+        self._slack = 4 * np.sqrt(2 * self._off)
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
         _, point, inverse = np.unique(
             np.ascontiguousarray(unit).view(f"V{unit.shape[1] * 8}").ravel(),
@@ -59,40 +68,61 @@ class Tree:
             return (at,)  # all at one distance: nothing to split by
         return (vantage, radius, self._grow(near, rng), self._grow(far, rng))
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
-        """Rows of the ``k`` nearest of each unit query, members of equal points included."""
-        n = len(queries)
-        best = np.full((n, k), np.inf)
-        which = np.full((n, k), -1, dtype=np.int64)
-
-        def offer(q: np.ndarray, at: np.ndarray) -> np.ndarray:
-            d = np.sqrt(np.maximum(0, 2 - 2 * queries[q] @ self.points[at].T))
-            both = np.concatenate((best[q], d), axis=1)
-            names = np.concatenate((which[q], np.broadcast_to(at, d.shape)), axis=1)
-            top = np.argpartition(both, k - 1, axis=1)[:, :k]
-            best[q] = np.take_along_axis(both, top, 1)
-            which[q] = np.take_along_axis(names, top, 1)
-            return d
+    def _visit(self, queries: np.ndarray, offer, reach, factor: float) -> None:
+        """Offer all queries the points that ``reach(query)`` does not rule out."""
+
+        def distances(q: np.ndarray, at: np.ndarray) -> np.ndarray:
+            products = queries[q] @ self.points[at].T
+            offer(q, at, products)
+            return np.sqrt(np.maximum(0, 2 - 2 * products))
 
         def visit(node: tuple, q: np.ndarray) -> None:
             if not len(q):
                 return
             if len(node) == 1:
-                offer(q, node[0])
+                distances(q, node[0])
                 return
             vantage, radius, near, far = node
-            d = offer(q, np.array([vantage]))[:, 0]
+            d = distances(q, np.array([vantage]))[:, 0]
             inside = d <= radius
             visit(near, q[inside])
             visit(far, q[~inside])
-            open_ = np.abs(d - radius) * factor <= best[q].max(axis=1) + _EPS
+            open_ = np.abs(d - radius) * factor <= reach(q) + self._slack
             visit(far, q[inside & open_])
             visit(near, q[~inside & open_])
 
-        visit(self.root, np.arange(n))
+        visit(self.root, np.arange(len(queries)))
+
+    def search(self, queries: np.ndarray, k: int, factor: float) -> list[np.ndarray]:
+        """Rows that may be among the ``k`` nearest of each unit query: first the product of the
+        k-th nearest point, then every point that rounding cannot tell from it or a nearer one."""
+        best = np.full((len(queries), k), -np.inf)
+
+        def better(q: np.ndarray, at: np.ndarray, products: np.ndarray) -> None:
+            both = np.concatenate((best[q], products), axis=1)
+            best[q] = -np.partition(-both, k - 1, axis=1)[:, :k]
+
+        def reach(q: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(0, 2 - 2 * best[q].min(axis=1)))
+
+        self._visit(queries, better, reach, factor)
+        least = best.min(axis=1) - 2 * self._off
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def collect(q: np.ndarray, at: np.ndarray, products: np.ndarray) -> None:
+            row, column = np.nonzero(products >= least[q][:, None])
+            hits.append((q[row], at[column]))
+
+        far = np.sqrt(np.maximum(0, 2 - 2 * least))
+        self._visit(queries, collect, lambda q: far[q], factor)
+        asked = np.concatenate([q for q, _ in hits]) if hits else np.zeros(0, np.int64)
+        found = np.concatenate([at for _, at in hits]) if hits else np.zeros(0, np.int64)
+        order = np.argsort(asked, kind="stable")
+        asked, found = asked[order], found[order]
+        cuts = np.searchsorted(asked, np.arange(len(queries) + 1))
         return [
-            np.concatenate([self._members[self._of[p] : self._of[p + 1]] for p in row if p >= 0])
-            for row in which
+            np.concatenate([self._members[:0], *(self._members[self._of[p] : self._of[p + 1]] for p in found[i:j])])
+            for i, j in zip(cuts, cuts[1:])
         ]
 
 
@@ -126,8 +156,11 @@ def search(
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows by cosine, nearest first.
 
     Ties go to the smaller id; a query's own id is no candidate; with fewer candidates all come. Rows
-    that are unusable or without id take no part, vectors only meet those of their length, rows that
-    repeat an id count once per vector. Empty tables give no rows.
+    that are unusable or without id take no part, vectors only meet those of their length. A
+    repeated id counts once, among the candidates of a length by the first of its vectors in the
+    order of their components, among the queries by the shortest, then first. Empty tables give no
+    rows, other columns are left out. With factor one the result is exact, near ties included: all
+    points that rounding cannot tell from the k-th are compared by the cosine itself.
     """
     v = F.col(vector).cast("array<double>")
     clean = vectors.where(usable(vector) & F.col(id_col).isNotNull()).select(
@@ -136,6 +169,8 @@ def search(
     asked = queries.where(usable(vector) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector).alias("dim")
     )
+    asked = asked.groupBy("id").agg(F.min(F.struct("dim", "v")).alias("first"))
+    asked = asked.select("id", "first.v", "first.dim")
     shards = max(1, -(-vectors.count() // shard_rows))
     placed = clean.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     every = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -167,7 +202,7 @@ def search(
                 if tree is None:
                     tree = Tree(np.concatenate(ids), np.concatenate(held), k + 1)
                 unit = part / np.sqrt((part * part).sum(axis=1))[:, None]
-                found = tree.search(unit, k + 1 + _SPARE, factor)
+                found = tree.search(unit, k + 1, factor)
                 q = np.repeat(np.arange(b - a), [len(f) for f in found])
                 at = np.concatenate(found)
                 score = cosine(part[q], tree.vectors[at])
