@@ -344,16 +344,18 @@ def _(spark, sf):
     return out.groupBy(*A.ARTIFACT_KEY, "section").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("split_sections", """SELECT 's' || (doc_id % 3) AS session_id, 'doc' || doc_id || '.txt' AS name, count(*) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace("text", '\\n$', ''), chr(10))) AS l FROM documents WHERE "text" <> '') GROUP BY ALL""")
+@query("split_sections", """SELECT 's' || (doc_id % 3) AS session_id, 'doc' || doc_id || '.txt' AS name, CAST(g - 1 AS BIGINT) AS line_no, regexp_replace(ls[g], '\\r$', '') AS line
+  FROM (SELECT doc_id, string_split(regexp_replace("text", '\\n$', ''), chr(10)) AS ls FROM documents WHERE "text" <> ''), LATERAL (SELECT unnest(generate_series(1, len(ls))) AS g)""")
 def _(spark, sf):
     d = table(spark, sf, "documents").where(F.col("text") != "").select(
         F.lit("d").alias("device_serial"),
         F.concat(F.lit("s"), (F.col("doc_id") % 3).cast("string")).alias("session_id"), "doc_id",
         F.concat(F.lit("== doc"), F.col("doc_id").cast("string"), F.lit(".txt\n"), F.col("text")).alias("text"),
     )
-    t = LN.explode_lines(d).withColumn("seq", F.col("doc_id") * (1 << 20) + F.col("line_no"))
+    # room for 2 ** 32 lines a document
+    t = LN.explode_lines(d).withColumn("seq", F.col("doc_id") * (1 << 32) + F.col("line_no"))
     out = A.split_sections(t.select(*KEYS, "seq", "line"))
-    return out.groupBy("session_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("session_id", "name", (F.col("seq") - F.col("section") - 1).alias("line_no"), "line")
 
 
 @query("dropbox_files", _with_artifacts("""SELECT a.device_serial, a.session_id, a.name, CASE WHEN contains(a.name, ' ') THEN NULL WHEN starts_with(a.name, 'system_app_anr') THEN 'anr' ELSE 'dataAppCrash' END AS dropbox_kind, contains(a.name, ' ') OR a."text" = '' AS skipped, CASE WHEN NOT contains(a.name, ' ') THEN a."timestamp" END AS file_time
@@ -418,9 +420,28 @@ def _(spark, sf):
     return scene.records.select(*KEYS, "dir", "name", "seq", "raw")
 
 
-@query("all_crash_events", scene_sql("artifacts", "SELECT 1").rsplit("\nSELECT 1", 1)[0].replace("WITH artifacts", sql("live_events", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + ",\nartifacts") + ",\n" + _ART_EVENT + "\nSELECT origin, count(*) AS n, count(DISTINCT id) AS n_ids FROM (SELECT 'crashBuffer' AS origin, event_id AS id FROM evt UNION ALL SELECT origin, device_serial || session_id || name || event_no FROM ae) GROUP BY ALL")
+_ANY_EVENT = "device_serial, session_id, origin, process, pid, exception, n_frames"
+_BUFFER_EVENT = _ANY_EVENT.replace("origin", "'crashBuffer' AS origin")
+_BOTH_EVENTS = f"\nSELECT {_BUFFER_EVENT} FROM evt UNION ALL SELECT {_ANY_EVENT} FROM ae"
+
+
+@query("all_crash_events", scene_sql("artifacts", "SELECT 1").rsplit("\nSELECT 1", 1)[0].replace("WITH artifacts", sql("live_events", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + ",\nartifacts") + ",\n" + _ART_EVENT + _BOTH_EVENTS)
 def _(spark, sf):
     live = B.live_crash_events(B.live_blocks(records(spark, sf)))
     both = V.all_crash_events(live, A.artifact_events(of(spark, sf, "artifacts")))
-    ident = F.concat_ws("/", *KEYS, "event_id")
-    return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(ident).alias("n_ids"))
+    return both.select(*_ANY_EVENT.split(", "))
+
+
+_KEPT_LINES = r"""kept AS (SELECT device_serial, session_id, dir, name, count(*) AS n FROM (SELECT device_serial, session_id, dir, name, unnest(string_split(regexp_replace("text", '\n$', ''), chr(10))) AS l FROM artifacts)
+  WHERE trim(l) <> '' AND NOT floor((strlen(l) - strlen(regexp_replace(l, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'))) * 100 / strlen(l)) >= 30 GROUP BY ALL)"""
+
+
+@query("scene_report", scene_sql("artifacts", "SELECT 1").rsplit("\nSELECT 1", 1)[0] + ",\n" + _KEPT_LINES + f"""
+SELECT device_serial, session_id, count(*) FILTER (status = 'found') AS sources_found, CAST(coalesce(sum(n) FILTER (status = 'found'), 0) AS BIGINT) AS records, NOT bool_or(status IN ('found', 'empty')) AS failed
+  FROM (SELECT *, {_STATUS} AS status FROM artifacts) LEFT JOIN kept USING (device_serial, session_id, dir, name) GROUP BY ALL""")
+def _(spark, sf):
+    """The report of a collection, with the rows it really gave."""
+    path = scratch_path(spark, "report")
+    report = J.crash_scene(of(spark, sf, "artifacts")).report
+    X.write_report(report, path)
+    return spark.read.schema(report.schema).parquet(path).select(*KEYS, "sources_found", "records", "failed")
