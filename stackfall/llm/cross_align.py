@@ -9,10 +9,11 @@ group are links; a pair of ids counts in every document that holds it linked.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .segment_bpe import byte_letters
-from .text_units import Memory, portions
+from .text_units import Memory, no_collector, portions
 
 SPACE = "\u2581"
 #: Pairs of the most documents whose counts every task holds; all others are joined.
 FREQUENT = 1 << 18
+#: Tokens of A of a unit that is aligned together with others; longer ones are taken one by one.
+MANY = 512
+#: Units remembered.
+MAX_UNITS = 200_000
 
 
 def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
@@ -65,6 +70,46 @@ def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
     return found
 
 
+def groups_many(
+    a: np.ndarray, b: np.ndarray, units_a: np.ndarray, units_b: np.ndarray
+) -> np.ndarray:
+    """The same for many texts at once: rows ``(from, to, from, to)`` in order, from the running token
+    ends of all texts and where the tokens of each text begin (with the total at the end). Every round
+    tries two ends in each open interval and halves those where one is common."""
+    a0, a1, b0, b1 = units_a[:-1], units_a[1:], units_b[:-1], units_b[1:]
+    low, high = a0, a1 - 1
+    left = (low + high) // 2
+    right = left + 1
+    leaves = []
+    while len(a0):
+        common = np.full(len(a0), -1)
+        for side in (left, right):
+            tried = (common < 0) & (side >= low) & (side < high)
+            ends = a[side[tried]]
+            same = b[np.searchsorted(b, ends)] == ends
+            common[np.flatnonzero(tried)[same]] = side[tried][same]
+        at_left = common == left
+        left, right = np.where(at_left, left, left - 1), np.where(common >= 0, right, right + 1)
+        done = (common < 0) & (left < low) & (right >= high)
+        leaves.append(np.stack([a0, a1, b0, b1], axis=1)[done])
+        cut = common >= 0
+        at, by_left = common[cut], at_left[cut]
+        j = np.searchsorted(b, a[at])
+        # untried ends: of the first half below the cut, of the second half beyond what was tried
+        near, far = low[cut], high[cut]
+        first = (a0[cut], at + 1, b0[cut], j + 1, near, np.where(by_left, at, np.maximum(near, left[cut] + 1)))
+        second = (at + 1, a1[cut], j + 1, b1[cut], np.where(by_left, right[cut], at + 1), np.maximum(far, at))
+        rest = ~done & ~cut
+        halves = [np.concatenate(x) for x in zip(first, second)]
+        middle = (halves[4] + halves[5]) // 2
+        a0, a1, b0, b1, low, high, left, right = (
+            np.concatenate([x[rest], y])
+            for x, y in zip((a0, a1, b0, b1, low, high, left, right), (*halves, middle, middle + 1))
+        )
+    found = np.concatenate(leaves) if leaves else np.zeros((0, 4), np.int64)
+    return found[np.argsort(found[:, 0], kind="stable")]
+
+
 class Pair:
     """Both tokenizers; aligned units seen lately are remembered.
 
@@ -88,17 +133,23 @@ class Pair:
         if self.b.encode("a") != self.b.encode("a", add_bos=False, add_eos=False):
             raise ValueError(f"{path_b} puts marks around a text")
         byte = {letter: b for b, letter in enumerate(byte_letters())}
-        self.bytes_a = {
-            i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode()
-            for t, i in self.a.get_vocab(with_added_tokens=True).items()
-        }
+        ids = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(ids.values()) + 1)
+        for token, i in ids.items():
+            known = all(c in byte for c in token)
+            self.bytes_a[i] = bytes(byte[c] for c in token) if known else token.encode()
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode()
             for i, p in enumerate(pieces)
         ]
+        self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        numbers = range(max(len(self.bytes_a), len(self.bytes_b)))
+        #: decimal ids with what may follow them in a list of groups: at 3 * id + place of the mark
+        self.shown = np.array([f"{i}{mark}" for i in numbers for mark in ",|;"], object)
         self.space = self.b.piece_to_id(SPACE)
         self.width = len(pieces)
-        self.told = Memory(self._align)
+        self.told = Memory(self._align, MAX_UNITS)
 
     def _ids_b(self, fresh: list[str]) -> list[list[int]]:
         """The model puts a space ahead: of a unit with one, its own is left out; before other
@@ -111,40 +162,74 @@ class Pair:
         ]
 
     def _align(self, fresh: list[str]) -> list[tuple | None]:
-        """Per unit the numbers of tokens of A and B, groups and links, the groups as text, and
-        ``((a * width + b, links), ...)``; None where the bytes of a side are not the unit's."""
-        told: list[tuple | None] = []
-        encoded = self.a.encode_batch(fresh, add_special_tokens=False) if fresh else []
-        for unit, one, ids_b in zip(fresh, encoded, self._ids_b(fresh)):
-            ids_a, data = one.ids, unit.encode()
-            bytes_a = [self.bytes_a[i] for i in ids_a]
-            bytes_b = [self.bytes_b[i] for i in ids_b]
-            if b"".join(bytes_a) != data or b"".join(bytes_b) != data:
-                told.append(None)
-                continue
-            leaves = groups(list(accumulate(map(len, bytes_a))), list(accumulate(map(len, bytes_b))))
-            links, shown, pairs = 0, [], {}
-            for a0, a1, b0, b1 in leaves:
-                of_a, of_b = ids_a[a0:a1], ids_b[b0:b1]
-                links += len(of_a) * len(of_b)
-                shown.append(f"{','.join(map(str, of_a))}|{','.join(map(str, of_b))}")
-                if len(of_a) * len(of_b) == 1:
-                    key = of_a[0] * self.width + of_b[0]
-                    pairs[key] = pairs.get(key, 0) + 1
-                else:
-                    many_a, many_b = Counter(of_a), Counter(of_b)
-                    for x, k in many_a.items():
-                        for y, m in many_b.items():
-                            key = x * self.width + y
-                            pairs[key] = pairs.get(key, 0) + k * m
-            told.append((len(ids_a), len(ids_b), len(leaves), links, ";".join(shown), tuple(pairs.items())))
+        """Per unit the number of tokens of A (times 2 ** 32) and B, its groups as text, and the key
+        ``a * width + b`` of every link; None where the bytes of a side are not the unit's."""
+        if not fresh:
+            return []
+        ids_a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
+        ids_b = self._ids_b(fresh)
+        data = [unit.encode() for unit in fresh]
+        spelled = self._spells(ids_a, self.bytes_a, data) & self._spells(ids_b, self.bytes_b, data)
+        told: list[tuple | None] = [None] * len(fresh)
+        short = []
+        for i in np.flatnonzero(spelled).tolist():
+            if len(ids_a[i]) <= MANY:
+                short.append(i)
+            else:
+                told[i] = self._tell([ids_a[i]], [ids_b[i]], groups)[0]
+        for i, found in zip(short, self._tell([ids_a[i] for i in short], [ids_b[i] for i in short])):
+            told[i] = found
         return told
 
+    @staticmethod
+    def _spells(lists: list[list[int]], table: list[bytes], data: list[bytes]) -> np.ndarray:
+        """Whether the tokens of each list are the bytes of its unit."""
+        tokens = [table[i] for i in chain.from_iterable(lists)]
+        at = np.cumsum([0, *map(len, tokens)])[np.cumsum([0, *map(len, lists)])]
+        whole = b"".join(tokens)
+        if whole == b"".join(data) and (np.diff(at) == np.fromiter(map(len, data), np.int64, len(data))).all():
+            return np.ones(len(data), bool)
+        ends = at.tolist()
+        return np.array([whole[x:y] == z for x, y, z in zip(ends, ends[1:], data)])
+
+    def _tell(self, lists_a: list[list[int]], lists_b: list[list[int]], one=None) -> list[tuple]:
+        flat_a, flat_b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (lists_a, lists_b))
+        units_a, units_b = (np.cumsum([0, *map(len, x)]) for x in (lists_a, lists_b))
+        ends_a, ends_b = np.cumsum(self.sizes_a[flat_a]), np.cumsum(self.sizes_b[flat_b])
+        if one:
+            found = np.array(one(ends_a.tolist(), ends_b.tolist()), np.int64)
+        else:
+            found = groups_many(ends_a, ends_b, units_a, units_b)
+        a0, a1, b0, b1 = found.T
+        # the text of the groups: every id with the mark that follows it, in the order of the groups
+        of_a, of_b = np.repeat(b0, a1 - a0), np.repeat(a1, b1 - b0)  # ids of the other side ahead
+        named = np.empty(len(flat_a) + len(flat_b), np.int64)
+        marked_a, marked_b = 3 * flat_a, 3 * flat_b
+        marked_a[a1 - 1] += 1
+        marked_b[b1 - 1] += 2
+        named[np.arange(len(flat_a)) + of_a] = marked_a
+        named[np.arange(len(flat_b)) + of_b] = marked_b
+        shown = self.shown[named].tolist()
+        # links: every id of A of a group with every id of B
+        wide = b1 - b0
+        rows = np.repeat(np.arange(len(flat_a)), np.repeat(wide, a1 - a0))
+        first = np.cumsum(np.repeat(wide, a1 - a0)) - np.repeat(wide, a1 - a0)
+        within = np.arange(len(rows)) - np.repeat(first, np.repeat(wide, a1 - a0))
+        keys = flat_a[rows] * self.width + flat_b[np.repeat(np.repeat(b0, a1 - a0), np.repeat(wide, a1 - a0)) + within]
+        links = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(flat_a)))])[units_a].tolist()
+        keys, at = array("q", keys.astype(np.int64).tobytes()), (units_a + units_b).tolist()
+        sizes = ((np.diff(units_a) << 32) + np.diff(units_b)).tolist()
+        return [
+            (n, "".join(shown[at[i] : at[i + 1]])[:-1], keys[links[i] : links[i + 1]])
+            for i, n in enumerate(sizes)
+        ]
+
+    @no_collector()
     def align(self, texts: list[str | None]) -> list[_Aligned]:
         done = [_Aligned() for _ in texts]
         # an empty text has no tokens, any other is read with a space ahead
         for portion in portions(f" {text}" if text else "" for text in texts):
-            self.told.learn(unit for _, found in portion for unit in found)
+            self.told.learn(found for _, found in portion)
             for place, found in portion:
                 done[place].add(found, self.told)
         return done
@@ -154,27 +239,30 @@ class _Aligned:
     """What the windows of one text amount to."""
 
     def __init__(self) -> None:
-        self.whole, self.numbers, self.shown = True, [0, 0, 0, 0], None
-        self.links: dict[int, int] = {}
+        self.whole, self.sizes, self.n_groups, self.shown = True, 0, 0, None
+        self.links: Counter = Counter()
 
     def add(self, found: list[str], told: Memory) -> None:
         if not self.whole:
             return
-        shown, links, numbers = [], self.links, self.numbers
-        values = [told[unit] for unit in found]
+        values = list(map(told.get, found))
         if None in values:
-            self.whole, self.numbers, self.shown, self.links = False, [0, 0, 0, 0], None, {}
+            self.__init__()
+            self.whole = False
             return
-        for i in range(4):
-            numbers[i] += sum([v[i] for v in values])
-        shown = ";".join([v[4] for v in values])
+        sizes, texts, keys = zip(*values)
+        self.sizes += sum(sizes)
+        shown = ";".join(texts)
+        self.n_groups += shown.count(";") + 1
         if self.shown is None:
             self.shown = hashlib.sha256(shown.encode())
         else:
             self.shown.update(b";" + shown.encode())
-        for unit, times in Counter(found).items():
-            for key, k in told[unit][5]:
-                links[key] = links.get(key, 0) + k * times
+        self.links.update(chain.from_iterable(keys))
+
+    def numbers(self) -> tuple[int, int, int, int]:
+        """Tokens of A and of B, groups, links."""
+        return self.sizes >> 32, self.sizes & 0xFFFFFFFF, self.n_groups, self.links.total()
 
     def digest(self) -> str:
         return self.shown.hexdigest() if self.shown else ""
@@ -201,13 +289,14 @@ def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 done = align(texts.slice(start, 256).to_pylist())
                 offsets = np.zeros(len(done) + 1, np.int32)
                 offsets[1:] = np.cumsum([len(d.links) for d in done])
-                keys = np.array([k for d in done for k in d.links], np.int64)
-                times = np.array([n for d in done for n in d.links.values()], np.int64)
+                keys = np.array([*chain.from_iterable(d.links for d in done)], np.int64)
+                times = np.array([*chain.from_iterable(d.links.values() for d in done)], np.int64)
+                numbers = np.array([d.numbers() for d in done], np.int64).reshape(-1, 4)
                 at = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, 256),
-                        *(pa.array([d.numbers[i] for d in done], pa.int64()) for i in range(4)),
+                        *(pa.array(column) for column in numbers.T.copy()),
                         pa.array([d.digest() for d in done], pa.string()),
                         pa.ListArray.from_arrays(at, pa.array(keys)),
                         pa.ListArray.from_arrays(at, pa.array(times)),

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
 from .bpe import Utf8Stream
-from .text_units import Memory, portions
+from .text_units import Memory, no_collector, portions
 
 _NONE = 1 << 62  # a leaf without a merge
 #: Leaves of the trees that are worked on together.
@@ -255,12 +255,12 @@ class Tokenizer:
                 parts.append((unit.encode(),))
             else:
                 parts.append([unit[a:b].encode() for _, (a, b) in split(unit)])
-        self.pieces.learn(piece for pieces in parts for piece in pieces)
+        self.pieces.learn(parts)
         told, names, table = [], self.names, self.vocabulary.bytes_of
         for pieces in parts:
-            ids = self.pieces[pieces[0]]
+            ids = self.pieces.get(pieces[0])
             for piece in pieces[1:]:
-                ids += self.pieces[piece]
+                ids += self.pieces.get(piece)
             told.append((ids, ",".join([names[i] for i in ids]), b"".join([table[i] for i in ids])))
         return told
 
@@ -278,7 +278,7 @@ class Tokenizer:
         if v.by_units:
             last = 0  # added tokens have no units: give them out with the part that follows
             for portion in portions(part for *_, part in parts):
-                self.told.learn(unit for _, found in portion for unit in found)
+                self.told.learn(found for _, found in portion)
                 out = []
                 for i, found in portion:
                     out += [(*parts[j][:2], []) for j in range(last, i) if parts[j][1] >= 0]
@@ -288,9 +288,10 @@ class Tokenizer:
             yield [(*parts[j][:2], []) for j in range(last, len(parts))]
         else:
             for place, added, part in parts:
-                self.told.learn([part] if part else [])
+                self.told.learn([[part]] if part else [])
                 yield [(place, added, [part] if part else [])]
 
+    @no_collector()
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         ids: list[list[int]] = [[] for _ in texts]
         for portion in self._portions(texts):
@@ -298,7 +299,7 @@ class Tokenizer:
                 if added >= 0:
                     ids[place].append(added)
                 for unit in found:
-                    ids[place] += self.told[unit][0]
+                    ids[place] += self.told.get(unit)[0]
         return ids
 
     def decode(self, ids) -> str:
@@ -306,6 +307,7 @@ class Tokenizer:
         table = self.vocabulary.bytes_of
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
+    @no_collector()
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of their decimal list and of the decoded text, of each text;
         the ids and bytes of each window go into the digests at once."""
@@ -315,7 +317,7 @@ class Tokenizer:
                 if added >= 0:
                     done[place].add(self.names[added], self.vocabulary.bytes_of[added])
                 if found:
-                    told = [self.told[unit] for unit in found]
+                    told = list(map(self.told.get, found))
                     done[place].add(",".join([x[1] for x in told]), b"".join([x[2] for x in told]))
         return [d.end() for d in done]
 

@@ -7,7 +7,9 @@ text are the tokens of its units, and a unit seen lately needs no second look.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import regex
 
@@ -46,35 +48,47 @@ def units(window: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
-class Memory(dict):
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without the cycle collector, which would walk over all that is remembered time and again:
+    the many small objects made here refer to no cycle and go when they are let go."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+class Memory:
     """Values by unit, made for many units together; those not met lately are forgotten.
 
     Units that have been learned last can all be looked up; long ones only until the next time.
     """
 
     def __init__(self, make: Callable[[list[str]], Iterable], limit: int = MAX_UNITS) -> None:
-        super().__init__()
         self.make, self.limit = make, limit
+        self.known: dict = {}
         self.older: dict = {}
-        self.once: dict = {}
-
-    def learn(self, found: Iterable[str]) -> None:
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self.once = {}
-        fresh = []
-        for unit in set(found):
-            if unit not in self:
-                if unit in self.older:
-                    self[unit] = self.older[unit]
-                else:
-                    fresh.append(unit)
-        for unit, value in zip(fresh, self.make(fresh)):
-            (self if len(unit) <= LONG else self.once)[unit] = value
-
-    def __missing__(self, unit: str):
-        return self.once[unit]
+        self.long: list[str] = []
+        #: the value of a unit
+        self.get = self.known.__getitem__
+
+    def learn(self, found: Iterable[Iterable[str]]) -> None:
+        """See to it that the units of all these lists can be looked up."""
+        known = self.known
+        for unit in self.long:
+            del known[unit]
+        if len(known) >= self.limit:
+            self.older = dict(known)
+            known.clear()
+        wanted = set().union(*found).difference(known)
+        fresh = list(wanted.difference(self.older))
+        for unit in wanted.intersection(self.older):
+            known[unit] = self.older[unit]
+        known.update(zip(fresh, self.make(fresh)))
+        self.long = [unit for unit in fresh if len(unit) > LONG]
 
 
 def portions(texts: Iterable[str | None], size: int = PORTION) -> Iterator[list[tuple[int, list[str]]]]:

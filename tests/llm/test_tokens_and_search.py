@@ -49,8 +49,8 @@ def test_memory_forgets_only_what_was_not_met():
     made = []
     memory = text_units.Memory(lambda units: made.extend(units) or [u.upper() for u in units], 3)
     for portion in (["a", "b", "c"], ["a", "d"], ["a", "d", "e"], ["b", "L" * 100]):
-        memory.learn(portion)
-        assert [memory[u] for u in portion] == [u.upper() for u in portion]
+        memory.learn([portion, portion[:1]])
+        assert list(map(memory.get, portion)) == [u.upper() for u in portion]
     assert Counter(made)["a"] == 1 and Counter(made)["L" * 100] == 1
 
 
@@ -122,7 +122,7 @@ def test_odd_vocabularies_are_refused(tmp_path):
 
 
 def test_groups_equal_all_common_ends():
-    r = random.Random(2)
+    r, many = random.Random(2), []
     for _ in range(600):
         n = r.randint(1, 60)
         a, b = (sorted(r.sample(range(1, n), r.randint(0, n - 1))) + [n] for _ in range(2))
@@ -133,7 +133,18 @@ def test_groups_equal_all_common_ends():
             expected.append((x, i, y, j))
             x, y = i, j
         assert cross_align.groups(a, b) == expected
+        many.append((a, b, expected))
     assert cross_align.groups([], []) == []
+    # all of them as one run of texts
+    starts = [np.cumsum([0, *(len(x[side]) for x in many)]) for side in (0, 1)]
+    shift = np.cumsum([0, *(x[0][-1] for x in many)])
+    ends = [np.concatenate([np.array(x[side]) + s for x, s in zip(many, shift)]) for side in (0, 1)]
+    found = cross_align.groups_many(*ends, *starts).tolist()
+    assert found == [
+        [p + i, q + i, u + j, v + j]
+        for (_, _, rows), i, j in zip(many, starts[0].tolist(), starts[1].tolist())
+        for p, q, u, v in rows
+    ]
 
 
 def aligned_by_hand(texts):
