@@ -20,11 +20,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Transitions, and words with their tokens, that a worker keeps before it starts afresh.
+from .text_units import Memory, no_collector, portions
+
+#: Transitions that a worker keeps before it starts afresh.
 MAX_TRANSITIONS = 400_000
-MAX_WORDS = 250_000
-#: Characters split into pieces at a time.
-WINDOW = 1 << 18
+#: Matches of the pattern remembered.
+MAX_PIECES = 200_000
+#: Units of text remembered.
+MAX_UNITS = 80_000
 #: Tokens given to the UTF-8 machine at a time.
 STEP = 4096
 
@@ -35,9 +38,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in (x.split() for x in lines if x.strip())}
 
 
-_DOUBLED = regex.compile(r"\s\s").search
-
-
 class Transducer:
     """Bytes of one piece in, token ids out."""
 
@@ -45,6 +45,8 @@ class Transducer:
         self.ranks = ranks
         #: bit 1: a token that encodes to itself, bit 2: a proper beginning of a token
         self.kind = dict.fromkeys((t[:i] for t in ranks for i in range(1, len(t))), 2)
+        #: the two tokens whose merge makes a token; bytes have none
+        self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         for token in ranks:
             if len(self.merge(token)) == 1:
                 self.kind[token] = self.kind.get(token, 0) | 1
@@ -56,17 +58,21 @@ class Transducer:
         start = (b"", b"", ((0, ()),))
         self._states = [start]
         self._ids = {start[:2]: 0}
-        self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._ends: dict[int, tuple[int, ...]] = {0: ()}
+        #: by state * 256 + byte: the next state * 256, or -1 - place in ``_sure`` where tokens leave
+        self._next: dict[int, int] = {}
+        self._sure: list[tuple[int, tuple[int, ...]]] = []
+        self._ends: list[tuple[int, ...]] = [()]
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
-        """The merges on a few bytes, lowest rank first: decides which tokens may be neighbours."""
+        """The merges on a few bytes, lowest rank first; remembers the last merge of a token."""
         none, rank = 1 << 60, self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
         cost = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
         while cost and (least := min(cost)) < none:
             i = cost.index(least)
+            if len(parts) == 2:
+                self.halves[data] = (parts[0], parts[1])
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del cost[i]
             if i:
@@ -78,10 +84,32 @@ class Transducer:
     def _may_follow(self, left: bytes, right: bytes) -> bool:
         known = self._pairs.get((left, right))
         if known is None:
-            known = self._pairs[left, right] = self.merge(left + right) == [left, right]
+            known = self._pairs[left, right] = self._stays(left, right)
         return known
 
-    def _step(self, key: int) -> tuple[int, tuple[int, ...]]:
+    def _stays(self, left: bytes, right: bytes) -> bool:
+        """Whether no merge ever reaches over the place between two tokens.
+
+        The merges of both are undone from the last to the first. Between two of them, the pieces
+        that touch there must not make a token of a rank that would have come before the merge
+        undone last; of equal ranks the one further left comes first.
+        """
+        rank, halves = self.ranks, self.halves
+        limit = 1 << 60  # a token over the place wins if its rank is below this
+        while True:
+            over = rank.get(left + right)
+            if over is not None and over < limit:
+                return False
+            at_left, at_right = halves.get(left), halves.get(right)
+            if at_left is None and at_right is None:
+                return True
+            # the later merge of the two is undone; on the left an equal rank came first
+            if at_right is None or at_left is not None and rank[left] > rank[right]:
+                limit, left = rank[left], at_left[1]
+            else:
+                limit, right = rank[right] + 1, at_right[0]
+
+    def _step(self, key: int) -> int:
         """Build the transition of state ``key >> 8`` on byte ``key & 255``."""
         before, pending, starts = self._states[key >> 8]
         pending += bytes((key & 255,))
@@ -97,97 +125,122 @@ class Transducer:
             if kind & 2:
                 still.append(start)
         still.append((len(pending), tail))
-        starts, done = still, 0
-        for token in tail:
-            for _, x in starts:
-                if len(x) <= done or x[done] != token:
-                    break
-            else:
+        done = 0
+        if len(still) == 1:
+            done = len(tail)
+        else:
+            shortest = min([len(x) for _, x in still])
+            while done < shortest and all([x[done] == tail[done] for _, x in still]):
                 done += 1
-                continue
-            break
         cut = sum(map(len, tail[:done]))
         if done:
             before = tail[done - 1]
-        if starts[0][0] != cut:
+        if still[0][0] != cut:
             before = b""  # no open start follows that token: what it was no longer matters
         name = (before, pending[cut:])
         state = self._ids.get(name)
         if state is None:
             state = self._ids[name] = len(self._states)
-            self._states.append((*name, tuple((at - cut, x[done:]) for at, x in starts)))
-            self._ends[state] = tuple(self.ranks[t] for t in tail[done:])
-        found = self._next[key] = (state, tuple(self.ranks[t] for t in tail[:done]))
-        return found
+            self._states.append((*name, tuple([(at - cut, x[done:]) for at, x in still])))
+            self._ends.append(tuple([self.ranks[t] for t in tail[done:]]))
+        to = state << 8
+        if done:
+            self._sure.append((to, tuple([self.ranks[t] for t in tail[:done]])))
+            to = -len(self._sure)
+        self._next[key] = to
+        return to
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         if len(self._next) > MAX_TRANSITIONS:
             self._forget()
-        state, out, known = 0, (), self._next
+        state, out, known, sure = 0, (), self._next.get, self._sure
         for byte in piece:
-            key = state << 8 | byte
-            state, sure = known.get(key) or self._step(key)
-            if sure:
-                out += sure
-        out += self._ends[state]
+            to = known(state | byte)
+            if to is None:
+                to = self._step(state | byte)
+            if to < 0:
+                state, found = sure[-1 - to]
+                out += found
+            else:
+                state = to
+        out += self._ends[state >> 8]
         if len(out) > 1 and piece in self.ranks:
             return (self.ranks[piece],)  # a piece that is a token of its own is never merged
         return out
 
 
-def windows(text: str, size: int = WINDOW) -> Iterator[tuple[int, int]]:
-    """Spans that end between a visible character and white space, where a piece always ends."""
-    start, n = 0, len(text)
-    while start < n:
-        end = start + size
-        while end < n and not (text[end].isspace() and not text[end - 1].isspace()):
-            end += 1
-        yield start, min(end, n)
-        start = end
-
-
 class Encoder:
     """Whole texts to token ids; each match of the pattern goes through the transducer alone.
 
-    Spans without doubled white space are cut at their spaces first: a match never reaches from a
-    visible character over a space, so the pattern can look at each word by itself, and words
-    seen lately need no second look.
+    Texts are taken in units that begin with white space after a visible character, where a match
+    of the pattern ends; units and matches seen lately need no second look.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}  # the words of the time before
-
-    def _ids(self, part: str) -> tuple[int, ...]:
-        """Tokens of a part that begins and ends where matches do."""
-        ids = self.before.get(part)
-        if ids is None:
-            run, ids = self.machine.encode, ()
+        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.bytes_of}
+        self.pieces = Memory(lambda pieces: [self.machine.encode(p.encode()) for p in pieces], MAX_PIECES)
+        #: ids, decimal ids with a space between, and the bytes these ids stand for, by unit
+        self.told = Memory(self._tell, MAX_UNITS)
+
+    def _tell(self, fresh: list[str]) -> list[tuple[tuple[int, ...], str, bytes]]:
+        parts = []
+        for unit in fresh:
             # a space and letters only, or letters only, match the pattern as a whole
-            whole = part.isalpha() or part[:1] == " " and part[1:].isalpha()
-            for piece in (part,) if whole else self.pattern.findall(part):
-                ids += run(piece.encode())
-        if len(part) < 64:
-            if len(self.words) >= MAX_WORDS:
-                self.before, self.words = self.words, {}
-            self.words[part] = ids
+            whole = unit.isalpha() or unit[:1] == " " and unit[1:].isalpha()
+            parts.append((unit,) if whole else self.pattern.findall(unit))
+        self.pieces.learn(parts)
+        told, names, table = [], self.names, self.bytes_of
+        for pieces in parts:
+            ids: tuple[int, ...] = ()
+            for piece in pieces:
+                ids += self.pieces.get(piece)
+            told.append((ids, " ".join([names[i] for i in ids]), b"".join([table[i] for i in ids])))
+        return told
+
+    def _portions(self, texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+        for portion in portions(texts):
+            self.told.learn(found for _, found in portion)
+            yield portion
+
+    @no_collector()
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        ids: list[list[int]] = [[] for _ in texts]
+        for portion in self._portions(texts):
+            for place, found in portion:
+                for unit in found:
+                    ids[place] += self.told.get(unit)[0]
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for a, b in windows(text or ""):
-            span = text[a:b]
-            if _DOUBLED(span):
-                parts = self.pattern.findall(span)
-            else:
-                parts = [" " + w for w in span.split(" ")]
-                parts[0] = parts[0][1:]
-            for part in parts:
-                ids = self.words.get(part)
-                out += self._ids(part) if ids is None else ids
-        return out
+    @no_collector()
+    def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        """Number of ids, SHA-256 of their decimal list and of the decoded text, of each text; the
+        ids and bytes of each window go into the digests at once."""
+        done = [_Digest() for _ in texts]
+        for portion in self._portions(texts):
+            for place, found in portion:
+                told = list(map(self.told.get, found))
+                done[place].add(" ".join([x[1] for x in told]), b"".join([x[2] for x in told]))
+        return [d.end() for d in done]
+
+
+class _Digest:
+    """Running digests of one text."""
+
+    def __init__(self) -> None:
+        self.count, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+        self.stream = Utf8Stream()
+
+    def add(self, ids: str, data: bytes) -> None:
+        self.ids.update((f" {ids}" if self.count else ids).encode())
+        self.count += ids.count(" ") + 1
+        self.text.update(self.stream.push(data).encode())
+
+    def end(self) -> tuple[int, str, str]:
+        self.text.update(self.stream.close().encode())
+        return self.count, self.ids.hexdigest(), self.text.hexdigest()
 
 
 class Utf8Stream:
@@ -249,8 +302,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        run = _encoder(path, pattern).encode
-        return pd.Series([run(t) for t in texts], dtype=object)
+        return pd.Series(_encoder(path, pattern).encode(list(texts)), dtype=object)
 
     return ids(text)
 
@@ -269,20 +321,16 @@ def decode(ids: Column, path: str) -> Column:
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, texts encoded and decoded.
 
-    One row per row: repeated rows and null ids stay, null texts count as empty, no shuffle. The
-    ids of one text at a time are held, and only the digests leave the worker.
+    One row per row: repeated rows and null ids stay, null texts count as empty, no shuffle. An empty
+    table gives no rows. One window of a text is held besides the text, and only the digests leave the
+    worker.
     """
-    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, table = _encoder(path, pattern).encode, _vocabulary(path)
+        digests = _encoder(path, pattern).digests
         for batch in batches:
-            counts, listed, decoded = [], [], []
-            for text in batch.column("text"):
-                ids = code(text.as_py())
-                counts.append(len(ids))
-                listed.append(digest(" ".join(map(str, ids))))
-                decoded.append(digest(decode_ids(ids, table)))
+            found = digests(batch.column("text").to_pylist())
+            counts, listed, decoded = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(counts, pa.int64()),
