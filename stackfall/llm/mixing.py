@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 #: Documents of one source that are taken together.
 BLOCK_ROWS = 64
 #: Blocks of a frame: the schedule is laid out frame by frame, each goes on where the last ended.
@@ -172,44 +174,116 @@ def mix(
     When a source ends its slots stay empty and the others keep their proportions; no row is
     dropped or repeated. A null source is a source of its own, null ids sort first, repeated rows
     stay repeated, an empty table gives no rows. Columns of ``docs`` named like a result column are
-    replaced.
+    replaced, all others stay.
     """
     own = ("block_no", "release", "deadline", "slot", "place")
-    docs = docs.drop(*(c for c in docs.columns if c in own or c.startswith("_")))
+    kept = [c for c in docs.columns if c not in own]
+    docs = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"),
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source}`").alias("_source"),
+    )
+    source = "_source"
     counts = {
         r["s"]: r["n"]
         for r in docs.groupBy(F.col(source).cast("string").alias("s"))
         .agg(F.count(F.lit(1)).alias("n"))
         .collect()
     }
-    target = (
-        {s: n**TEMPERATURE for s, n in counts.items()}
-        if weights is None
-        else {s: weights.get(s, 1.0) for s in counts}
-    )
+    target = _targets(counts, weights)
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     plan = docs.sparkSession.createDataFrame(_plan(exact_weights(target), blocks, slots))
     if sum(blocks.values()) <= SEND_BLOCKS:
         plan = F.broadcast(plan)
-    rows = numbered(docs, source, F.col(id_col), counts).withColumn(
+    rows = numbered(docs, source, F.col("_id"), counts).withColumn(
         "block_no", F.floor(F.col("_n") / block_rows).cast("bigint")
     )
     return (
         rows.join(plan, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("block_no") == F.col("_k")))
         .withColumn("place", (F.col("_n") % block_rows).cast("int"))
-        .select(*docs.columns, *own)
+        .select("_row.*", *own)
     )
 
 
-def interleave(docs: DataFrame, weights: Mapping | None = None) -> DataFrame:
-    """The rows of ``docs`` laid out in the mixed order: files and rows follow the slots."""
+def interleave(
+    docs: DataFrame,
+    weights: Mapping | None = None,
+    *,
+    source: str = "source",
+    block_rows: int = BLOCK_ROWS,
+    slots: int = FRAME_SLOTS,
+) -> DataFrame:
+    """The rows of ``docs`` laid out in the mixed order: files and rows follow the slots.
+
+    Rows are numbered and scheduled by 16 bytes each, source and hash: rows of a source follow each
+    other by the hash of all their columns, so a block is a range of hashes, and a row finds its
+    slot among the block borders of its bucket. Whole rows move once, to their slot. Borders are one
+    entry per block; Spark sends them to the rows or shuffles both by their size.
+    Rows that are equal in every column lie in one block.
+    """
     if not docs.columns:
         return docs
-    mixed = mix(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-                            "doc_id", "source"), weights)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [
+        F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()
+    ]
+    rows = docs.select(
+        F.struct(*columns).alias("row"),
+        F.col(f"`{source}`").cast("string").alias("s"),
+        F.shiftrightunsigned(F.xxhash64(*hashed), 1).alias("h"),
+    )
+    counts = {r["s"]: r["n"] for r in rows.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    names = sorted(counts, key=lambda s: (s is None, s))
+    codes = F.broadcast(
+        docs.sparkSession.createDataFrame(
+            [(s, i, max(1, -(-counts[s] // BUCKET_ROWS))) for i, s in enumerate(names)],
+            "t string, code int, buckets bigint",
+        )
+    )
+    bucket = F.shiftright(F.shiftright("h", 32) * F.col("buckets"), 31).alias("bucket")
+    rows = rows.join(codes, F.col("s").eqNullSafe(F.col("t"))).select("row", "code", bucket, "h")
+    narrow = rows.select("code", "bucket", "h")
+    earlier = (
+        Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = narrow.groupBy("code", "bucket").count()
+    starts = starts.withColumn("before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("code", "bucket").orderBy("h"))
+    number = F.col("before") + F.col("inside") - 1
+    borders = (
+        narrow.withColumn("inside", inside)
+        .join(starts, ["code", "bucket"])
+        .where(number % block_rows == 0)
+        .select("code", "bucket", "h", F.expr(f"(before + inside - 1) div {block_rows}").alias("k"))
+    )
+    # the block that a bucket begins in
+    carried = starts.select(
+        "code", "bucket", F.lit(-1).cast("bigint").alias("h"), F.expr(f"before div {block_rows}").alias("k")
+    )
+    plan = _plan(
+        exact_weights(_targets(counts, weights)),
+        {s: -(-n // block_rows) for s, n in counts.items()}, slots,
+    )
+    plan = docs.sparkSession.createDataFrame(plan).join(codes, F.col("_t").eqNullSafe(F.col("t")))
+    plan = plan.select("code", F.col("_k").alias("k"), "slot")
+    blocks = (
+        borders.unionByName(carried)
+        .join(plan, ["code", "k"])
+        .groupBy("code", "bucket")
+        .agg(F.array_sort(F.collect_list(F.struct("h", "slot"))).alias("blocks"))
+    )
+    blocks = cut(blocks, "blocks")  # as a table its size is known before the rows are read
+    reached = F.filter("blocks", lambda b: b.getField("h") <= F.col("h"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        mixed.repartitionByRange(parts, "slot", "place")
-        .sortWithinPartitions("slot", "place")
+        rows.join(blocks, ["code", "bucket"])
+        .select("row", "h", F.element_at(reached, -1).getField("slot").alias("slot"))
+        .repartitionByRange(parts, "slot", "h")
+        .sortWithinPartitions("slot", "h")
         .select("row.*")
     )
+
+
+def _targets(counts: Mapping, weights: Mapping | None) -> dict:
+    if weights is None:
+        return {s: n**TEMPERATURE for s, n in counts.items()}
+    return {s: weights.get(s, 1.0) for s in counts}

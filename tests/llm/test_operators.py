@@ -214,13 +214,33 @@ def test_transducer_equals_the_library():
     coder, r = bpe.Encoder(ranks, public.PATTERN), random.Random(5)
     table = bpe._vocabulary(public.path("byte_bpe_50k.tiktoken"))
     letters = "abcdeeetthhion  \n\t'sE01é漢🎉ß,.-"
-    for _ in range(800):
-        text = "".join(r.choice(letters) for _ in range(r.randint(0, 90)))
-        ids = coder.encode(text)
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 90))) for _ in range(800)]
+    texts += ["!\x1c.. \x1c", "a\xa0 b\n\n c", "word " * 4000, "x" * 3000, "\r\n \t"]
+    for text, ids in zip(texts, coder.encode(texts)):
         assert ids == own.encode_ordinary(text)
         assert bpe.decode_ids(ids, table) == text
 
 
+def test_byte_bpe_round_trip_of_odd_rows(spark, monkeypatch):
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = ["Plain text, twice.", "Plain text, twice.", "", None, "漢字 🎉\n\n  end ", "<|endoftext|>", "many words " * 40_000]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)] + [(None, "no id", None, None, 0), (0, texts[0], "x", "y", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    expected = Counter()
+    for doc, text, *_ in rows:
+        ids = own.encode_ordinary(text or "")
+        expected[doc, len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids))] += 1
+    assert Counter(tuple(r) for r in bpe.round_trip(docs, path, public.PATTERN).collect()) == expected
+    both = docs.select("text", bpe.encode(F.col("text"), path, public.PATTERN).alias("ids"))
+    assert all(r.back == (r.text or "") for r in both.withColumn("back", bpe.decode(F.col("ids"), path)).collect())
+    assert bpe.round_trip(docs.limit(0), path, public.PATTERN).collect() == []
+
+
 def test_mix_meets_every_window_and_keeps_every_row(spark):
     rows = [(i, None, "", None if i % 11 == 0 else f"s{i % 3}", 0) for i in range(900)]
     docs = spark.createDataFrame([*rows, rows[5], (None, None, "", "s1", 0)], DOCS)
@@ -299,3 +319,106 @@ def test_trees_find_the_nearest(spark):
         want = np.lexsort((np.arange(300), -score))[:5].tolist()
         assert [x.vec_id for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] == want
     assert len(got) == 30
+
+
+def test_interleave_lays_rows_out_by_slots(spark):
+    from fractions import Fraction
+
+    rows = [(i, "text", "en", f"s{i % 7 % 3}", i) for i in range(5000)]
+    rows += [(None, None, None, None, i) for i in range(40)] + [rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _h int")
+    weights = {"s0": 5, "s1": 2, "s2": 1, None: 0.5}
+    out = mixing.interleave(docs, weights, block_rows=8, slots=16).coalesce(1)
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(got) == Counter(rows)
+    # as long as no source has ended, each is within a block and its last, cut one of its share
+    left = Counter(r[3] for r in rows)
+    total, done = Fraction(17, 2), Counter()
+    for at, row in enumerate(got, 1):
+        done[row[3]] += 1
+        if done[row[3]] == left[row[3]]:
+            break
+        for name, weight in weights.items():
+            assert abs(done[name] - at * Fraction(weight) / total) < 2 * 8
+    assert at > 600
+    assert mixing.interleave(docs.limit(0)).collect() == []
+
+
+def test_mix_keeps_columns_that_begin_with_an_underscore(spark):
+    docs = spark.createDataFrame([(i, "a", i, "x") for i in range(9)], "doc_id long, source string, _s int, slot string")
+    out = mixing.mix(docs, block_rows=2)
+    assert set(out.columns) == {"doc_id", "source", "_s", "block_no", "release", "deadline", "slot", "place"}
+    assert sorted(r["_s"] for r in out.collect()) == list(range(9))
+
+
+def nearest_by_hand(rows, k=5):
+    """Exact cosines of all pairs, one vector a repeated id."""
+    first = {}
+    for i, v in rows:
+        if v and i is not None:
+            first[i] = min(first.get(i, v), v)
+    ids = sorted(first)
+    vectors = np.array([first[i] for i in ids], np.float64)
+    out = {}
+    for a, i in enumerate(ids):
+        if i % 50 == 0:
+            others = [b for b in range(len(ids)) if b != a]
+            scores = vp_tree.cosine(np.repeat(vectors[[a]], len(others), 0), vectors[others])
+            ranked = sorted(zip(-scores, (ids[b] for b in others)))[:k]
+            out[i] = [(j, -s) for s, j in ranked]
+    return out
+
+
+def found_by_tree(spark, rows, **options):
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, id string, v int")
+    got = {}
+    for r in vp_tree.search(df, df.where("vec_id % 50 = 0"), **options).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return got
+
+
+def test_near_ties_and_repeated_ids_are_exact(spark):
+    r = np.random.default_rng(8)
+    one = r.normal(size=24).astype(np.float32)
+    rows = [(i, (one * np.float32(1 + i * 0.37)).tolist()) for i in range(60)]
+    rows += [(100 + i, r.normal(size=24).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(100, rows[70][1]), (1, rows[1][1]), (3, rows[90][1]), (0, rows[5][1])]
+    for options in ({}, {"shard_rows": 40}):
+        assert found_by_tree(spark, rows, **options) == nearest_by_hand(rows)
+
+
+def test_relaxed_factor_keeps_most_neighbours_and_nothing_gives_nothing(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + 0.2 * r.normal(size=16)).astype(np.float32).tolist()) for i in range(3000)]
+    exact = nearest_by_hand(rows)
+    found = found_by_tree(spark, rows, factor=2.0)
+    hits = sum(len({j for j, _ in exact[q]} & {j for j, _ in found[q]}) for q in exact)
+    assert hits >= 0.9 * 5 * len(exact)
+    assert found_by_tree(spark, [(i, None) for i in range(3)]) == {}
+    assert found_by_tree(spark, [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0]), (3, [0.5, float("nan")])]) == {}
+
+
+def test_grams_are_the_same_however_a_text_is_cut(monkeypatch):
+    r = random.Random(4)
+    for _ in range(50):
+        text = "".join(r.choice("abÉ ıİ漢\n") for _ in range(r.randint(0, 60)))
+        whole = Counter(np.concatenate(list(language_id.grams(text))).tolist())
+        for piece in (1, 2, 5, 17):
+            monkeypatch.setattr(language_id, "_PIECE", piece)
+            assert Counter(np.concatenate(list(language_id.grams(text))).tolist()) == whole
+        monkeypatch.undo()
+        padded = f" {text} ".lower()
+        assert whole.total() == sum(max(0, len(padded) - n + 1) for n in language_id.SIZES)
+
+
+def test_languages_of_an_empty_table_ties_and_long_texts(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert language_id.identify(empty).collect() == []
+    english, french = "the weather and the house that was there ", "une maison avec des fleurs et du pain "
+    rows = [(i, (english if i % 2 else french) * 3, "en" if i % 2 else "fr", "s", 0) for i in range(200)]
+    rows += [(900, french + english * 60_000, None, "s", 0), (901, "???", None, "s", 0), (902, "ж", None, "s", 0), (902, "ж", None, "s", 0)]
+    found = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert found[900].lang_pred == "en" and found[901].lang_pred == "und"
+    assert found[902].lang_pred == "en" and found[902].score == 0
