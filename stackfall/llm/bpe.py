@@ -318,12 +318,13 @@ def decode(ids: Column, path: str) -> Column:
     return text(ids)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, *, keep: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row, texts encoded and decoded.
 
     One row per row: repeated rows and null ids stay, null texts count as empty, no shuffle. An empty
     table gives no rows. One window of a text is held besides the text, and only the digests leave the
-    worker.
+    worker. With ``keep`` a worker remembers units and transitions for its next task; without, an
+    idle worker holds none of them beside the stages that follow.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,6 +339,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        if not keep:
+            _OPEN.clear()
+            del digests
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
