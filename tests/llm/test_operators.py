@@ -235,7 +235,9 @@ def test_byte_bpe_round_trip_of_odd_rows(spark, monkeypatch):
     for doc, text, *_ in rows:
         ids = own.encode_ordinary(text or "")
         expected[doc, len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids))] += 1
-    assert Counter(tuple(r) for r in bpe.round_trip(docs, path, public.PATTERN).collect()) == expected
+    for keep in (True, False, True):
+        found = bpe.round_trip(docs, path, public.PATTERN, keep=keep).collect()
+        assert Counter(tuple(r) for r in found) == expected
     both = docs.select("text", bpe.encode(F.col("text"), path, public.PATTERN).alias("ids"))
     assert all(r.back == (r.text or "") for r in both.withColumn("back", bpe.decode(F.col("ids"), path)).collect())
     assert bpe.round_trip(docs.limit(0), path, public.PATTERN).collect() == []
