@@ -13,7 +13,7 @@ from ..functions.text import strip
 from ..operators import blocks as B
 from ..operators import chunks as H
 from ..schema import MAX_FOLLOW_UP_FILES, SESSION
-from .lines import clean_line, explode_lines, with_file_seq
+from .lines import clean_line, explode_lines, with_bundle_seq, with_file_seq
 
 #: Key of one artifact text.
 ARTIFACT_KEY = (*SESSION, "dir", "name")
@@ -73,19 +73,26 @@ def scan_artifacts(
     directory: Column | None = None,
     name: Column | None = None,
     glob: str | None = None,
+    bundled: bool = False,
 ) -> DataFrame:
     """Lines of the files below ``path``: the key of their artifact, ``seq`` and ``line``.
 
     Files are read in splits and never held whole, so an artifact may have any size. ``device``,
     ``session``, ``directory`` and ``name`` may be Columns over ``file_path`` (decoded); the last two are
     the last parts of the path by default.
+
+    Millions of small artifacts cost more to list and open than to read: with ``bundled``, a file holds
+    many of them, every line after the path of its artifact and a tab (see ``lines.with_bundle_seq``).
     """
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = with_file_seq(reader.text(path))
-    plain = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
-    lines = lines.withColumn("file_path", plain)
+    if bundled:
+        lines = with_bundle_seq(reader.text(path))
+    else:
+        lines = with_file_seq(reader.text(path))
+        plain = F.url_decode(F.regexp_replace("file_path", r"\+", "%2B"))
+        lines = lines.withColumn("file_path", plain)
 
     def key(value) -> Column:
         return value if isinstance(value, Column) else F.lit(value)

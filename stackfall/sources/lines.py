@@ -64,6 +64,25 @@ def with_file_seq(text: DataFrame) -> DataFrame:
     return numbered.select("file_path", F.col("_seq").alias("seq"), "value")
 
 
+def after_head(head: str, value: str = "value") -> Column:
+    """What follows ``head`` (a column the value begins with) and one separator, byte by byte, so
+    that broken text comes through."""
+    rest = F.expr(f"substring(cast({value} AS binary), octet_length({head}) + 2)")
+    return rest.cast("string")
+
+
+def with_bundle_seq(text: DataFrame) -> DataFrame:
+    """Lines ``<path><tab><line>`` of bundles, files that hold many texts each: the line and its
+    number in the text of that path. The lines of a text stand together in one bundle."""
+    placed = text.select(
+        F.substring_index("value", "\t", 1).alias("file_path"), "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+    ).withColumn("value", after_head("file_path"))
+    numbered = _number(placed, ["file_path"], ["_file", "_start"])
+    return numbered.select("file_path", F.col("_seq").alias("seq"), "value")
+
+
 def number_files(text: DataFrame) -> DataFrame:
     """``seq, value``: the lines of all files numbered through, files by name."""
     placed = text.select(
@@ -135,13 +154,16 @@ def follow_text(
     session: str | Column,
     out: str,
     *,
+    line: Column | None = None,
     max_files: int = 100,
     every: int = 16,
 ):
     """Starts a stream that numbers the lines of arriving text files and stores them as log lines in
     ``out``, for :func:`stream_lines` and batch reads alike; drains what is there and stops.
 
-    ``device`` and ``session`` may be Columns over ``file_path``. A capture may come as any number of files over
+    ``device`` and ``session`` may be Columns over ``file_path`` or, for files that hold many captures,
+    over ``value``, with ``line`` for what of it is the line; the lines of a capture stand together in
+    such a file. A capture may come as any number of files over
     any number of micro-batches of ``max_files``: what follows its last line so far is kept per
     session, files of one batch follow each other by modification time and name, and large files
     are read in splits. A batch that runs again gives the same numbers and replaces its rows.
@@ -160,6 +182,8 @@ def follow_text(
         F.col("_metadata.file_modification_time").alias("_at"),
         F.col("_metadata.file_block_start").alias("_start"),
     ).withColumns({"device_serial": key(device), "session_id": key(session)})
+    if line is not None:
+        placed = placed.withColumn("value", line)
     kinds = "device_serial string, session_id string, _next bigint"
     empty = spark.createDataFrame([], kinds)
     numbers = BatchStore(

@@ -115,3 +115,43 @@ def test_rules_in_a_stream_and_restart_edges(spark):
         (2, "start"), (4, "restart"), (5, "stop"), (6, "start")]
     assert FR.structured_filter(levels=["error"], tag_include=" ", keyword="a", window_seconds=0) == [
         FR.FilterRule("__levels", "level", "in", "error"), FR.FilterRule("__keyword", "message", "contains", "a")]
+
+
+def test_bundled_artifacts_equal_single_files(spark, tmp_path):
+    texts = {
+        "tombstones/t 1/part-0": "*** *** ***\npid: 7, tid: 8, name: x\nsignal 6 (SIGABRT)\r\n" + "#00 pc 1\tx\n" * 90,
+        "anr/a/part-1": "Subject\n----- pid 5 at T -----\nCmd line: com.b\n  at x.y(Z.java)\n----- pid 6 at T -----\n\"main\" tid=1",
+        "dropbox/d@1.txt/part-2": "Process: com.b\njava.lang.Y: é\n\nCaused by: java.lang.Z: w\n", "dropbox/none/part-3": "",
+    }
+    for name, text in texts.items():
+        path = tmp_path / "single" / name
+        path.parent.mkdir(parents=True)
+        path.write_bytes(text.encode().replace(b"Abort", b"\xff"))
+    (tmp_path / "bundled").mkdir()
+    rows = [f"/{name}\t{line}\n" for name, text in texts.items() for line in text.removesuffix("\n").split("\n")]
+    (tmp_path / "bundled/1.txt").write_bytes("".join(rows[:95]).encode())
+    (tmp_path / "bundled/2.txt").write_bytes("".join(rows[95:]).encode().replace(b"\tSubject", b"\tSub\xff"))
+    part = lambda k: F.element_at(F.split("file_path", "/"), k)
+    fields = ["dir", "name", "event_no", "event_id", "kind", "process", "pid", "tid", "exception", "message", "n_lines", "n_frames"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        lines, events = {}, {}
+        for kind in ("single", "bundled"):
+            scanned = A.scan_artifacts(spark, str(tmp_path / kind), "d", "s", directory=part(-3), name=part(-2), bundled=kind == "bundled")
+            lines[kind] = sorted((r.dir, r.name, r.seq, r.line.replace("Sub�", "Subject")) for r in scanned.collect() if r.name != "none")
+            events[kind] = sorted(map(str, A.scanned_events(scanned).select(*fields).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert lines["single"] == lines["bundled"] and len(lines["single"]) == 93 + 6 + 4
+    assert events["single"] == events["bundled"] and len(events["single"]) == 4
+
+
+def test_scanned_artifacts_query_writes_few_files(spark, tmp_path, monkeypatch):
+    from registry import devices
+
+    rows = [(p, f"name {p}", f"type {p % 7}", f"Brand#{p % 5}", p % 50) for p in range(1, 401)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_brand string, p_size int").write.parquet(
+        str(tmp_path / "part.parquet"))
+    monkeypatch.setattr("stackfall.session.shared_dir", lambda spark: str(tmp_path / "shared"))
+    assert devices.QUERIES["scanned_artifacts"](spark, str(tmp_path)).count() == 475
+    assert 0 < len(list(tmp_path.glob("shared/artifacts-*/**/part-*"))) < 100
