@@ -147,15 +147,22 @@ def _(spark, sf):
     path = scratch_path(spark, "texts")
     broken = F.when(F.col("seq") % 5 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
     ending = F.when(F.col("seq") % 3 == 0, "\r").otherwise("")
-    texts = lines(spark, sf).select(*KEYS, "seq", F.concat("line", broken, ending).alias("value"))
+    # files of many sessions: every line names its own
+    texts = lines(spark, sf).select(
+        *KEYS, "seq", F.concat(*[F.concat(F.col(k), F.lit("\t")) for k in KEYS], "line", broken, ending).alias("value")
+    )
     stored = cut(texts, "texts")
     for i in range(3):
         part = stored.where(F.expr("seq % 250 div 90") == i)
         ordered = part.repartition(8, *KEYS).sortWithinPartitions(*KEYS, "seq")
-        ordered.drop("seq").write.partitionBy(*KEYS).text(f"{path}/{i}")
-    keys = [F.regexp_extract("file_path", f"{k}=([^/]+)/", 1) for k in KEYS]
+        ordered.select("value").write.text(f"{path}/{i}")
+    head = F.substring_index("value", "\t", 2)
+    device, session = F.substring_index("value", "\t", 1), F.substring_index(head, "\t", -1)
     out = scratch_path(spark, "numbered")
-    LN.follow_text(spark, f"{path}/*/*/*", "logcat", *keys, out, max_files=10_000).awaitTermination()
+    LN.follow_text(
+        spark, f"{path}/*", "logcat", device, session, out,
+        line=LN.after_head("substring_index(value, '\t', 2)"), max_files=8,
+    ).awaitTermination()
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*").select(*KEYS, "seq", "line")
 
 

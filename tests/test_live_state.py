@@ -82,6 +82,32 @@ def test_text_stream_numbers_over_files_and_batches(spark, tmp_path):
         assert [x.line for x in rows] == lines
 
 
+def test_text_stream_of_files_with_many_captures(spark, tmp_path):
+    source, wanted = tmp_path / "in", {}
+    for part in range(3):
+        data = b""
+        for name in "abc":
+            lines = [f"{name}{part}\t{i}" for i in range({"a": 200, "b": 3, "c": part}[name])]
+            data += "".join(f"d\t{name}\t{x}\r\n" for x in lines).encode()
+            wanted.setdefault(name, []).extend(lines)
+        write(source, f"{part}.txt", data + b"d\tz\tbr\xffken \xe9\n")
+    wanted["z"] = ["br\ufffdken \ufffd"] * 3
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    session = F.substring_index(F.substring_index("value", "\t", 2), "\t", -1)
+    line = LN.after_head("substring_index(value, '\t', 2)")
+    out = str(tmp_path / "out")
+    try:
+        LN.follow_text(
+            spark, str(source), "logcat", F.substring_index("value", "\t", 1), session, out, line=line, max_files=2
+        ).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    stored = spark.read.option("basePath", out).parquet(f"{out}/batch=*").where("device_serial = 'd'")
+    for name, lines in wanted.items():
+        rows = stored.where(F.col("session_id") == name).orderBy("seq").collect()
+        assert [(x.seq, x.line) for x in rows] == list(enumerate(lines))
+
+
 def slices(spark, path, lines, size):
     for lo in range(0, lines.count(), size):
         part = lines.where((F.col("seq") >= lo) & (F.col("seq") < lo + size))
