@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stackfall.functions import rules as FR
 from stackfall.operators import views as V
-from stackfall.session import cut, scratch_path
+from stackfall.session import cut, folders, scratch_path
 from stackfall.sinks import exports as X
 from stackfall.sources import lines as LN
 from stackfall.streaming import live as S
@@ -33,21 +33,39 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-def replay(df, order: str, *keys: str, slices: int = FILES, files: int = 3):
+#: Most rows of a slice for a query whose tasks look at what a micro-batch brings for a device.
+SLICE_ROWS = 1_000_000
+
+
+def replay(df, order: str, *keys: str, slices: int = FILES, files: int = 3, most: int | None = None):
     """``df`` as a stream that arrives in slices of ``order``, ``files`` files per micro-batch.
 
     Slices are written one after the other, so that file times follow them; within a slice the
-    rows of a key share one file, so that a key's rows arrive in order wherever a batch ends.
+    rows of a key share one file, so that a key's rows arrive in order wherever a batch ends. With ``most``
+    there are as many slices as keep one to about that many rows.
     """
     spark = df.sparkSession
     S.use_state_store(spark)
     stored = cut(df, "replay")
-    low, high = stored.agg(F.min(order), F.max(order)).first()
+    low, high, n = stored.agg(F.min(order), F.max(order), F.count(order)).first()
+    if most is not None:
+        slices = max(slices, -(-n // most))
     step = (high - low) // slices + 1
+    if most is not None:  # many slices are dealt once, not read again for each
+        dealt = scratch_path(spark, "dealt")
+        number = F.expr(f"({order} - {low}L) div {step}L")
+        stored.where(F.col(order).isNotNull()).withColumn("_slice", number).repartition(
+            "_slice", *keys
+        ).write.partitionBy("_slice").parquet(dealt)
     path = scratch_path(spark, "slices")
     for i in range(slices):
         lo = low + i * step
-        part = stored.where((F.col(order) >= lo) & (F.col(order) < lo + step))
+        if most is None:
+            part = stored.where((F.col(order) >= lo) & (F.col(order) < lo + step))
+        elif f"_slice={i}" in folders(spark, dealt):
+            part = spark.read.schema(df.schema).parquet(f"{dealt}/_slice={i}")
+        else:
+            continue
         part.repartition(2, *keys).write.parquet(f"{path}/{i}")
     return (
         spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
@@ -168,7 +186,7 @@ def _(spark, sf):
 
 @query("live_polls", scene_sql("polls", "SELECT p.device_serial, p.poll_no, p.line_no, p.line FROM polls p WHERE NOT EXISTS (SELECT 1 FROM polls q WHERE q.device_serial = p.device_serial AND q.poll_no = p.poll_no - 1 AND q.line = p.line)"))
 def _(spark, sf):
-    out = S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no", "device_serial")), "polls")
+    out = S.drain(S.live_polls(replay(of(spark, sf, "polls"), "poll_no", "device_serial", most=SLICE_ROWS)), "polls")
     return out.where("not late").drop("batch_id", "late")
 
 

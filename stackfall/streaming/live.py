@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,61 +123,58 @@ class _BlockWatch(StatefulProcessor):
         self._seen = handle.getValueState("seen", "last_seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-        (last,) = self._seen.get() if self._seen.exists() else (-1,)
-        carried = self._open.get() if self._open.exists() else None
-        late = (batch["seq"] <= last) | batch["seq"].duplicated()
+        batch = _in_order(list(rows), "seq")
+        seq = batch["seq"]
+        (last,) = self._seen.get() or (-1,)
+        carried = self._open.get()
+        late = seq <= last
+        late[1:] |= seq[1:] == seq[:-1]
+        out = []
         if late.any():
-            yield self._out(key, batch[late], "late")
-        batch = batch[~late]
-        if len(batch):
-            open_, out = self._place(key, batch, carried)
-            yield from out
-            self._seen.update((int(batch["seq"].iloc[-1]),))
-            if open_ is None:
-                self._open.clear()
-            else:
+            out.append(self._rows({n: v[late] for n, v in batch.items()}, "late"))
+            batch = {n: v[~late] for n, v in batch.items()}
+        open_ = carried
+        if not late.all():
+            open_, placed = self._place(batch, carried)
+            out += placed
+            self._seen.update((int(batch["seq"][-1]),))
+            if open_ is not None:
                 self._open.update(open_)
+            elif carried is not None:
+                self._open.clear()
         if self._idle_ms is not None:
             for timer in list(self._handle.listTimers()):
                 self._handle.deleteTimer(timer)
-            if self._open.exists():
+            if open_ is not None:
                 now = timerValues.getCurrentProcessingTimeInMs()
                 self._handle.registerTimer(now + self._idle_ms)
+        yield self._frame(key, out)
 
-    def _place(self, key, batch: pd.DataFrame, carried):
+    def _place(self, batch: dict[str, np.ndarray], carried):
         """The state afterwards, and the rows of a batch that follows the carried block."""
-        seq = batch["seq"].to_numpy()
-        starts = batch["starts"].to_numpy(bool)
-        breaks = ~starts & ~batch["extends"].to_numpy(bool)
-        frames = batch["is_frame"].to_numpy(bool).cumsum()
-        place = np.arange(len(batch))
+        seq = batch["seq"]
+        starts = batch["starts"].astype(bool)
+        breaks = ~starts & ~batch["extends"].astype(bool)
+        is_frame = batch["is_frame"].astype(bool)
+        frames = is_frame.cumsum()
+        place = np.arange(len(seq))
         opened = np.maximum.accumulate(np.where(starts, place, -1))
         broken = np.maximum.accumulate(np.where(breaks, place, -1))
         begin, lines, n_frames = carried or (-1, 0, 0)
         here = np.maximum(opened, 0)
         start_seq = np.where(opened >= 0, seq[here], begin)
         line_no = np.where(opened >= 0, place - here, place + lines)
-        before = frames - batch["is_frame"].to_numpy(bool)  # frames ahead of each row
+        before = frames - is_frame  # frames ahead of each row
         frame_no = np.where(opened >= 0, before - before[here], before + n_frames)
         inside = (opened > broken) | ((opened < 0) & (broken < 0) & (carried is not None))
-        out = []
-        if inside.any():
-            out.append(
-                self._out(key, batch[inside], "line", start_seq[inside], line_no[inside], frame_no[inside])
-            )
-        if not inside.all():
-            out.append(self._out(key, batch[~inside], "loose"))
+        out = [self._rows(batch, np.where(inside, "line", "loose"), start_seq, line_no, frame_no, ~inside)]
         began = set(seq[starts].tolist()) | ({begin} if carried is not None else set())
         open_ = None
         if inside[-1]:
-            open_ = (
-                int(start_seq[-1]), int(line_no[-1]) + 1,
-                int(frame_no[-1]) + int(batch["is_frame"].iloc[-1]),
-            )
+            open_ = (int(start_seq[-1]), int(line_no[-1]) + 1, int(frame_no[-1]) + int(is_frame[-1]))
             began.discard(open_[0])
         if began:
-            out.append(self._closed(key, sorted(began)))
+            out.append(self._closed(sorted(began)))
         return open_, out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -184,31 +182,52 @@ class _BlockWatch(StatefulProcessor):
         if self._open.exists():
             start, _, _ = self._open.get()
             self._open.clear()
-            yield self._closed(key, [start])
+            yield self._frame(key, [self._closed([start])])
 
     def close(self) -> None:
         pass
 
     @classmethod
-    def _closed(cls, key, starts: list[int]) -> pd.DataFrame:
-        empty = dict.fromkeys(("tag", "message", "package"), None)
-        rows = pd.DataFrame({"seq": starts, **empty, "pid": pd.array([None] * len(starts), "Int32")})
-        return cls._out(key, rows, "closed", starts)
+    def _closed(cls, starts: list[int]) -> dict[str, np.ndarray]:
+        at = np.array(starts, np.int64)
+        nothing = np.full(len(at), None, object)
+        rows = {"seq": at, **dict.fromkeys(("tag", "message", "package", "pid"), nothing)}
+        return cls._rows(rows, "closed", at)
+
+    @staticmethod
+    def _rows(batch, role, start=None, line=None, frame=None, unset=None) -> dict[str, np.ndarray]:
+        """Columns of the result; a number that is not given or ``unset`` is null."""
+        n = len(batch["seq"])
+        out = {c: batch[c] for c in ("seq", "tag", "message", "package", "pid")}
+        out["role"] = np.full(n, role, object) if isinstance(role, str) else role.astype(object)
+        for name, value in (("start_seq", start), ("line_no", line), ("frame_no", frame)):
+            out[name] = np.zeros(n, np.int64) if value is None else value
+            out[name + "_null"] = np.full(n, value is None) if value is None or unset is None else unset
+        return out
 
     @staticmethod
-    def _out(key, rows: pd.DataFrame, role: str, start=None, line=None, frame=None) -> pd.DataFrame:
-        number = lambda v: pd.array([None] * len(rows) if v is None else v, "Int64")
+    def _frame(key, parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        """One frame a call: every frame that is handed over costs more than its rows."""
+        col = lambda name: np.concatenate([p[name] for p in parts])
+        number = lambda name: pd.arrays.IntegerArray(col(name).astype(np.int64), col(name + "_null"))
         return pd.DataFrame(
             {
                 "device_serial": key[0], "session_id": key[1],
-                "seq": pd.array(rows["seq"], "Int64"), "role": role,
-                "start_seq": number(start), "line_no": number(line), "frame_no": number(frame),
-                "tag": rows["tag"].to_numpy(), "message": rows["message"].to_numpy(),
-                "package": rows["package"].to_numpy(), "pid": pd.array(rows["pid"], "Int32"),
+                "seq": col("seq").astype(np.int64), "role": col("role"),
+                "start_seq": number("start_seq"), "line_no": number("line_no"), "frame_no": number("frame_no"),
+                "tag": col("tag"), "message": col("message"), "package": col("package"),
+                "pid": pd.array(np.concatenate([p["pid"].astype(object) for p in parts]), "Int32"),
             }
         )
 
 
+def _in_order(frames: list[pd.DataFrame], order: str) -> dict[str, np.ndarray]:
+    """The columns of some frames, rows sorted by one of them."""
+    batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    rows = np.argsort(batch[order].to_numpy(), kind="stable")
+    return {name: batch[name].to_numpy()[rows] for name in batch.columns}
+
+
 def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
     """Live crash lines, signals and anomalies as they come; ``exports.write_events`` stores them and
     ``exports.read_events`` gives the events.
@@ -268,6 +287,10 @@ def live_watch(lines: DataFrame, *, idle_ms: int | None = None) -> DataFrame:
 # --- polls -----------------------------------------------------------------------------
 
 
+#: Rows of polls handed over at once.
+_POLL_ROWS = 20_000
+
+
 class _PollTail(StatefulProcessor):
     """Distinct lines of the poll before and of the poll being read, per device."""
 
@@ -277,22 +300,44 @@ class _PollTail(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["poll_no", "line_no"])
-        poll, before, current = self._tail.get() if self._tail.exists() else (-1, [], [])
+        # lines as Arrow text, about the bytes they have, and no copy sorted by poll
+        numbers, texts = [], []
+        for part in rows:
+            numbers.append(part[["poll_no", "line_no"]])
+            texts.append(pa.array(part["line"], pa.large_string(), from_pandas=True))
+        batch, texts = pd.concat(numbers, ignore_index=True), pa.chunked_array(texts, pa.large_string())
+        del numbers
+        # rows without a number belong to no poll
+        order = batch.sort_values(["poll_no", "line_no"])[["poll_no"]].dropna()
+        polls, order = order["poll_no"].to_numpy().astype(np.int64), order.index.to_numpy()
+        poll, before, current = self._tail.get() or (-1, [], [])
         before, current = set(before), set(current)
-        out = []
-        for number, lines in batch.groupby("poll_no", sort=True):
-            late = bool(number < poll)
-            if not late:
-                if number != poll:
-                    before = current if number == poll + 1 else set()
-                    poll, current = int(number), set()
-                current.update(lines["line"].dropna())
-                lines = lines[~lines["line"].isin(before)]
-            out.append(lines.assign(late=late))
-        self._tail.update((int(poll), list(before), list(current)))
-        for frame in out:
-            yield frame[["device_serial", "poll_no", "line_no", "line", "late"]]
+        late, keep = np.zeros(len(polls), bool), np.ones(len(polls), bool)
+        cuts = np.flatnonzero(np.diff(polls, prepend=-2, append=-2)) if len(polls) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            number = int(polls[lo])
+            if number < poll:
+                late[lo:hi] = True
+                continue
+            if number != poll:
+                before = current if number == poll + 1 else set()
+                poll, current = number, set()
+            lines = texts.take(pa.array(order[lo:hi])).to_pylist()
+            current.update(line for line in lines if line is not None)
+            keep[lo:hi] = [line not in before for line in lines]
+        self._tail.update((poll, list(before), list(current)))
+        order, late = order[keep], late[keep]
+        for lo in range(0, len(order), _POLL_ROWS):
+            at = order[lo : lo + _POLL_ROWS]
+            yield pd.DataFrame(
+                {
+                    "device_serial": key[0],
+                    "poll_no": batch["poll_no"].to_numpy()[at].astype(np.int64),
+                    "line_no": pd.array(batch["line_no"].to_numpy()[at], "Int64"),
+                    "line": texts.take(pa.array(at)).to_pandas().to_numpy(),
+                    "late": late[lo : lo + _POLL_ROWS],
+                }
+            )
 
     def close(self) -> None:
         pass

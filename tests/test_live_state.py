@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,3 +229,77 @@ def test_followed_counters_add_up(spark, tmp_path):
         of = got[session]
         assert (of.records, of.unparsed, of.late, of.last_seq) == (30, sum(x[5] != STAMP + "T: x" for b in mine for x in b), late, last)
         assert of.binary == sum(x[5][0] == "\x01" for b in mine for x in b) and late
+
+
+class Value:
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.values = {}
+
+    def getValueState(self, name, schema):
+        return self.values.setdefault(name, Value())
+
+
+def test_a_session_costs_one_frame_and_few_state_calls():
+    watch, handle = S._BlockWatch(None), Handle()
+    watch.init(handle)
+    columns = ["seq", "tag", "message", "package", "pid", "starts", "extends", "is_frame"]
+    rows = [(5, "x"), (1, "FATAL"), (2, "\tat b"), (2, "\tat b"), (3, "other"), (4, "FATAL")]
+    frame = pd.DataFrame([(s, "T", m, None, None, m == "FATAL", m[0] == "\t", m[0] == "\t") for s, m in rows], columns=columns)
+    (out,) = watch.handleInputRows(("d", "s"), iter([frame]), None)
+    got = sorted((r.seq, r.role, r.start_seq, r.line_no, r.frame_no) for r in out.astype(object).where(out.notna(), -1).itertuples())
+    assert got == [
+        (1, "closed", 1, -1, -1), (1, "line", 1, 0, 0), (2, "late", -1, -1, -1), (2, "line", 1, 1, 0),
+        (3, "loose", -1, -1, -1), (4, "closed", 4, -1, -1), (4, "line", 4, 0, 0), (5, "loose", -1, -1, -1),
+    ]
+    assert sum(v.calls for v in handle.values.values()) <= 4
+
+
+def test_polls_come_out_in_bounded_frames(monkeypatch):
+    monkeypatch.setattr(S, "_POLL_ROWS", 7)
+    tail, handle = S._PollTail(), Handle()
+    tail.init(handle)
+    kinds = ["device_serial", "poll_no", "line_no", "line"]
+    first = [("d", p, i, f"l{p + i}") for p in range(5) for i in range(6)] + [("d", 4, 9, None), ("d", 4, 10, "l9")]
+    second = [("d", 5, 0, "l9"), ("d", 5, 1, None), ("d", 5, 2, "new"), ("d", 3, 0, "l3"), ("d", 7, 0, "new")]
+    got = []
+    for part in (first, second):
+        shuffled = random.Random(2).sample(part, len(part))
+        frames = [pd.DataFrame(shuffled[i : i + 9], columns=kinds) for i in range(0, len(part), 9)]
+        for out in tail.handleInputRows(("d",), iter(frames), None):
+            assert 0 < len(out) <= 7
+            got += [(int(r.poll_no), int(r.line_no), r.line, bool(r.late)) for r in out.itertuples(index=False)]
+    want = [(0, i, f"l{i}", False) for i in range(6)] + [(p, 5, f"l{p + 5}", False) for p in range(1, 5)]
+    want += [(4, 9, None, False), (4, 10, "l9", False), (5, 1, None, False), (5, 2, "new", False), (3, 0, "l3", True), (7, 0, "new", False)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_replay_keeps_a_slice_small(spark):
+    from registry.live import replay
+
+    rows = [("d", p, i, f"{p} {i}") for p in range(40) for i in range(10)]
+    df = spark.createDataFrame(rows, "device_serial string, poll_no bigint, line_no bigint, line string")
+    got = S.drain(replay(df, "poll_no", "device_serial", most=20), "replayed")
+    assert sorted(map(tuple, got.drop("batch_id").collect())) == sorted(rows)
+    sizes = [r["count"] for r in got.groupBy("batch_id").count().collect()]
+    assert len(sizes) > 6 and max(sizes) <= 60
