@@ -165,9 +165,10 @@ def _(spark, sf):
     path = scratch_path(spark, "texts")
     broken = F.when(F.col("seq") % 5 == 0, F.unhex(F.lit("FF")).cast("string")).otherwise("")
     ending = F.when(F.col("seq") % 3 == 0, "\r").otherwise("")
-    # files of many sessions: every line names its own
+    # files of many sessions: every line names its own; a text file holds a null as an empty line
+    text = F.coalesce(F.concat("line", broken, ending), F.lit(""))
     texts = lines(spark, sf).select(
-        *KEYS, "seq", F.concat(*[F.concat(F.col(k), F.lit("\t")) for k in KEYS], "line", broken, ending).alias("value")
+        *KEYS, "seq", F.concat(*[F.concat(F.col(k), F.lit("\t")) for k in KEYS], text).alias("value")
     )
     stored = cut(texts, "texts")
     for i in range(3):
