@@ -3,9 +3,10 @@
 A tokenisation is the right one exactly when every token encodes to itself and every two
 neighbours encode to themselves. So each prefix of a piece has one last token, which follows from the
 last tokens of shorter prefixes, and reading left to right needs no merge loop. The
-transducer's state is what can still change: the token before the undecided bytes and those
-bytes. A token leaves as soon as all ways to go on share it, after a lookahead of the longest token
-at most. Transitions are built when first taken and forgotten together when there are too many.
+transducer's state is the longest end of what it read that a token may begin with, so there are no more
+states than beginnings of tokens; it gives the tokens that end at a byte, of which one fits behind the last
+token of the prefix before it. The last tokens, read from the end, are the tokenisation. Transitions, and
+which tokens fit together, are found when first met; many pieces are read together, byte by byte.
 """
 
 from __future__ import annotations
@@ -14,20 +15,25 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_units import Memory, no_collector, portions
+from .text_units import Memory, is_word, no_collector, portions
 
-#: Transitions that a worker keeps before it starts afresh.
-MAX_TRANSITIONS = 400_000
-#: Matches of the pattern remembered.
-MAX_PIECES = 200_000
+#: States that a worker keeps before it starts afresh.
+MAX_STATES = 1 << 15
+#: Pairs of neighbours remembered, a power of two; a pair takes the place of another one.
+PAIRS = 1 << 20
+#: Bytes of a piece that is read together with others, and how many pieces are.
+SMALL, ROWS = 64, 1 << 14
+#: Matches of the pattern remembered beside the units.
+MAX_PIECES = 50_000
 #: Units of text remembered.
-MAX_UNITS = 80_000
+MAX_UNITS = 200_000
 #: Tokens given to the UTF-8 machine at a time.
 STEP = 4096
 
@@ -45,24 +51,37 @@ class Transducer:
         self.ranks = ranks
         #: bit 1: a token that encodes to itself, bit 2: a proper beginning of a token
         self.kind = dict.fromkeys((t[:i] for t in ranks for i in range(1, len(t))), 2)
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.width = max(ranks.values(), default=0) + 1
         #: the two tokens whose merge makes a token; bytes have none
         self.halves: dict[bytes, tuple[bytes, bytes]] = {}
         for token in ranks:
             if len(self.merge(token)) == 1:
                 self.kind[token] = self.kind.get(token, 0) | 1
+        self._lengths = np.zeros(self.width, np.int64)
+        self._lengths[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        #: by a hash of left rank * width + right rank: that number, and whether the two may be neighbours
+        self._pairs = np.full(PAIRS, -1, np.int64)
+        self._fit = np.zeros(PAIRS, bool)
         self._forget()
 
     def _forget(self) -> None:
-        # a state: (token before the pending bytes or b"", pending bytes, open starts), the starts
-        # being pairs (position where a token may still start, tokens from the cut up to it)
-        start = (b"", b"", ((0, ()),))
-        self._states = [start]
-        self._ids = {start[:2]: 0}
-        #: by state * 256 + byte: the next state * 256, or -1 - place in ``_sure`` where tokens leave
-        self._next: dict[int, int] = {}
-        self._sure: list[tuple[int, tuple[int, ...]]] = []
-        self._ends: list[tuple[int, ...]] = [()]
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        #: a state: the longest end of what was read that is a token or a beginning of one
+        self._states = [b""]
+        self._ids = {b"": 0}
+        #: by state * 256 + byte: the next state, -1 where it was never asked for
+        self._next = np.full(256, -1, np.int32)
+        #: by state: place in ``_ends`` of the tokens that end here, the longest first, rank -1 after them
+        self._first = np.zeros(1, np.int64)
+        self._ends = np.full(1, -1, np.int64)
+        self._filled = 1
+
+    @staticmethod
+    def _room(held: np.ndarray, size: int) -> np.ndarray:
+        """The array, twice as long as often as ``size`` asks for."""
+        while len(held) < size:
+            held = np.concatenate([held, np.full(len(held), -1, held.dtype)])
+        return held
 
     def merge(self, data: bytes) -> list[bytes]:
         """The merges on a few bytes, lowest rank first; remembers the last merge of a token."""
@@ -81,12 +100,6 @@ class Transducer:
                 cost[i] = rank(parts[i] + parts[i + 1], none)
         return parts
 
-    def _may_follow(self, left: bytes, right: bytes) -> bool:
-        known = self._pairs.get((left, right))
-        if known is None:
-            known = self._pairs[left, right] = self._stays(left, right)
-        return known
-
     def _stays(self, left: bytes, right: bytes) -> bool:
         """Whether no merge ever reaches over the place between two tokens.
 
@@ -111,62 +124,135 @@ class Transducer:
 
     def _step(self, key: int) -> int:
         """Build the transition of state ``key >> 8`` on byte ``key & 255``."""
-        before, pending, starts = self._states[key >> 8]
-        pending += bytes((key & 255,))
-        kinds, still, tail = self.kind, [], None
-        for start in starts:
-            at, tokens = start
-            token = pending[at:]
-            kind = kinds.get(token, 0)
-            if kind & 1 and tail is None:
-                left = tokens[-1] if tokens else before
-                if not left or self._may_follow(left, token):
-                    tail = (*tokens, token)
-            if kind & 2:
-                still.append(start)
-        still.append((len(pending), tail))
-        done = 0
-        if len(still) == 1:
-            done = len(tail)
-        else:
-            shortest = min([len(x) for _, x in still])
-            while done < shortest and all([x[done] == tail[done] for _, x in still]):
-                done += 1
-        cut = sum(map(len, tail[:done]))
-        if done:
-            before = tail[done - 1]
-        if still[0][0] != cut:
-            before = b""  # no open start follows that token: what it was no longer matters
-        name = (before, pending[cut:])
+        read, name, ends = self._states[key >> 8] + bytes((key & 255,)), b"", []
+        for at in range(len(read)):
+            token = read[at:]
+            kind = self.kind.get(token, 0)
+            if kind:
+                name = name or token
+                if kind & 1:
+                    ends.append(self.ranks[token])
         state = self._ids.get(name)
         if state is None:
             state = self._ids[name] = len(self._states)
-            self._states.append((*name, tuple([(at - cut, x[done:]) for at, x in still])))
-            self._ends.append(tuple([self.ranks[t] for t in tail[done:]]))
-        to = state << 8
-        if done:
-            self._sure.append((to, tuple([self.ranks[t] for t in tail[:done]])))
-            to = -len(self._sure)
-        self._next[key] = to
-        return to
+            self._states.append(name)
+            self._next = self._room(self._next, len(self._states) * 256)
+            self._first = self._room(self._first, len(self._states))
+            self._ends = self._room(self._ends, self._filled + len(ends) + 1)
+            self._first[state] = self._filled
+            self._ends[self._filled : self._filled + len(ends)] = ends
+            self._filled += len(ends) + 1
+        self._next[key] = state
+        return state
+
+    def _may_follow(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether left and right rank of each pair (left * width + right) may be neighbours."""
+        slots = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIRS.bit_length() + 1)
+        fit, fresh = self._fit[slots], self._pairs[slots] != pairs
+        if fresh.any():
+            asked, first, each = np.unique(pairs[fresh], return_index=True, return_inverse=True)
+            tokens, width = self.tokens, self.width
+            told = np.array([self._stays(tokens[p // width], tokens[p % width]) for p in asked.tolist()])
+            fit[fresh] = told[each]
+            at = slots[fresh][first]
+            self._pairs[at], self._fit[at] = asked, told
+        return fit
+
+    def _last_tokens(self, pieces: list[bytes]) -> np.ndarray:
+        """Rank of the last token of every prefix; the pieces come longest first."""
+        lengths = np.array([len(piece) for piece in pieces])
+        inside = np.arange(lengths[0]) < lengths[:, None]
+        data = np.zeros(inside.shape, np.int64)
+        data[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        last = np.full(inside.shape, -1, np.int64)
+        states = np.zeros(len(pieces), np.int64)
+        for place, rows in enumerate(inside.sum(axis=0).tolist()):
+            keys = states[:rows] * 256 + data[:rows, place]
+            to = self._next[keys]
+            if (to < 0).any():
+                for key in np.unique(keys[to < 0]).tolist():
+                    self._step(key)
+                to = self._next[keys]
+            states[:rows] = to
+            todo, at = np.arange(rows), self._first[to]
+            while len(todo):
+                ranks = self._ends[at]
+                if (ranks < 0).any():
+                    raise ValueError("no token ends at some byte")
+                before = place - self._lengths[ranks]
+                fit = before < 0  # the whole prefix
+                asked = np.flatnonzero(~fit)
+                left = last[todo[asked], before[asked]]
+                fit[asked] = self._may_follow(left * self.width + ranks[asked])
+                last[todo[fit], place] = ranks[fit]
+                todo, at = todo[~fit], at[~fit] + 1
+        return last
+
+    def encode_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token ids of many pieces, read byte by byte together; longer ones are taken one by one."""
+        if len(self._states) > MAX_STATES:
+            self._forget()
+        found, short = [[]] * len(pieces), []
+        for i, piece in enumerate(pieces):
+            if piece in self.ranks:
+                found[i] = [self.ranks[piece]]  # a piece that is a token of its own is never merged
+            elif len(piece) > SMALL:
+                found[i] = self._encode_long(piece)
+            elif piece:
+                short.append(i)
+        short.sort(key=lambda i: -len(pieces[i]))
+        for start in range(0, len(short), ROWS):
+            part = short[start : start + ROWS]
+            last = self._last_tokens([pieces[i] for i in part])
+            on_way = np.zeros(last.shape, bool)
+            rows, place = np.arange(len(part)), (last >= 0).sum(axis=1) - 1
+            while len(rows):
+                on_way[rows, place] = True
+                place = place - self._lengths[last[rows, place]]
+                rows, place = rows[place >= 0], place[place >= 0]
+            ids, end = last[on_way].tolist(), 0
+            for i, n in zip(part, on_way.sum(axis=1).tolist()):
+                found[i] = ids[end : end + n]
+                end += n
+        return found
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        if len(self._next) > MAX_TRANSITIONS:
-            self._forget()
-        state, out, known, sure = 0, (), self._next.get, self._sure
-        for byte in piece:
-            to = known(state | byte)
-            if to is None:
-                to = self._step(state | byte)
-            if to < 0:
-                state, found = sure[-1 - to]
-                out += found
+        return tuple(self.encode_all([piece])[0])
+
+    def _encode_long(self, piece: bytes) -> list[int]:
+        """The same on one long piece."""
+        steps: dict[int, int] = {}
+        ends: dict[int, list[tuple[int, int]]] = {}
+        fits: dict[tuple[int, int], bool] = {}
+        state, last, tokens = 0, [], self.tokens
+        for place, byte in enumerate(piece):
+            key = state << 8 | byte
+            state = steps.get(key)
+            if state is None:
+                state = int(self._next[key])
+                state = steps[key] = self._step(key) if state < 0 else state
+                if state not in ends:
+                    first = int(self._first[state])
+                    ranks = self._ends[first : first + len(self._states[state])].tolist()
+                    ranks = ranks[: ranks.index(-1)] if -1 in ranks else ranks
+                    ends[state] = [(len(tokens[r]), r) for r in ranks]
+            for size, rank in ends[state]:
+                if size > place:
+                    break  # the whole prefix
+                pair = last[place - size], rank
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = fits[pair] = self._stays(tokens[pair[0]], tokens[rank])
+                if fit:
+                    break
             else:
-                state = to
-        out += self._ends[state >> 8]
-        if len(out) > 1 and piece in self.ranks:
-            return (self.ranks[piece],)  # a piece that is a token of its own is never merged
-        return out
+                raise ValueError("no token ends at some byte")
+            last.append(rank)
+        out, place = [], len(piece)
+        while place:
+            out.append(last[place - 1])
+            place -= len(tokens[out[-1]])
+        return out[::-1]
 
 
 class Encoder:
@@ -179,26 +265,38 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.names = {rank: str(rank) for rank in self.bytes_of}
-        self.pieces = Memory(lambda pieces: [self.machine.encode(p.encode()) for p in pieces], MAX_PIECES)
-        #: ids, decimal ids with a space between, and the bytes these ids stand for, by unit
+        self.names = {rank: str(rank) for rank in ranks.values()}
+        #: decimal ids with a space between and the bytes these ids stand for: by match of the pattern
+        #: that is no unit, and by unit
+        self.pieces = Memory(self._tell_pieces, MAX_PIECES)
         self.told = Memory(self._tell, MAX_UNITS)
 
-    def _tell(self, fresh: list[str]) -> list[tuple[tuple[int, ...], str, bytes]]:
-        parts = []
+    def _coded(self, pieces: list[str]) -> Iterator[tuple[str, tuple[str, bytes]]]:
+        names, table = self.names, self.machine.tokens
+        for piece, ids in zip(pieces, self.machine.encode_all([piece.encode() for piece in pieces])):
+            yield piece, (" ".join([names[i] for i in ids]), b"".join([table[i] for i in ids]))
+
+    def _tell_pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        lately, before, known = self.told.known.get, self.told.older.get, {}
+        for piece in pieces:
+            if is_word(piece) and (found := lately(piece) or before(piece)):
+                known[piece] = found
+        known.update(self._coded([piece for piece in pieces if piece not in known]))
+        return [known[piece] for piece in pieces]
+
+    def _tell(self, fresh: list[str]) -> list[tuple[str, bytes]]:
+        findall, parts, words = self.pattern.findall, {}, []
         for unit in fresh:
-            # a space and letters only, or letters only, match the pattern as a whole
-            whole = unit.isalpha() or unit[:1] == " " and unit[1:].isalpha()
-            parts.append((unit,) if whole else self.pattern.findall(unit))
-        self.pieces.learn(parts)
-        told, names, table = [], self.names, self.bytes_of
-        for pieces in parts:
-            ids: tuple[int, ...] = ()
-            for piece in pieces:
-                ids += self.pieces.get(piece)
-            told.append((ids, " ".join([names[i] for i in ids]), b"".join([table[i] for i in ids])))
-        return told
+            if is_word(unit):
+                words.append(unit)
+            else:
+                parts[unit] = findall(unit)
+        self.pieces.learn(parts.values())
+        known, get = dict(self._coded(words)), self.pieces.get
+        for unit, pieces in parts.items():
+            told = list(map(get, pieces))
+            known[unit] = " ".join([x[0] for x in told]), b"".join([x[1] for x in told])
+        return [known[unit] for unit in fresh]
 
     def _portions(self, texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
         for portion in portions(texts):
@@ -211,32 +309,35 @@ class Encoder:
         for portion in self._portions(texts):
             for place, found in portion:
                 for unit in found:
-                    ids[place] += self.told.get(unit)[0]
+                    ids[place] += map(int, self.told.get(unit)[0].split())
         return ids
 
     @no_collector()
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of their decimal list and of the decoded text, of each text; the
         ids and bytes of each window go into the digests at once."""
-        done = [_Digest() for _ in texts]
+        done = [Digest(" ") for _ in texts]
         for portion in self._portions(texts):
             for place, found in portion:
-                told = list(map(self.told.get, found))
-                done[place].add(" ".join([x[1] for x in told]), b"".join([x[2] for x in told]))
+                done[place].add(list(map(self.told.get, found)))
         return [d.end() for d in done]
 
 
-class _Digest:
-    """Running digests of one text."""
+class Digest:
+    """Running digests of one text: of its decimal ids, and of what they decode to; decoding keeps
+    the bytes of an open character."""
 
-    def __init__(self) -> None:
+    def __init__(self, between: str) -> None:
+        self.between = between
         self.count, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
         self.stream = Utf8Stream()
 
-    def add(self, ids: str, data: bytes) -> None:
-        self.ids.update((f" {ids}" if self.count else ids).encode())
-        self.count += ids.count(" ") + 1
-        self.text.update(self.stream.push(data).encode())
+    def add(self, told: list[tuple[str, bytes]]) -> None:
+        """What follows: decimal ids and the bytes these stand for."""
+        ids = self.between.join([x[0] for x in told])
+        self.ids.update((self.between + ids if self.count else ids).encode())
+        self.count += ids.count(self.between) + 1
+        self.text.update(self.stream.push(b"".join([x[1] for x in told])).encode())
 
     def end(self) -> tuple[int, str, str]:
         self.text.update(self.stream.close().encode())

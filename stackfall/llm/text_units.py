@@ -48,6 +48,11 @@ def units(window: str) -> list[str]:
     return parts if parts[0] else parts[1:]
 
 
+def is_word(unit: str) -> bool:
+    """Letters only, or a space and letters only: byte-level patterns match it as a whole."""
+    return unit.isalpha() or unit[:1] == " " and unit[1:].isalpha()
+
+
 @contextmanager
 def no_collector() -> Iterator[None]:
     """Without the cycle collector, which would walk over all that is remembered time and again:
@@ -84,9 +89,11 @@ class Memory:
             self.older = dict(known)
             known.clear()
         wanted = set().union(*found).difference(known)
-        fresh = list(wanted.difference(self.older))
-        for unit in wanted.intersection(self.older):
-            known[unit] = self.older[unit]
+        older = self.older
+        met = older.keys() & wanted  # looks up what is wanted, not all that is remembered
+        fresh = list(wanted.difference(met)) if met else list(wanted)
+        for unit in met:
+            known[unit] = older[unit]
         known.update(zip(fresh, self.make(fresh)))
         self.long = [unit for unit in fresh if len(unit) > LONG]
 

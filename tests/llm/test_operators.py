@@ -221,6 +221,25 @@ def test_transducer_equals_the_library():
         assert bpe.decode_ids(ids, table) == text
 
 
+def test_transducer_has_no_more_states_than_the_vocabulary_has_beginnings(monkeypatch):
+    r = random.Random(8)
+    tokens, letters = [bytes((b,)) for b in range(256)], b"abcdef"
+    for _ in range(300):
+        token = r.choice(tokens[97:103] + tokens[256:]) + r.choice(tokens[97:103] + tokens[256:])
+        if len(token) < 9 and token not in tokens:
+            tokens.append(token)
+    ranks = {token: rank for rank, token in enumerate(tokens)}
+    machine = bpe.Transducer(ranks)
+    pieces = [bytes(r.choice(letters) for _ in range(r.randint(0, 70))) for _ in range(3000)]
+    expected = [[ranks[piece]] if piece in ranks else [ranks[t] for t in machine.merge(piece)] for piece in pieces]
+    assert [list(machine.encode(piece)) for piece in pieces] == expected
+    assert len(machine._states) <= len(machine.kind) + 1
+    for name, few in (("PAIRS", 16), ("ROWS", 7), ("MAX_STATES", 20)):
+        monkeypatch.setattr(bpe, name, few)
+    small = bpe.Transducer(ranks)
+    assert [ids for at in range(0, 3000, 50) for ids in small.encode_all(pieces[at : at + 50])] == expected
+
+
 def test_byte_bpe_round_trip_of_odd_rows(spark, monkeypatch):
     import tiktoken
     from pyspark.sql import functions as F
