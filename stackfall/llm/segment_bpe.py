@@ -8,8 +8,8 @@ steps however long it is.
 
 from __future__ import annotations
 
-import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
-from .bpe import Utf8Stream
-from .text_units import Memory, no_collector, portions
+from .bpe import Digest
+from .text_units import Memory, is_word, no_collector, portions
 
 _NONE = 1 << 62  # a leaf without a merge
 #: Leaves of the trees that are worked on together.
 FOREST = 1 << 16
 #: Bytes of a piece that is worked on so; longer ones are taken one by one.
 SMALL = 256
+#: Matches of the pattern remembered beside the units, and units of text remembered.
+MAX_PIECES, MAX_UNITS = 50_000, 200_000
+#: The library's pattern on printable ASCII, where classes of characters leave no doubt.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +").findall
 
 
 def byte_letters() -> list[str]:
@@ -216,17 +220,25 @@ class Tokenizer:
     def __init__(self, path: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.names = [str(i) for i in range(len(self.vocabulary.bytes_of))]
-        self.pieces = Memory(self._merge)
-        #: ids, decimal ids with a comma between, and the bytes these ids stand for, by unit
-        self.told = Memory(self._tell)
-
-    def _merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        #: decimal ids with a comma between and the bytes these ids stand for: by match of the
+        #: pattern that is no unit, and by unit
+        self.pieces = Memory(self._code, MAX_PIECES)
+        self.told = Memory(self._tell, MAX_UNITS)
+
+    def _code(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        names, table = self.names, self.vocabulary.bytes_of
+        return [
+            (",".join([names[i] for i in ids]), b"".join([table[i] for i in ids]))
+            for ids in self._merge([piece.encode() for piece in pieces])
+        ]
+
+    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of matches of the pattern; pieces of like length share the arrays of one forest."""
-        v, found = self.vocabulary, [()] * len(pieces)
+        v, found = self.vocabulary, [[]] * len(pieces)
         classes: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             if len(piece) > SMALL:
-                found[i] = tuple(merge_long(v.of_byte[np.frombuffer(piece, np.uint8)].tolist(), v.merges))
+                found[i] = merge_long(v.of_byte[np.frombuffer(piece, np.uint8)].tolist(), v.merges)
             else:
                 classes.setdefault(1 << max(0, len(piece) - 2).bit_length(), []).append(i)
         for size, members in classes.items():
@@ -243,26 +255,25 @@ class Tokenizer:
                 ids = symbols[kept].tolist()
                 at = 0
                 for i, n in zip(part, kept.sum(axis=1).tolist()):
-                    found[i] = tuple(ids[at : at + n])
+                    found[i] = ids[at : at + n]
                     at += n
         return found
 
-    def _tell(self, fresh: list[str]) -> list[tuple[tuple[int, ...], str, bytes]]:
-        split, parts = self.vocabulary.split, []
+    def _tell(self, fresh: list[str]) -> list[tuple[str, bytes]]:
+        split, plain, parts, words = self.vocabulary.split, self.vocabulary.by_units, {}, []
         for unit in fresh:
-            # a space and letters only, or letters only, match the pattern as a whole
-            if unit.isalpha() or unit[:1] == " " and unit[1:].isalpha():
-                parts.append((unit.encode(),))
+            if is_word(unit):
+                words.append(unit)
+            elif plain and unit.isascii() and unit.isprintable():
+                parts[unit] = _ASCII(unit)
             else:
-                parts.append([unit[a:b].encode() for _, (a, b) in split(unit)])
-        self.pieces.learn(parts)
-        told, names, table = [], self.names, self.vocabulary.bytes_of
-        for pieces in parts:
-            ids = self.pieces.get(pieces[0])
-            for piece in pieces[1:]:
-                ids += self.pieces.get(piece)
-            told.append((ids, ",".join([names[i] for i in ids]), b"".join([table[i] for i in ids])))
-        return told
+                parts[unit] = [unit[a:b] for _, (a, b) in split(unit)]
+        self.pieces.learn(parts.values())
+        known, get = dict(zip(words, self._code(words))), self.pieces.get
+        for unit, pieces in parts.items():
+            told = list(map(get, pieces))
+            known[unit] = ",".join([x[0] for x in told]), b"".join([x[1] for x in told])
+        return [known[unit] for unit in fresh]
 
     def _portions(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, list[str]]]]:
         """``(place, added id or -1, units)`` in the order of the texts; the units of a portion
@@ -299,7 +310,7 @@ class Tokenizer:
                 if added >= 0:
                     ids[place].append(added)
                 for unit in found:
-                    ids[place] += self.told.get(unit)[0]
+                    ids[place] += map(int, self.told.get(unit)[0].split(","))
         return ids
 
     def decode(self, ids) -> str:
@@ -309,36 +320,18 @@ class Tokenizer:
 
     @no_collector()
     def digests(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
-        """Number of ids, SHA-256 of their decimal list and of the decoded text, of each text;
-        the ids and bytes of each window go into the digests at once."""
-        done = [_Digest() for _ in texts]
+        """Number of ids, SHA-256 of their decimal list and of the decoded text, of each text; the
+        ids and bytes of each window go into the digests at once."""
+        done = [Digest(",") for _ in texts]
         for portion in self._portions(texts):
             for place, added, found in portion:
                 if added >= 0:
-                    done[place].add(self.names[added], self.vocabulary.bytes_of[added])
+                    done[place].add([(self.names[added], self.vocabulary.bytes_of[added])])
                 if found:
-                    told = list(map(self.told.get, found))
-                    done[place].add(",".join([x[1] for x in told]), b"".join([x[2] for x in told]))
+                    done[place].add(list(map(self.told.get, found)))
         return [d.end() for d in done]
 
 
-class _Digest:
-    """Running digests of one text; decoding keeps the bytes of an open character."""
-
-    def __init__(self) -> None:
-        self.count, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
-        self.stream = Utf8Stream()
-
-    def add(self, ids: str, data: bytes) -> None:
-        self.ids.update((f",{ids}" if self.count else ids).encode())
-        self.count += ids.count(",") + 1
-        self.text.update(self.stream.push(data).encode())
-
-    def end(self) -> tuple[int, str, str]:
-        self.text.update(self.stream.close().encode())
-        return self.count, self.ids.hexdigest(), self.text.hexdigest()
-
-
 _OPEN: dict[str, Tokenizer] = {}  # per worker: tables by file
 
 

@@ -110,6 +110,19 @@ def test_segment_bpe_by_small_portions(monkeypatch):
     assert [d[1] for d in own.digests(texts)] == [sha(",".join(map(str, ids))) for ids in expected]
 
 
+def test_plain_ascii_is_split_as_the_library_does(monkeypatch):
+    own, r, asked = segment_bpe.Tokenizer(A), random.Random(3), []
+    split, some = own.vocabulary.split, ["'", "s", "t", "re", " ", "  ", "l", "1", ".", "_", "-", *map(chr, range(32, 127))]
+    units = ["".join(r.choice(some[: 11 if i % 2 else None]) for _ in range(r.randint(1, 9))) for i in range(4000)]
+    own.vocabulary.split = lambda unit: asked.append(unit) or split(unit)
+    own.told.learn([units])
+    assert asked == []  # the library is asked about other characters only
+    for unit in units:
+        assert segment_bpe._ASCII(unit) == [unit[a:b] for _, (a, b) in split(unit)]
+    own.told.learn([["é,", " \x1cb.", "\n."]])
+    assert sorted(asked) == sorted(["é,", " \x1cb.", "\n."])
+
+
 def test_odd_vocabularies_are_refused(tmp_path):
     import json
 
