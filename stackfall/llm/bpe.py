@@ -12,6 +12,7 @@ which tokens fit together, are found when first met; many pieces are read togeth
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -388,6 +389,13 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _OPEN[path, pattern]
 
 
+def forget() -> None:
+    """Give back the tables of this worker; an encoder and its memories refer to each other, so only
+    the collector frees them."""
+    _OPEN.clear()
+    gc.collect()
+
+
 def _vocabulary(path: str) -> list[bytes]:
     if path not in _OPEN:
         ranks = read_ranks(path)
@@ -441,8 +449,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, keep: bool = True) -
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         if not keep:
-            _OPEN.clear()
             del digests
+            forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -240,6 +240,23 @@ def test_transducer_has_no_more_states_than_the_vocabulary_has_beginnings(monkey
     assert [ids for at in range(0, 3000, 50) for ids in small.encode_all(pieces[at : at + 50])] == expected
 
 
+def test_a_worker_that_forgets_frees_its_tables():
+    import gc
+    import weakref
+
+    path = public.path("byte_bpe_50k.tiktoken")
+    encoder = bpe._encoder(path, public.PATTERN)
+    encoder.digests(["some words, twice", "some words"])
+    held = weakref.ref(encoder)
+    del encoder
+    gc.disable()
+    try:
+        bpe.forget()
+        assert held() is None
+    finally:
+        gc.enable()
+
+
 def test_byte_bpe_round_trip_of_odd_rows(spark, monkeypatch):
     import tiktoken
     from pyspark.sql import functions as F
