@@ -37,12 +37,20 @@ def query(name: str, oracle: str | None = None):
 SLICE_ROWS = 1_000_000
 
 
-def replay(df, order: str, *keys: str, slices: int = FILES, files: int = 3, most: int | None = None):
+#: Rows that a task writes at least, where more than two write a slice.
+TASK_ROWS = 100_000
+
+
+def replay(
+    df, order: str, *keys: str, slices: int = FILES, files: int = 3, most: int | None = None, spread: bool = False
+):
     """``df`` as a stream that arrives in slices of ``order``, ``files`` files per micro-batch.
 
     Slices are written one after the other, so that file times follow them; within a slice the
     rows of a key share one file, so that a key's rows arrive in order wherever a batch ends. With ``most``
-    there are as many slices as keep one to about that many rows.
+    there are as many slices as keep one to about that many rows. With ``spread`` every slice is one
+    micro-batch of as many files as it takes tasks to write it, if all slices are large enough for that;
+    a key's rows then lie in many files of it.
     """
     spark = df.sparkSession
     S.use_state_store(spark)
@@ -58,6 +66,12 @@ def replay(df, order: str, *keys: str, slices: int = FILES, files: int = 3, most
             "_slice", *keys
         ).write.partitionBy("_slice").parquet(dealt)
     path = scratch_path(spark, "slices")
+    tasks = 2
+    if spread:
+        number = F.expr(f"({order} - {low}L) div {step}L")
+        sizes = [r["count"] for r in stored.where(F.col(order).isNotNull()).groupBy(number).count().collect()]
+        if len(sizes) == slices and min(sizes) >= 3 * TASK_ROWS:
+            tasks = files = min(spark.sparkContext.defaultParallelism, min(sizes) // TASK_ROWS)
     for i in range(slices):
         lo = low + i * step
         if most is None:
@@ -66,7 +80,9 @@ def replay(df, order: str, *keys: str, slices: int = FILES, files: int = 3, most
             part = spark.read.schema(df.schema).parquet(f"{dealt}/_slice={i}")
         else:
             continue
-        part.repartition(2, *keys).write.parquet(f"{path}/{i}")
+        # dealt in turn, each of so many rows lands in every file; else a key's rows share one
+        part = part.repartition(tasks) if tasks > 2 else part.repartition(2, *keys)
+        part.write.parquet(f"{path}/{i}")
     return (
         spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files)
         .option("latestFirst", False).parquet(f"{path}/*")
@@ -195,7 +211,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The same lines by joins with the polls stored before."""
     base = scratch_path(spark, "polls")
-    stream = replay(of(spark, sf, "polls"), "poll_no", "device_serial", files=2)
+    stream = replay(of(spark, sf, "polls"), "poll_no", "device_serial", files=2, spread=True)
     ST.follow_polls(stream, base, base + "/state", every=3).awaitTermination()
     return ST.read_polls(spark, base).where("not late").drop("late")
 

@@ -74,7 +74,8 @@ class BatchStore:
     def _rows(self, parts: list[str]) -> DataFrame:
         there = [f"{self._path}/{p}" for p in parts if not p.startswith("table") or self._has(p)]
         if not there:
-            return self._spark.createDataFrame([], self._schema)
+            # known to be empty when a plan is made, so that nothing is shuffled to join it
+            return self._spark.createDataFrame([], self._schema).where(F.lit(False))
         return self._spark.read.schema(self._schema).parquet(*there)
 
     def _has(self, part: str) -> bool:

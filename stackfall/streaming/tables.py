@@ -29,14 +29,15 @@ def _run(stream: DataFrame, store, checkpoint: str) -> StreamingQuery:
 
 
 def _last_polls(rows: DataFrame) -> DataFrame:
-    """Distinct lines of the last poll of each device and of the one before."""
+    """Distinct lines of the last poll of each device and of the one before; all other rows are left
+    out before any is shuffled, by one row a device."""
+    newest = rows.groupBy("device_serial").agg(F.max("poll_no").alias("_newest"))
     return (
-        rows.select("device_serial", "poll_no", "line").distinct()
-        .join(
-            rows.groupBy("device_serial").agg(F.max("poll_no").alias("_newest")), "device_serial"
-        )
+        rows.select("device_serial", "poll_no", "line")
+        .join(F.broadcast(newest), "device_serial")
         .where(F.col("poll_no") >= F.col("_newest") - 1)
         .drop("_newest")
+        .distinct()
     )
 
 
@@ -55,26 +56,26 @@ def follow_polls(
     """
     spark = polls.sparkSession
     tail = _poll_store(spark, path, every)
+    batch_columns = ("device_serial", "poll_no", "line_no", "line")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         target = f"{path}/rows/batch={batch_id}"
         before = tail.read(before=batch_id)
         seen = before.groupBy("device_serial").agg(F.max("poll_no").alias("_seen"))
-        rows = batch.select("device_serial", "poll_no", "line_no", "line")
-        rows = rows.join(seen, "device_serial", "left").withColumn(
+        rows = batch.select(*batch_columns)
+        rows = rows.join(F.broadcast(seen), "device_serial", "left").withColumn(
             "late", F.coalesce(F.col("poll_no") < F.col("_seen"), F.lit(False))
+        ).drop("_seen")
+        on_time = rows.where(~F.col("late")).select("device_serial", "poll_no", "line")
+        shown = on_time.unionByName(before).select(
+            "device_serial", (F.col("poll_no") + 1).alias("_poll"), "line"
         )
-        shown = (
-            rows.where(~F.col("late")).select("device_serial", "poll_no", "line")
-            .unionByName(before).distinct()
-            .select("device_serial", (F.col("poll_no") + 1).alias("poll_no"), "line")
-        )
-        on_time = rows.where(~F.col("late")).join(
-            shown, ["device_serial", "poll_no", "line"], "left_anti"
-        )
-        fresh = on_time.unionByName(rows.where("late")).drop("_seen")
+        # a late row has no poll that could have shown it
+        fresh = rows.withColumn("_poll", F.when(~F.col("late"), F.col("poll_no"))).join(
+            shown, ["device_serial", "_poll", "line"], "left_anti"
+        ).select(*batch_columns, "late")
         fresh.write.mode("overwrite").parquet(target)
-        tail.append(rows.where(~F.col("late")).unionByName(before, allowMissingColumns=True), batch_id)
+        tail.append(on_time.unionByName(before), batch_id)
 
     return _run(polls, store, checkpoint)
 

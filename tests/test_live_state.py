@@ -208,6 +208,43 @@ def test_followed_polls_equal_a_loop(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_wide_slices_are_written_by_many_tasks_and_read_as_one_batch(spark, tmp_path, monkeypatch):
+    from registry import live
+
+    monkeypatch.setattr(live, "TASK_ROWS", 40)
+    kinds = "device_serial string, poll_no bigint, line_no bigint, line string"
+    rows = [(f"d{i % 2}", p, i, None if i == 9 else f"{(p + i) % 37} {i % 5}") for p in range(18) for i in range(60)]
+    frame = spark.createDataFrame(rows, kinds).repartition(3)
+    stream = live.replay(frame, "poll_no", "device_serial", slices=3, files=2, spread=True)
+    ST.follow_polls(stream, str(tmp_path / "out"), str(tmp_path / "state"), every=2).awaitTermination()
+    shown = {(d, p, line) for d, p, _, line in rows if line is not None}
+    want = [(*x, False) for x in rows if (x[0], x[1] - 1, x[3]) not in shown]
+    got = [(x.device_serial, x.poll_no, x.line_no, x.line, x.late) for x in ST.read_polls(spark, str(tmp_path / "out")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len(list((tmp_path / "out/rows").glob("batch=*"))) == 3
+    # every task wrote a part of each slice, though there are two devices only
+    read = spark.read.parquet(str(tmp_path / "out/rows"))
+    assert read.count() == len(want)
+    paths = [f for i in range(3) for f in stream_files(spark, i)]
+    assert len(paths) == 24 and len(set(paths)) == 24
+
+
+def stream_files(spark, i):
+    """Files of the ``i``-th slice written last."""
+    import glob
+    import os
+
+    newest = max(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/slices-*"), key=os.path.getmtime)
+    return glob.glob(f"{newest}/{i}/part-*.parquet")
+
+
+def test_an_empty_store_is_known_to_be_empty(spark, tmp_path):
+    store = ST._poll_store(spark, str(tmp_path), 3)
+    some = spark.range(5).select(F.lit("d").alias("device_serial"))
+    joined = some.join(store.read(), "device_serial", "left_anti")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_followed_counters_add_up(spark, tmp_path):
     r = random.Random(1)
     rows = [("d", "st"[i % 2], i, "logcat", 0, r.choice([STAMP + "T: x", "raw", "\x01\x02\x03"])) for i in range(60)]
