@@ -34,7 +34,7 @@ SMALL, ROWS = 64, 1 << 14
 #: Matches of the pattern remembered beside the units.
 MAX_PIECES = 50_000
 #: Units of text remembered.
-MAX_UNITS = 200_000
+MAX_UNITS = 400_000
 #: Tokens given to the UTF-8 machine at a time.
 STEP = 4096
 

@@ -29,7 +29,7 @@ FOREST = 1 << 16
 #: Bytes of a piece that is worked on so; longer ones are taken one by one.
 SMALL = 256
 #: Matches of the pattern remembered beside the units, and units of text remembered.
-MAX_PIECES, MAX_UNITS = 50_000, 200_000
+MAX_PIECES, MAX_UNITS = 50_000, 400_000
 #: The library's pattern on printable ASCII, where classes of characters leave no doubt.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?![^ ])| +").findall
 
