@@ -9,9 +9,8 @@ group are links; a pair of ids counts in every document that holds it linked.
 from __future__ import annotations
 
 import hashlib
-from array import array
+import os
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,6 +30,8 @@ FREQUENT = 1 << 18
 MANY = 512
 #: Units remembered.
 MAX_UNITS = 200_000
+#: Links of a text held one by one before they are counted.
+HELD = 1 << 20
 
 
 def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
@@ -122,6 +123,8 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # a task has one core: threads of the library's own only wait for each other there
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_padding()
@@ -162,8 +165,9 @@ class Pair:
         ]
 
     def _align(self, fresh: list[str]) -> list[tuple | None]:
-        """Per unit the number of tokens of A (times 2 ** 32) and B, its groups as text, and the key
-        ``a * width + b`` of every link; None where the bytes of a side are not the unit's."""
+        """Per unit its groups as text and, as the bytes of 64-bit numbers, the number of tokens of A
+        (times 2 ** 32) and B, negative, and the key ``a * width + b`` of every link; None where the
+        bytes of a side are not the unit's."""
         if not fresh:
             return []
         ids_a = [e.ids for e in self.a.encode_batch_fast(fresh, add_special_tokens=False)]
@@ -216,12 +220,14 @@ class Pair:
         first = np.cumsum(np.repeat(wide, a1 - a0)) - np.repeat(wide, a1 - a0)
         within = np.arange(len(rows)) - np.repeat(first, np.repeat(wide, a1 - a0))
         keys = flat_a[rows] * self.width + flat_b[np.repeat(np.repeat(b0, a1 - a0), np.repeat(wide, a1 - a0)) + within]
-        links = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(flat_a)))])[units_a].tolist()
-        keys, at = array("q", keys.astype(np.int64).tobytes()), (units_a + units_b).tolist()
-        sizes = ((np.diff(units_a) << 32) + np.diff(units_b)).tolist()
+        links = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(flat_a)))])[units_a]
+        # the numbers of tokens of each unit ahead of its keys
+        sizes = (np.diff(units_a) << 32) + np.diff(units_b)
+        data = np.insert(keys.astype(np.int64), links[:-1], -sizes).tobytes()
+        links = (8 * (links + np.arange(len(links)))).tolist()
+        at = (units_a + units_b).tolist()
         return [
-            (n, "".join(shown[at[i] : at[i + 1]])[:-1], keys[links[i] : links[i + 1]])
-            for i, n in enumerate(sizes)
+            ("".join(shown[x:y])[:-1], data[i:j]) for x, y, i, j in zip(at, at[1:], links, links[1:])
         ]
 
     @no_collector()
@@ -240,7 +246,9 @@ class _Aligned:
 
     def __init__(self) -> None:
         self.whole, self.sizes, self.n_groups, self.shown = True, 0, 0, None
-        self.links: Counter = Counter()
+        self.held: list[bytes] = []
+        self.n_held = 0
+        self.keys = self.times = np.zeros(0, np.int64)
 
     def add(self, found: list[str], told: Memory) -> None:
         if not self.whole:
@@ -250,19 +258,43 @@ class _Aligned:
             self.__init__()
             self.whole = False
             return
-        sizes, texts, keys = zip(*values)
-        self.sizes += sum(sizes)
+        texts, data = zip(*values)
         shown = ";".join(texts)
         self.n_groups += shown.count(";") + 1
         if self.shown is None:
             self.shown = hashlib.sha256(shown.encode())
         else:
             self.shown.update(b";" + shown.encode())
-        self.links.update(chain.from_iterable(keys))
+        self.held.append(b"".join(data))
+        self.n_held += len(self.held[-1]) >> 3
+        if self.n_held > HELD:
+            self._count()
+
+    def _count(self) -> None:
+        """Numbers held become sizes and the distinct links with their numbers."""
+        numbers = np.sort(np.frombuffer(b"".join(self.held), np.int64))
+        self.held, self.n_held = [], 0
+        first = int(np.searchsorted(numbers, 0))
+        self.sizes -= sum(numbers[:first].tolist())
+        keys, times = np.unique(numbers[first:], return_counts=True)
+        if len(self.keys):
+            both = np.concatenate([self.keys, keys])
+            keys, each = np.unique(both, return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, each, np.concatenate([self.times, times]))
+            times = sums
+        self.keys, self.times = keys, times
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct links and how often each is there."""
+        if self.held:
+            self._count()
+        return self.keys, self.times
 
     def numbers(self) -> tuple[int, int, int, int]:
         """Tokens of A and of B, groups, links."""
-        return self.sizes >> 32, self.sizes & 0xFFFFFFFF, self.n_groups, self.links.total()
+        _, times = self.links()
+        return self.sizes >> 32, self.sizes & 0xFFFFFFFF, self.n_groups, int(times.sum())
 
     def digest(self) -> str:
         return self.shown.hexdigest() if self.shown else ""
@@ -288,9 +320,9 @@ def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for start in range(0, len(texts), 256):
                 done = align(texts.slice(start, 256).to_pylist())
                 offsets = np.zeros(len(done) + 1, np.int32)
-                offsets[1:] = np.cumsum([len(d.links) for d in done])
-                keys = np.array([*chain.from_iterable(d.links for d in done)], np.int64)
-                times = np.array([*chain.from_iterable(d.links.values() for d in done)], np.int64)
+                found, counted = zip(*(d.links() for d in done))
+                offsets[1:] = np.cumsum([len(keys) for keys in found])
+                keys, times = np.concatenate(found), np.concatenate(counted)
                 numbers = np.array([d.numbers() for d in done], np.int64).reshape(-1, 4)
                 at = pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays(

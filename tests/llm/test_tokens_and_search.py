@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -218,6 +219,32 @@ def test_alignment_equals_whole_texts(spark, frequent):
     assert {r.doc_id: tuple(r)[1:] for r in found} == dict(zip([*range(len(texts)), None], expected))
 
 
+def test_alignment_stays_on_its_core():
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=r.randint(3, 12))) for _ in range(40_000))]
+    pair = cross_align.pair_of(A, B)
+    whole, own = time.process_time(), time.thread_time()
+    pair.align(texts)
+    whole, own = time.process_time() - whole, time.thread_time() - own
+    assert whole < 1.15 * own + 0.05
+
+
+@pytest.mark.parametrize("held", [1, 100])
+def test_links_counted_in_parts_are_the_same(monkeypatch, held):
+    text = " ".join(["one two", "three", "x1.y", "one two three"] * 400)
+    pair = cross_align.pair_of(A, B)
+    at_once = pair.align([text])[0]
+    monkeypatch.setattr(cross_align, "HELD", held)
+    parts = cross_align._Aligned()
+    found = text_units.units(f" {text}")
+    for start in range(0, len(found), 37):
+        parts.add(found[start : start + 37], pair.told)
+    assert parts.numbers() == at_once.numbers() and parts.digest() == at_once.digest()
+    for one, other in zip(parts.links(), at_once.links()):
+        assert one.tolist() == other.tolist()
+    assert not at_once.held and len(at_once.links()[0]) < at_once.numbers()[3]
+
+
 def test_alignment_of_nothing(spark):
     assert cross_align.align(spark.createDataFrame([], DOCS), A, B).collect() == []
 
