@@ -109,7 +109,7 @@ def _(spark, sf):
 
 @query("victim_links", sql("links", "SELECT device_serial, session_id, pos, seq, source, source_pid, victim, victim_pid, victim_kind, gap_ms, source_line, victim_line, confirmed FROM vlink"))
 def _(spark, sf):
-    out = L.victim_links(_signals(spark, sf))
+    out = L.victim_links(_signals(spark, sf), keep=cut)
     return out.drop("source_detail", "source_seq")
 
 
@@ -118,7 +118,7 @@ _CLINK = "device_serial, session_id, source, source_pid, victim, victim_pid, con
 
 @query("causal_links", sql("links", f"SELECT {_CLINK} FROM clink"))
 def _(spark, sf):
-    return L.link_deaths(_signals(spark, sf)).select(*[c.strip() for c in _CLINK.split(",")])
+    return L.link_deaths(_signals(spark, sf), keep=cut).select(*[c.strip() for c in _CLINK.split(",")])
 
 
 @query("causal_links_by_ordinal", sql("links", """SELECT device_serial, session_id, pos, source, victim FROM pairs WHERE false""").replace(
@@ -126,7 +126,9 @@ def _(spark, sf):
     """SELECT v.device_serial, v.session_id, v.pos, s.name AS source, v.process AS victim FROM vic v JOIN src s ON s.device_serial = v.device_serial AND s.session_id = v.session_id AND s.pos < v.pos AND s.name <> v.process
     AND v.pos - s.pos <= 3 AND (v.at_ms IS NULL OR s.at_ms IS NULL OR abs(v.at_ms - s.at_ms) <= 60000) QUALIFY row_number() OVER (PARTITION BY v.device_serial, v.session_id, v.pos ORDER BY s.pos DESC) = 1"""))
 def _(spark, sf):
-    out = L.victim_links(_signals(spark, sf), max_lines=3, max_gap_ms=60_000, line_window="signals")
+    out = L.victim_links(
+        _signals(spark, sf), max_lines=3, max_gap_ms=60_000, line_window="signals", keep=cut
+    )
     return out.select(*KEYS, "pos", "source", "victim")
 
 
@@ -137,14 +139,14 @@ _DID = "CASE v.kind " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in AMS_LABEL.
   WHEN c.gap_ms < 0 THEN c.victim || ' was ' || {_DID} || ' ' || -c.gap_ms || ' ms before ' || c.source || ' crashed' ELSE c.source || ' crashed; ' || c.victim || ' was ' || {_DID} END AS reason
   FROM clink c JOIN sig v ON v.device_serial = c.device_serial AND v.session_id = c.session_id AND v.line_index = c.victim_line"""))
 def _(spark, sf):
-    return L.link_deaths(_signals(spark, sf)).select(*KEYS, "source", "victim", "reason")
+    return L.link_deaths(_signals(spark, sf), keep=cut).select(*KEYS, "source", "victim", "reason")
 
 
 @query("evidence_rows", sql("links", """SELECT c.device_serial, c.session_id, c.source, c.victim, e.n AS evidence_no, r.message FROM clink c, LATERAL (SELECT 0 AS n, c.source_line AS li UNION ALL SELECT 1, c.victim_line) e
   JOIN rec r ON r.device_serial = c.device_serial AND r.session_id = c.session_id AND r.line_index = e.li"""))
 def _(spark, sf):
     r = cut(records(spark, sf), "records")
-    found = L.link_deaths(G.signals_of(cut(G.evidence(r), "evidence")))
+    found = L.link_deaths(G.signals_of(cut(G.evidence(r), "evidence")), keep=cut)
     out = L.evidence_rows(found, r)
     ends = (F.col("link_source").alias("source"), F.col("link_victim").alias("victim"))
     return out.select(*KEYS, *ends, "evidence_no", "message")
@@ -309,7 +311,7 @@ def _correlated(spark, sf):
     found = cut(G.evidence(r), "evidence")
     signals = G.signals_of(found)
     events = cut(B.live_crash_events(B.live_blocks(r)), "events")
-    links = cut(L.link_deaths(signals), "links")
+    links = cut(L.link_deaths(signals, keep=cut), "links")
     return T.correlate(events, signals, links), found, events, links
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classify import family_mask, family_of_mask
+from .classify import family_mask_lower, family_of_mask
 from .steps import Steps, let
 from .text import WS_CLASS, after, before, first_token, lstrip, non_empty, number_after, strip
 
@@ -110,6 +110,7 @@ LINE = Steps(
     rest=lambda v: _rest(v.line),
     body=lambda v: _body_of_rest(v.rest),
     text=lambda v: lstrip(v.body),
+    lower=lambda v: F.lower(v.line),
     is_anr=lambda v: v.body.startswith("----- pid "),
     is_pid=lambda v: v.text.startswith("pid: "),
     is_caused=lambda v: v.text.startswith("Caused by:"),
@@ -138,7 +139,7 @@ LINE = Steps(
         v.abort.alias("abort"),
         F.when(v.is_caused, v.text).alias("caused"),
         F.when(~v.is_caused & v.is_frame, v.text).alias("frame"),
-        family_mask(v.line).alias("mask"),
+        family_mask_lower(v.lower).alias("mask"),
     ),
 )
 

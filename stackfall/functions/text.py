@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def to_double(c: Column) -> Column:
 
 
 def contains_any(text: Column, needles) -> Column:
+    """Whether one of the needles is in the text; many are looked for in one pass, at characters that
+    one of them begins with."""
+    needles = list(dict.fromkeys(needles))
+    if len(needles) > 2 and all(needle and needle.isascii() for needle in needles):
+        heads = "".join(sorted({re.escape(needle[0]) for needle in needles}))
+        return text.rlike(f"(?=[{heads}])(?:{'|'.join(map(re.escape, needles))})")
     hit = F.lit(False)
     for needle in needles:
         hit = hit | F.contains(text, F.lit(needle))

@@ -8,6 +8,8 @@ the two is the answer for every victim.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,15 +152,27 @@ def victim_links(
     max_gap_ms: int = 5_000,
     line_window: str = "lines",
     chunk_rows: int = H.CHUNK_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
     """One row per linked victim signal, before repeats are merged.
 
+    ``keep`` may write a frame that is read several times as a table and go on from there
+    (:func:`stackfall.session.cut`).
+
     ``line_window="lines"`` compares the victim's signal ordinal with the source's line index
     (saturating at 0); ``"signals"`` compares both as signal ordinals.
     """
     if line_window not in ("lines", "signals"):
         raise ValueError(f"unknown line_window: {line_window}")
-    context = with_context(signals, chunk_rows=chunk_rows)
+    context = keep(
+        with_context(signals, chunk_rows=chunk_rows)
+        .where(F.col("role").isNotNull() & F.col("name").isNotNull())
+        .select(
+            *SESSION, "seq", "line_index", "kind", "reason", "detail", "pid", "pos", "role", "name",
+            "name_pid", "at_ms",
+        ),
+        "context",
+    )
     rows = _latest_sources(context, chunk_rows).where(
         (F.col("role") == "victim") & F.col("name").isNotNull()
     )

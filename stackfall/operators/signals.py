@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions.signals import AMS, ANOMALY, may_be_ams, may_be_anomaly
+from ..functions.steps import pinned
 from ..schema import SESSION
 from . import chunks as H
 
@@ -20,6 +21,20 @@ ANOMALY_COLUMNS = (
 )
 
 
+def parsed_rows(records: DataFrame, *columns: str, raw: str, also: Column | None = None) -> DataFrame:
+    """``columns``, the ``line``, and its signal ``ams`` and ``anomaly`` (NULL when it has none) of the
+    rows with a needle of either, or for which ``also`` holds. Needles are looked for once a row."""
+    text = F.col(raw)
+    gates = F.struct(may_be_ams(text).alias("ams"), may_be_anomaly(text).alias("anomaly"))
+    marked = pinned(records, "_may", gates)
+    ams, anomaly = F.col("_may.ams"), F.col("_may.anomaly")
+    kept = marked.where(ams | anomaly if also is None else also | ams | anomaly).select(
+        *columns, text.alias("line"), "_may"
+    )
+    out = AMS.on(kept, F.when(ams, F.col("line")), "ams")
+    return ANOMALY.on(out, F.when(anomaly, F.col("line")), "anomaly").drop("_may")
+
+
 def evidence(
     records: DataFrame, *, raw: str = "raw", ranks: DataFrame | None = None
 ) -> DataFrame:
@@ -29,15 +44,7 @@ def evidence(
     session, found through a rank structure (``ranks``, where it is stored), so the log itself is
     never shuffled.
     """
-    line = F.col(raw)
-    gated = records.where(may_be_ams(line) | may_be_anomaly(line)).select(
-        *SESSION, "seq", line.alias("line")
-    )
-    parsed = ANOMALY.on(
-        AMS.on(gated, F.when(may_be_ams(F.col("line")), F.col("line")), "ams"),
-        F.when(may_be_anomaly(F.col("line")), F.col("line")),
-        "anomaly",
-    )
+    parsed = parsed_rows(records, *SESSION, "seq", raw=raw)
     found = parsed.where(F.col("ams").isNotNull() | F.col("anomaly").isNotNull())
     return H.place_in(found, H.line_ranks(records) if ranks is None else ranks)
 

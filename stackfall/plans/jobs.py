@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rules as FR
 from ..functions.records import device_time
-from ..functions.signals import AMS, ANOMALY, may_be_ams, may_be_anomaly
 from ..operators import blocks as B
 from ..operators import chunks as H
 from ..operators import identity as I
@@ -55,14 +54,10 @@ class Forensics:
 def gate(records: DataFrame) -> DataFrame:
     """The rows any analyser can use, signals and anomalies already parsed: one pass over the
     log, no shuffle. Usually a few per cent of it."""
-    raw = F.col("raw")
-    tagged = C.is_interesting_tag(F.col("tag"))
-    kept = records.where(tagged | may_be_ams(raw) | may_be_anomaly(raw)).select(
-        *SESSION, "seq", "tag", "message", "package", "pid", raw.alias("line")
+    return G.parsed_rows(
+        records, *SESSION, "seq", "tag", "message", "package", "pid", raw="raw",
+        also=C.is_interesting_tag(F.col("tag")),
     )
-    line = F.col("line")
-    out = AMS.on(kept, F.when(may_be_ams(line), line), "ams")
-    return ANOMALY.on(out, F.when(may_be_anomaly(line), line), "anomaly")
 
 
 def analyse(
@@ -98,11 +93,11 @@ def analyse(
         H.line_ranks(records) if ranks is None else ranks,
     )
     found = keep(found, "evidence")
-    signals, anomalies = G.signals_of(found), G.anomalies_of(found)
+    signals, anomalies = keep(G.signals_of(found), "signals"), G.anomalies_of(found)
     links = keep(
         L.link_deaths(
             signals, max_lines=max_lines, max_gap_ms=max_gap_ms, line_window=line_window,
-            chunk_rows=chunk_rows,
+            chunk_rows=chunk_rows, keep=keep,
         ),
         "links",
     )

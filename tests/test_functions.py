@@ -6,6 +6,8 @@ from stackfall.functions import crash as K
 from stackfall.functions import records as R
 from stackfall.functions import rules as FR
 from stackfall.functions import signals as SG
+from stackfall.functions import text as T
+from stackfall.operators import signals as G
 from stackfall.sources.lines import parse_records
 
 
@@ -31,6 +33,16 @@ def test_threadtime_forms(spark):
     assert out[3:6] == [None, None, None] and out[6:] == [None, None]
 
 
+def test_needles_are_looked_for_in_one_pass(spark):
+    texts = ["", None, "x am_crash: y", "am_crash", "ANR in", "ANR in a", "\n a\n*** [b^c]", "*** b^c", "a-b&&c", "é (x) é", "a\\b"]
+    for needles in (["am_crash:", "ANR in ", "*** [b"], ["b^c", "-b&&", "(x)", "\\b"], ["a", "b"], ["a", "b", ""], ["é", "(", "*"]):
+        found = one(spark, texts, lambda v: T.contains_any(v, needles))  # noqa: B023
+        assert found == [None if t is None else any(n in t for n in needles) for t in texts]
+    frame = spark.createDataFrame([], "device_serial string, session_id string, seq bigint, raw string, tag string")
+    plan = G.parsed_rows(frame, "seq", raw="raw", also=F.col("tag") == "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("am_crash:|am_anr:") == 1 and plan.count("lmkd|OutOfMemoryError") == 1
+
+
 def test_kernel_grammars(spark):
     dm = one(spark, ["<6>[    1.234567] usb 1-1: new device", "[ 1.5] Kernel panic - not syncing: x",
                      "<12>healthd: battery", "plain", "<300>[1.0] a: b", "  "], R.parse_dmesg)

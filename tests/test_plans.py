@@ -10,7 +10,7 @@ from stackfall.operators import identity as I
 from stackfall.operators import links as L
 from stackfall.operators import signals as G
 from stackfall.operators import views as V
-from stackfall.session import scratch_path
+from stackfall.session import cut, scratch_path
 from stackfall.sources.lines import parse_records
 
 
@@ -54,6 +54,24 @@ def test_no_nested_loops_and_no_single_partition(stored, build):
     assert "NestedLoop" not in text and "Cartesian" not in text and "SinglePartition" not in text
 
 
+def test_links_work_out_their_context_once(spark):
+    says = [
+        "ProcessRecord{ab 7:com.a.main/u0a1}", "isCrashing=true", "Killing 9:com.b/u0a9 (adj 0): crash",
+        "nothing", "am_crash: [0,5,com.c,1,x]", "Force stopping com.b", "has died", "Process com.d (pid 4) has died",
+    ]
+    rows = [
+        (f"d{i // 300}", "s", i, "logcat", None, f"09-30 12:00:{i // 10:02}.{i % 10}00  7  7 I ActivityManager: {says[i * 5 % 8]}")
+        for i in range(600)
+    ]
+    kinds = "device_serial string, session_id string, seq bigint, source string, received_at_ms bigint, line string"
+    signals = cut(G.ams_signals(parse_records(spark.createDataFrame(rows, kinds))), "signals")
+    names = []
+    once = L.link_deaths(signals, chunk_rows=50, keep=lambda df, name: names.append(name) or cut(df, name))
+    plain = L.link_deaths(signals, chunk_rows=50)
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect())) and once.count()
+    assert names == ["context"] and 2 * plan(once).count("Window") < plan(plain).count("Window")
+
+
 def test_log_is_not_shuffled_for_signals(stored):
     """Only words of bits and gated rows move, by hash aggregates: the raw line never crosses an
     exchange unfiltered. With the structure stored, the gated rows meet it and nothing else moves."""
