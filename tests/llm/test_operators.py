@@ -12,6 +12,7 @@ from stackfall.llm import (
     bpe, language_id, mixing, ngram_join, quality_classifier, quality_rules, toxicity, trie,
     url_filter, vp_tree, warc,
 )
+from stackfall import session
 from stackfall.session import scratch_path
 
 public = pytest.importorskip("public_tokenizers")
@@ -107,6 +108,42 @@ def test_ngram_join_counts_every_link(spark, block_docs):
     assert Counter((r.doc_id, r.n_links) for r in got) == Counter(linked_documents(rows))
 
 
+def test_ngram_join_keeps_less_on_disk_than_it_reads(spark, tmp_path, monkeypatch):
+    r = random.Random(8)
+    bases = [[f"w{r.randrange(10**6)}" for _ in range(900)] for _ in range(4)]
+    rows = []
+    for base in bases:
+        for _ in range(60):  # more near copies than are compared in pairs
+            own = list(base)
+            own[r.randrange(len(own))] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held, cut = [], ngram_join.cut
+
+    def measured(*a, **k):
+        made = cut(*a, **k)
+        held.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+        return made
+
+    monkeypatch.setattr(ngram_join, "cut", measured)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    got = ngram_join.join(docs, count_links=True).collect()
+    assert {(x.doc_id, x.component_id, x.n_links) for x in got} == {(d, d // 60 * 60, 59) for d, _ in rows}
+    texts = sum(len(t) for _, t in rows)
+    assert max(held) < texts and held[-1] < texts / 10
+
+
+def test_ngram_join_counts_links_of_a_large_block_in_turns(spark, monkeypatch):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    turns, cut = [], ngram_join.cut
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name, **k: (turns.append(name), cut(df, name, **k))[1])
+    monkeypatch.setattr(ngram_join, "TURN_ROWS", 60)
+    got = ngram_join.join(docs, block_docs=2, count_links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter(linked_documents(rows))
+    assert turns.count("turn") > 1
+
+
 def test_trie_finds_every_link():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 30, r.integers(1, 25))).astype(np.uint64) for _ in range(80)]
