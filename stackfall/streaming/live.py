@@ -305,27 +305,44 @@ class _PollTail(StatefulProcessor):
         for part in rows:
             numbers.append(part[["poll_no", "line_no"]])
             texts.append(pa.array(part["line"], pa.large_string(), from_pandas=True))
-        batch, texts = pd.concat(numbers, ignore_index=True), pa.chunked_array(texts, pa.large_string())
+        batch = pd.concat(numbers, ignore_index=True)
         del numbers
         # rows without a number belong to no poll
         order = batch.sort_values(["poll_no", "line_no"])[["poll_no"]].dropna()
         polls, order = order["poll_no"].to_numpy().astype(np.int64), order.index.to_numpy()
         poll, before, current = self._tail.get() or (-1, [], [])
-        before, current = set(before), set(current)
-        late, keep = np.zeros(len(polls), bool), np.ones(len(polls), bool)
-        cuts = np.flatnonzero(np.diff(polls, prepend=-2, append=-2)) if len(polls) else []
-        for lo, hi in zip(cuts, cuts[1:]):
-            number = int(polls[lo])
-            if number < poll:
-                late[lo:hi] = True
-                continue
-            if number != poll:
-                before = current if number == poll + 1 else set()
-                poll, current = number, set()
-            lines = texts.take(pa.array(order[lo:hi])).to_pylist()
-            current.update(line for line in lines if line is not None)
-            keep[lo:hi] = [line not in before for line in lines]
-        self._tail.update((poll, list(before), list(current)))
+        late = polls < poll
+        # all lines as numbers: those of the rows, then those of the two polls that are kept
+        texts += [pa.array(lines, pa.large_string()) for lines in (before, current)]
+        texts = pa.concat_arrays(texts)
+        coded = texts.dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        own, old = code[order], code[len(batch) :]
+        taken = ~late & (own >= 0)
+        # what each poll shows, a null line never
+        number = np.concatenate((polls[taken], np.repeat([poll - 1, poll], [len(before), len(current)])))
+        line = np.concatenate((own[taken], old))
+        known = np.unique(number)
+        place = lambda n: np.minimum(np.searchsorted(known, n), max(len(known) - 1, 0))
+        width = len(coded.dictionary) + 1
+        keep = late | (own < 0)
+        if len(known):
+            at = place(polls - 1)
+            seen = np.isin(at * width + own, place(number) * width + line) & (known[at] == polls - 1)
+            keep |= ~seen
+        else:
+            keep[:] = True
+        if len(polls):
+            poll = max(poll, int(polls[-1]))
+        self._tail.update(
+            (
+                int(poll),
+                *(
+                    coded.dictionary.take(pa.array(np.unique(line[number == n]))).to_pylist()
+                    for n in (poll - 1, poll)
+                ),
+            )
+        )
         order, late = order[keep], late[keep]
         for lo in range(0, len(order), _POLL_ROWS):
             at = order[lo : lo + _POLL_ROWS]

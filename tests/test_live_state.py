@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +341,64 @@ def test_replay_keeps_a_slice_small(spark):
     assert sorted(map(tuple, got.drop("batch_id").collect())) == sorted(rows)
     sizes = [r["count"] for r in got.groupBy("batch_id").count().collect()]
     assert len(sizes) > 6 and max(sizes) <= 60
+
+
+class _Held:
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def _unseen(batches):
+    """Rows that the poll state lets through, batch by batch, and the seconds it takes."""
+    tail = S._PollTail()
+    tail._tail = _Held()
+    out, began = [], time.thread_time()
+    for frames in batches:
+        out += [f for f in tail.handleInputRows(("d",), frames, None)]
+    took = time.thread_time() - began
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(), took
+
+
+def test_polls_of_few_lines_cost_what_polls_of_many_do():
+    n = 200_000
+    def batch(per_poll):
+        at = np.arange(n)
+        lines = [f"line {i % 97}" for i in at]
+        frame = pd.DataFrame({"poll_no": at // per_poll, "line_no": at, "line": lines})
+        return [[frame[i : i + 10_000] for i in range(0, n, 10_000)]]
+    few, many = _unseen(batch(10_000))[1], _unseen(batch(2))[1]
+    assert many < 4 * few + 0.5, (few, many)
+
+
+def test_polls_spread_over_batches_equal_a_loop():
+    r = random.Random(4)
+    for _ in range(40):
+        batches, last, before, current, want = [], -1, set(), set(), []
+        for b in range(4):
+            rows = [
+                (r.choice([None, *range(-3, 12)]) if b else r.randrange(4), i, r.choice(["a", "b", "", None, "c"]))
+                for i in range(r.randrange(12))
+            ]
+            if not rows:
+                continue
+            batches.append([pd.DataFrame(rows, columns=["poll_no", "line_no", "line"])])
+            seen = last
+            for number, i, line in sorted((x for x in rows if x[0] is not None), key=lambda x: x[:2]):
+                if number < seen:
+                    want.append((number, i, line, True))
+                    continue
+                if number != last:
+                    before, last, current = current if number == last + 1 else set(), number, set()
+                if line is None or line not in before:
+                    want.append((number, i, line, False))
+                if line is not None:
+                    current = current | {line}
+        got, _ = _unseen(batches)
+        found = [tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in x) for x in got[["poll_no", "line_no", "line", "late"]].itertuples(index=False)] if len(got) else []
+        assert sorted(map(repr, found)) == sorted(map(repr, want))
